@@ -8,11 +8,11 @@ from tabwright.queries.registry import query
 
 FEATURES = ["value", "k"]
 
-_BASE_SQL = f"""base AS (
+BASE_SQL = f"""base AS (
   SELECT avg(value) AS mv, stddev_samp(value) AS sv, avg(k) AS mk, stddev_samp(k) AS sk
   FROM ev WHERE ts < TIMESTAMP '{fx.CUTOFF}')"""
 
-_RUNNING_SQL = f"""{fx.EVENTS_SQL}, {_BASE_SQL},
+_RUNNING_SQL = f"""{fx.EVENTS_SQL}, {BASE_SQL},
 means AS (
   SELECT ev.*, avg(value) OVER w AS rv, avg(k) OVER w AS rk FROM ev
   WINDOW w AS (PARTITION BY project ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
@@ -61,7 +61,7 @@ def feature_stats(t):
 
 
 @query("mon_drift_score", f"""
-WITH {fx.EVENTS_SQL}, {_BASE_SQL}
+WITH {fx.EVENTS_SQL}, {BASE_SQL}
 SELECT project, round((least(abs(avg(value) - any_value(mv)) / any_value(sv), 10)
                        + least(abs(avg(k) - any_value(mk)) / any_value(sk), 10)) / 2, 3) AS drift_score
 FROM ev, base WHERE ts >= TIMESTAMP '{fx.CUTOFF}' GROUP BY project""")
