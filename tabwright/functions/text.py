@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,8 +50,13 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def metric(text: Column, labels: str) -> Column:
-    """The first number printed after one of the labels; NULL when absent."""
+    """The first number printed after one of the labels; NULL when absent or no number."""
     found = F.regexp_extract(text, rf"(?i)\b(?:{labels}):\s*(-?[\d.]+)", 1)
     return F.nullif(found, F.lit("")).try_cast("double")
 
@@ -83,7 +90,8 @@ def repair_json(text: Column) -> Column:
         F.when(cut, F.substr(body, F.lit(1), comma)).otherwise(body),
         F.repeat(F.lit("}"), F.greatest(missing, F.lit(0))),
     )
-    return F.when(F.ltrim(text).startswith("{") & (missing > 0) & is_json(closed), closed)
+    whole = bind(closed, lambda c: F.when(is_json(c), c))
+    return F.when(F.ltrim(text).startswith("{") & (missing > 0), whole)
 
 
 def json_text(text: Column) -> Column:
@@ -112,22 +120,24 @@ def json_text(text: Column) -> Column:
 
 def normalize_value(value: Column) -> Column:
     """Python spellings of null and booleans, and lists of one, as plain values."""
-    single = F.from_json(value, "array<string>")
-    opened = F.when(
-        value.rlike(r"(?s)^\s*\[.*\]\s*$") & (F.size(single) == 1), F.get(single, 0)
-    ).otherwise(value)
-    word = F.trim(opened)
-    return (
-        F.when(word.isin("None", "null"), F.lit(None))
-        .when(word == "True", "true")
-        .when(word == "False", "false")
-        .otherwise(opened)
-    )
+    listed = F.when(value.rlike(r"(?s)^\s*\[.*\]\s*$"), F.from_json(value, "array<string>"))
+    opened = bind(listed, lambda items: F.when(F.size(items) == 1, F.get(items, 0)).otherwise(value))
+
+    def plain(text: Column) -> Column:
+        word = F.trim(text)
+        return (
+            F.when(word.isin("None", "null"), F.lit(None))
+            .when(word == "True", "true")
+            .when(word == "False", "false")
+            .otherwise(text)
+        )
+
+    return bind(opened, plain)
 
 
 def normalize_map(values: Column) -> Column:
     # a list of one may hold another list of one
-    return F.transform_values(values, lambda _, v: normalize_value(normalize_value(v)))
+    return F.transform_values(values, lambda _, v: bind(normalize_value(v), normalize_value))
 
 
 def params_from_code(text: Column) -> Column:

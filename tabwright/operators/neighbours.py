@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tabwright.plans.lineage import spread
+
 BLOCK_ROWS = 20_000
 MAX_PIVOTS = 512
 SLACK = 1e-9
@@ -70,11 +72,11 @@ def nearest(
     ``exclude_self`` leaves out the training row with the query's own id.
     Ids are whole numbers; vectors are arrays of equal length without nulls.
     """
-    rows = train.select(
+    rows = spread(train).select(
         F.col(train_id).cast("long").alias("_id"), F.col(label).alias("_label"),
         F.col(vector).cast("array<double>").alias("_v"),
     )
-    asked = queries.select(
+    asked = spread(queries).select(
         F.col(query_id).cast("long").alias("_q"), F.col(vector).cast("array<double>").alias("_v")
     )
     label_type = dict(rows.dtypes)["_label"]
@@ -132,7 +134,7 @@ def nearest(
     sides = [(c, t, query_blocks.get(c, 0)) for c, t, _ in sides]
     plan = F.broadcast(train.sparkSession.createDataFrame(sides, "_cell int, _tb int, _qb int"))
 
-    def spread(df: DataFrame, own: str, mine: str, other: str, mine_name: str, other_name: str) -> DataFrame:
+    def copied(df: DataFrame, own: str, mine: str, other: str, mine_name: str, other_name: str) -> DataFrame:
         """Rows in one block of their own side, copied to every block of the other."""
         return (
             df.join(plan, "_cell")
@@ -142,8 +144,8 @@ def nearest(
             .drop("_tb", "_qb")
         )
 
-    left = spread(placed.drop("_far"), "_id", "_tb", "_qb", "_t", "_u")
-    right = spread(visits, "_q", "_qb", "_tb", "_u", "_t")
+    left = copied(placed.drop("_far"), "_id", "_tb", "_qb", "_t", "_u")
+    right = copied(visits, "_q", "_qb", "_tb", "_u", "_t")
 
     def meet(rows_block: pd.DataFrame, query_block: pd.DataFrame) -> pd.DataFrame:
         out = []

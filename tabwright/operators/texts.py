@@ -29,6 +29,7 @@ ISSUE = "array<struct<kind:string,type:string,severity:string,message:string>>"
 
 
 def extract_metrics(df: DataFrame, text: str = "text") -> DataFrame:
+    """One column per metric with the first number printed for it."""
     return df.withColumns({name: tx.metric(F.col(text), labels) for name, labels in tx.METRIC_LABELS.items()})
 
 

@@ -151,7 +151,7 @@ def estimator(
         case "SVC":
             if p["kernel"] != "linear":
                 raise ValueError("only the linear kernel is available")
-            return several(mlc.LinearSVC(regParam=1.0 / (p["C"] * rows), standardization=False, **columns))
+            return several(mlc.LinearSVC(regParam=1.0 / (p["C"] * rows), tol=1e-3, standardization=False, **columns))
         case "GradientBoostingClassifier":
             return several(
                 mlc.GBTClassifier(maxIter=p["n_estimators"], stepSize=p["learning_rate"], seed=seed, **_tree(p), **columns)

@@ -20,7 +20,7 @@ from tabwright.operators import evaluate as ev
 from tabwright.operators import neighbours, training
 from tabwright.operators.edit import generated_features, quoted, split_features_target
 from tabwright.operators.split import train_test_split
-from tabwright.plans.lineage import cut_lineage
+from tabwright.plans.lineage import cut_lineage, spread
 
 GOOD_SCORE = 7.0
 
@@ -116,7 +116,7 @@ def fit(
         algorithm, checked, facts["rows"], len(features), classes, facts["spread"] or 1.0, seed
     )
     # learners pass over the same vectors many times
-    vectors = prepared.select("_label", "_features").persist()
+    vectors = spread(prepared.select("_label", "_features")).persist()
     try:
         fitted = learner.fit(vectors)
     finally:
@@ -248,7 +248,8 @@ def tune(
     stages = preparation(df, features, algorithm in training.SCALED)
     if kind == "classification" and _is_text(df, target):
         stages = [StringIndexer(inputCol=target, outputCol="_label", stringOrderType="alphabetAsc"), *stages]
-    prepared = Pipeline(stages=stages).fit(rows).transform(rows).select("_label", "_features").persist()
+    prepared = Pipeline(stages=stages).fit(rows).transform(rows).select("_label", "_features")
+    prepared = spread(prepared).persist()
     try:
         facts = prepared.agg(
             F.count(F.lit(1)).alias("rows"), F.max("_label").alias("top"), F.stddev_samp("_label").alias("spread")
