@@ -2,7 +2,7 @@
 
 Rows are ordered by a hash of their key.  The first ``ceil(share · n)`` of that
 order are the test rows, and the hash at which to cut is found by counting rows
-per hash prefix: a few aggregates that return at most 65,536 counts each.  The
+per hash prefix: a few aggregates that return at most 4,096 counts each.  The
 split itself is then a plain filter, so neither side is shuffled.
 """
 
@@ -16,21 +16,25 @@ from pyspark.sql import functions as F
 
 from tabwright.operators.edit import quoted
 
-PREFIX_STEP = 4
+PREFIX_STEP = 3
 
 
 def split_hash(keys: Sequence[str], seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", *[quoted(k).cast("string") for k in keys], F.lit(str(seed))))
 
 
-def _cut(df: DataFrame, hashed: Column, wanted: int) -> str:
-    """The largest hash that still belongs to the first ``wanted`` rows."""
-    prefix = ""
+def _cut(df: DataFrame, hashed: Column, test_share: float) -> str:
+    """The bound below which exactly ``ceil(test_share · n)`` hashes lie."""
     rows = df.select(hashed.alias("_h"))
+    prefix, wanted = "", None
     while True:
         inside = rows.filter(F.col("_h").startswith(prefix)) if prefix else rows
         width = len(prefix) + PREFIX_STEP
         counts = inside.groupBy(F.substring("_h", 1, width).alias("p")).count().orderBy("p").collect()
+        if wanted is None:
+            wanted = math.ceil(test_share * sum(r["count"] for r in counts))
+            if wanted == 0:
+                return ""
         for row in counts:
             if row["count"] >= wanted:
                 break
@@ -52,12 +56,8 @@ def train_test_split(
 
 def mark_split(df: DataFrame, keys: Sequence[str], test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """The table with a boolean ``_test`` column."""
-    rows = df.count()
-    wanted = math.ceil(test_share * rows)
     hashed = split_hash(keys, seed)
-    if wanted == 0 or wanted == rows:
-        return df.withColumn("_test", F.lit(wanted > 0))
-    return df.withColumn("_test", hashed <= F.lit(_cut(df, hashed, wanted)))
+    return df.withColumn("_test", hashed < F.lit(_cut(df, hashed, test_share)))
 
 
 def hash_split(

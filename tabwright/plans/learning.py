@@ -89,38 +89,38 @@ def fit(
     """Fit on the given rows; imputation and scaling learn from these rows only."""
     kind = training.problem_kind(algorithm)
     checked = training.checked_params(algorithm, params)
-    rows = _labelled(_typed(train, features), target, kind)
+    labelled = _labelled(_typed(train, features), target, kind)
     text_target = kind == "classification" and _is_text(train, target)
+    kept = [*features, target] if text_target else [*features, "_label"]
     stages = preparation(train, features, algorithm in training.SCALED)
     if text_target:
         stages = [
             StringIndexer(inputCol=target, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep"),
             *stages,
         ]
-    prepared_model = Pipeline(stages=stages).fit(rows)
-    prepared = prepared_model.transform(rows)
-    if algorithm == "KNeighborsClassifier":
-        # row ids must not change between passes, and copies of a row need ids of their own
-        examples = prepared.select(
-            F.monotonically_increasing_id().alias("_id"), "_label", vector_to_array("_features").alias("_v")
-        )
-        return Trained(
-            algorithm, checked, kind, list(features), target, prepared_model, examples=cut_lineage(examples)
-        )
-
-    facts = prepared.agg(
-        F.count(F.lit(1)).alias("rows"), F.max("_label").alias("top"), F.stddev_samp("_label").alias("spread")
-    ).first()
-    classes = int(facts["top"]) + 1 if kind == "classification" and facts["top"] is not None else 0
-    learner = training.estimator(
-        algorithm, checked, facts["rows"], len(features), classes, facts["spread"] or 1.0, seed
-    )
-    # learners pass over the same vectors many times
-    vectors = spread(prepared.select("_label", "_features")).persist()
+    # the statistics of every stage and the learner itself pass over these rows
+    rows = spread(labelled.select(*[quoted(c) for c in kept])).persist()
     try:
-        fitted = learner.fit(vectors)
+        prepared_model = Pipeline(stages=stages).fit(rows)
+        prepared = prepared_model.transform(rows)
+        if algorithm == "KNeighborsClassifier":
+            # row ids must not change between passes, and copies of a row need ids of their own
+            examples = prepared.select(
+                F.monotonically_increasing_id().alias("_id"), "_label", vector_to_array("_features").alias("_v")
+            )
+            return Trained(
+                algorithm, checked, kind, list(features), target, prepared_model, examples=cut_lineage(examples)
+            )
+        facts = prepared.agg(
+            F.count(F.lit(1)).alias("rows"), F.max("_label").alias("top"), F.stddev_pop("_label").alias("spread")
+        ).first()
+        classes = int(facts["top"]) + 1 if kind == "classification" and facts["top"] is not None else 0
+        learner = training.estimator(
+            algorithm, checked, facts["rows"], len(features), classes, facts["spread"] or 1.0, seed
+        )
+        fitted = learner.fit(prepared.select("_label", "_features"))
     finally:
-        vectors.unpersist()
+        rows.unpersist()
     decode = []
     if text_target:
         labels = prepared_model.stages[0].labels
@@ -252,7 +252,7 @@ def tune(
     prepared = spread(prepared).persist()
     try:
         facts = prepared.agg(
-            F.count(F.lit(1)).alias("rows"), F.max("_label").alias("top"), F.stddev_samp("_label").alias("spread")
+            F.count(F.lit(1)).alias("rows"), F.max("_label").alias("top"), F.stddev_pop("_label").alias("spread")
         ).first()
         classes = int(facts["top"]) + 1 if kind == "classification" else 0
         judge = (
