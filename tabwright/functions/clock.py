@@ -20,6 +20,12 @@ def seconds_between(earlier: Column, later: Column) -> Column:
     return gap.cast("decimal(20,6)").cast("double")
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970-01-01 of a local time, as a whole number."""
+    gap = (ts.cast("timestamp_ntz") - F.lit("1970-01-01").cast("timestamp_ntz")).cast("interval second")
+    return (gap.cast("decimal(20,6)") * 1_000_000).cast("long")
+
+
 def hours_before(now: Column, hours: float) -> Column:
     seconds = round(hours * 3600)
     return now - F.expr(f"INTERVAL '{seconds}' SECOND")

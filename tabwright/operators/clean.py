@@ -21,6 +21,7 @@ from tabwright.plans.quantiles import exact_quantiles, number
 
 ONEHOT_LIMIT = 1_000
 SMALL_CODEBOOK = 10_000
+CODEBOOK_BYTES = 8 * 1024 * 1024
 
 
 def _existing(df: DataFrame, columns: Sequence[str]) -> list[str]:
@@ -124,12 +125,21 @@ def remove_outliers(
     return df
 
 
+def distinct_values(df: DataFrame, column: str, limit: int, max_bytes: int = CODEBOOK_BYTES) -> list[Any] | None:
+    """Sorted distinct values, or ``None`` when they exceed the limit in number or size."""
+    values = df.filter(~is_missing(df, column)).select(quoted(column).alias("v")).distinct()
+    size = values.agg(F.count("v").alias("n"), F.sum(F.octet_length(F.col("v").cast("string"))).alias("bytes")).first()
+    if size["n"] > limit or (size["bytes"] or 0) > max_bytes:
+        return None
+    return sorted(r["v"] for r in values.collect())
+
+
 def categories(df: DataFrame, column: str, limit: int) -> list[Any]:
     """Sorted distinct values; an error above ``limit`` rather than a cut list."""
-    found = df.filter(~is_missing(df, column)).select(quoted(column).alias("v")).distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"column {column!r} has more than {limit} distinct values")
-    return sorted(r["v"] for r in found)
+    found = distinct_values(df, column, limit)
+    if found is None:
+        raise ValueError(f"column {column!r} has more than {limit} distinct values, or too long ones")
+    return found
 
 
 def onehot(df: DataFrame, column: str, limit: int = ONEHOT_LIMIT) -> DataFrame:
@@ -144,14 +154,13 @@ def onehot(df: DataFrame, column: str, limit: int = ONEHOT_LIMIT) -> DataFrame:
 
 def codebook(df: DataFrame, column: str, small: int = SMALL_CODEBOOK) -> tuple[DataFrame, bool]:
     """Values and their rank among the sorted distinct values, and whether the table is small."""
+    found = distinct_values(df, column, small)
+    if found is not None:
+        schema = T.StructType(
+            [T.StructField("_value", df.schema[column].dataType), T.StructField("_code", T.LongType())]
+        )
+        return df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(found)], schema), True
     values = df.filter(~is_missing(df, column)).select(quoted(column).alias("_value")).distinct()
-    found = values.limit(small + 1).collect()
-    spark = df.sparkSession
-    if len(found) <= small:
-        codes = [(v, i) for i, v in enumerate(sorted(r["_value"] for r in found))]
-        kind = df.schema[column].dataType
-        schema = T.StructType([T.StructField("_value", kind), T.StructField("_code", T.LongType())])
-        return spark.createDataFrame(codes, schema), True
     return with_position(values, ["_value"], "_code"), False
 
 

@@ -130,18 +130,19 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, top: int = 10) -> DataFrame:
-    """The most frequent values per text column; equal counts are ordered by value.
+    """The most frequent values per text column; equal counts are ordered by value."""
+    return _top(value_counts(df, columns), top)
 
-    Spark prunes to ``top`` rows per column and task before the shuffle, so a
-    column with very many values stays cheap.
+
+def _top(counts: DataFrame, top: int) -> DataFrame:
+    """Spark prunes to ``top`` rows per column and task before the shuffle.
+
+    Missing values are ranked last instead of being filtered first, so that the
+    totals over the same counts can share their shuffle.
     """
-    order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-    return (
-        value_counts(df, columns)
-        .filter(F.col("value").isNotNull())
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= top)
-    )
+    order = Window.partitionBy("column").orderBy(F.col("value").isNull(), F.desc("n"), F.asc("value"))
+    ranked = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    return ranked.filter(F.col("value").isNotNull())
 
 
 def categorical_stats(df: DataFrame, columns: Sequence[str] | None = None, top: int = 10) -> DataFrame:
@@ -152,7 +153,7 @@ def categorical_stats(df: DataFrame, columns: Sequence[str] | None = None, top:
         F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("missing"),
         F.sum("n").alias("_rows"),
     )
-    best = top_values(df, columns, top).groupBy("column").agg(
+    best = _top(counts, top).groupBy("column").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("rank", "value", "n"))),
             lambda t: F.struct(t["value"].alias("value"), t["n"].alias("count")),

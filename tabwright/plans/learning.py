@@ -18,11 +18,13 @@ from pyspark.sql import types as T
 
 from tabwright.operators import evaluate as ev
 from tabwright.operators import neighbours, training
+from tabwright.operators.clean import categories
 from tabwright.operators.edit import generated_features, quoted, split_features_target
 from tabwright.operators.split import train_test_split
 from tabwright.plans.lineage import cut_lineage, spread
 
 GOOD_SCORE = 7.0
+MAX_CLASSES = 1_000
 
 
 @dataclass
@@ -48,6 +50,8 @@ def preparation(df: DataFrame, features: Sequence[str], scale: bool) -> list:
     """Stages that turn feature columns into the vector ``_features``."""
     texts = [c for c in features if _is_text(df, c)]
     numbers = [c for c in features if c not in texts]
+    for c in texts:  # trees need every category in a bin, and one bin is for unseen values
+        categories(df, c, training.SPLIT_BINS - 1)
     stages = []
     if texts:
         stages.append(
@@ -94,6 +98,7 @@ def fit(
     kept = [*features, target] if text_target else [*features, "_label"]
     stages = preparation(train, features, algorithm in training.SCALED)
     if text_target:
+        categories(train, target, MAX_CLASSES)
         stages = [
             StringIndexer(inputCol=target, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep"),
             *stages,

@@ -56,11 +56,11 @@ def dispatch(t):
     small.write.option("header", True).csv(f"{folder}/a.data")
     small.write.parquet(f"{folder}/a.parquet")
     small.select("s_name").write.text(f"{folder}/a.txt")
-    # one document per file: each file holds an array of its rows
-    per_file = small.groupBy("s_nationkey").agg(F.to_json(F.collect_list(F.struct(*small.columns))).alias("value"))
-    per_file.select("value").repartition(per_file.count(), "value").write.option("maxRecordsPerFile", 1).text(
-        f"{folder}/a.json"
+    # one document per file, each an array of at most fifty rows
+    per_file = small.groupBy(F.floor(F.col("s_suppkey") / 50)).agg(
+        F.to_json(F.collect_list(F.struct(*small.columns))).alias("value")
     )
+    per_file.select("value").write.option("maxRecordsPerFile", 1).text(f"{folder}/a.json")
     parts = [
         readers.read_any(t.spark, f"{folder}/a{e}").agg(F.lit(e).alias("extension"), F.count(F.lit(1)).alias("rows"))
         for e in [*readers.EXTENSIONS, ".data"]

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tabwright.functions.clock import micros
 from tabwright.operators import monitor as mo
 
 SHARDS = 16
@@ -55,7 +56,7 @@ def monitor_stream(events: DataFrame, last: int = mo.LAST_EVENTS, shards: int =
     rows = events.select(
         "project",
         F.explode(homes).alias("shard"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"),
+        micros(F.col("ts")).alias("ts"),
         F.col("event_id").cast("long").alias("event_id"),
         mo.finite(F.col("prediction")).alias("prediction"),
         mo.finite(F.col("truth")).alias("truth"),
