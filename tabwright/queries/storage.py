@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tabwright.operators import monitor as mo
 from tabwright.plans.lineage import scratch_path
 from tabwright.queries import fixtures as fx
-from tabwright.queries.monitoring import BASE_SQL, base_stats, events
+from tabwright.queries.monitoring import BASE_SQL, base_stats, events, typed_events
 from tabwright.queries.registry import query
 from tabwright.sources import inventory, readers, writers
 from tabwright.streaming import events as log
@@ -139,8 +139,20 @@ SELECT project, count(*) AS recent_count, any_value(rolling_rmse) AS rolling_rms
               + least(abs(avg(k) - any_value(mk)) / any_value(sk), 10)) / 2, 3) AS drift_score
 FROM ev JOIN rolled USING (project), base GROUP BY project""")
 def stream_monitor(t):
+    return _monitored(t, events(t)).drop("rolling_accuracy")
+
+
+@query("stream_monitor_accuracy", f"""
+WITH {fx.EVENTS_SQL},
+last500 AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY project ORDER BY ts DESC, event_id DESC) <= 500)
+SELECT project, round(avg((predicted_type = true_type)::INT), 4) AS rolling_accuracy FROM last500 GROUP BY project""")
+def stream_monitor_accuracy(t):
+    return _monitored(t, typed_events(t)).select("project", "rolling_accuracy")
+
+
+def _monitored(t, table):
     path = scratch_path(t.spark, "monitor")
-    snapshots = live.monitor_stream(_stream(t, events(t)), shards=4)
+    snapshots = live.monitor_stream(_stream(t, table), shards=4)
     log.finish(log.keep_batches(snapshots, path, scratch_path(t.spark, "checkpoint")))
     newest = live.latest_snapshots(t.spark.read.parquet(path))
     return live.monitor_view(newest, base_stats(t), mo.LAST_EVENTS)

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tabwright.functions.clock import micros
@@ -24,7 +25,7 @@ SHARDS = 16
 
 _STATE = (
     "n long, names array<string>, counts array<long>, means array<double>, squares array<double>, "
-    "ts array<long>, ids array<long>, predictions array<double>, truths array<double>"
+    "ts array<long>, ids array<long>, errors array<double>, hits array<double>"
 )
 
 
@@ -50,6 +51,12 @@ def monitor_stream(events: DataFrame, last: int = mo.LAST_EVENTS, shards: int =
     """
     resets = F.coalesce(F.col("reset"), F.lit(False)) if "reset" in events.columns else F.lit(False)
     project_type = dict(events.dtypes)["project"]
+    numeric = all(isinstance(events.schema[c].dataType, T.NumericType) for c in ("prediction", "truth"))
+    nothing = F.lit(None).cast("double")
+    error = F.pow(mo.finite(F.col("prediction")) - mo.finite(F.col("truth")), 2) if numeric else nothing
+    hit = nothing if numeric else (
+        F.col("prediction").cast("string") == F.col("truth").cast("string")
+    ).cast("double")
     homes = F.when(resets, F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(
         F.array(F.pmod(F.xxhash64("event_id"), F.lit(shards)).cast("int"))
     )
@@ -58,8 +65,8 @@ def monitor_stream(events: DataFrame, last: int = mo.LAST_EVENTS, shards: int =
         F.explode(homes).alias("shard"),
         micros(F.col("ts")).alias("ts"),
         F.col("event_id").cast("long").alias("event_id"),
-        mo.finite(F.col("prediction")).alias("prediction"),
-        mo.finite(F.col("truth")).alias("truth"),
+        error.alias("error"),
+        hit.alias("hit"),
         F.map_keys("features").alias("names"),
         F.transform(F.map_values("features"), lambda v: v.cast("double")).alias("numbers"),
         resets.alias("reset"),
@@ -94,19 +101,19 @@ class _Collected:
     def __init__(self) -> None:
         self.n = 0
         self.stats: dict[str, tuple[int, float, float]] = {}
-        self.recent = pd.DataFrame({"ts": [], "event_id": [], "prediction": [], "truth": []})
+        self.recent = pd.DataFrame({"ts": [], "event_id": [], "error": [], "hit": []})
 
     @classmethod
     def from_state(cls, values: tuple[Any, ...]) -> _Collected:
-        n, names, counts, means, squares, ts, ids, predictions, truths = values
+        n, names, counts, means, squares, ts, ids, errors, hits = values
         self = cls()
         self.n = n
         self.stats = {name: (c, m, s) for name, c, m, s in zip(names, counts, means, squares)}
         self.recent = pd.DataFrame(
             {
                 "ts": list(ts), "event_id": list(ids),
-                "prediction": pd.array(list(predictions), dtype="Float64"),
-                "truth": pd.array(list(truths), dtype="Float64"),
+                "error": pd.array(list(errors), dtype="Float64"),
+                "hit": pd.array(list(hits), dtype="Float64"),
             }
         )
         return self
@@ -131,7 +138,7 @@ class _Collected:
                 mean = old[1] + gap * count / total
                 count = total
             self.stats[name] = (count, mean, square)
-        fields = ["ts", "event_id", "prediction", "truth"]
+        fields = ["ts", "event_id", "error", "hit"]
         both = pd.concat([f for f in (self.recent, rows[fields]) if len(f)] or [self.recent], ignore_index=True)
         self.recent = both.sort_values(["ts", "event_id"], kind="stable").tail(last)
 
@@ -144,7 +151,7 @@ class _Collected:
         return (
             self.n, names, [self.stats[x][0] for x in names], [self.stats[x][1] for x in names],
             [self.stats[x][2] for x in names], [int(v) for v in self.recent["ts"]],
-            [int(v) for v in self.recent["event_id"]], numbers("prediction"), numbers("truth"),
+            [int(v) for v in self.recent["event_id"]], numbers("error"), numbers("hit"),
         )
 
 
@@ -183,13 +190,15 @@ def merged_stats(snapshots: DataFrame) -> DataFrame:
 
 
 def monitor_view(snapshots: DataFrame, base: DataFrame, last: int = mo.LAST_EVENTS) -> DataFrame:
-    """Event count, rolling RMSE and drift score per project, as of the snapshots."""
+    """Event count, rolling RMSE or accuracy and drift score per project, as of the snapshots."""
     events = snapshots.select(
-        "project", F.explode(F.arrays_zip("ts", "ids", "predictions", "truths")).alias("e")
-    ).select("project", F.col("e.ts").alias("ts"), F.col("e.ids").alias("event_id"), "e.predictions", "e.truths")
+        "project", F.explode(F.arrays_zip("ts", "ids", "errors", "hits")).alias("e")
+    ).select("project", F.col("e.ts").alias("ts"), F.col("e.ids").alias("event_id"), "e.errors", "e.hits")
     recent = mo.newest(events, ["project"], [F.desc("ts"), F.desc("event_id")], last)
-    error = F.pow(F.col("predictions") - F.col("truths"), 2)
-    rolling = recent.groupBy("project").agg(F.round(F.sqrt(F.avg(error)), 4).alias("rolling_rmse"))
+    rolling = recent.groupBy("project").agg(
+        F.round(F.sqrt(F.avg("errors")), 4).alias("rolling_rmse"),
+        F.round(F.avg("hits"), 4).alias("rolling_accuracy"),
+    )
     counts = snapshots.groupBy("project").agg(F.sum("n").alias("recent_count"))
     drift = mo.drift_score(base, merged_stats(snapshots)).select("project", "drift_score")
     return counts.join(rolling, "project", "left").join(drift, "project", "left")
