@@ -148,7 +148,7 @@ def nearest(
     right = copied(visits, "_q", "_qb", "_tb", "_u", "_t")
 
     def meet(rows_block: pd.DataFrame, query_block: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        asked_ids, near_ids, near_labels, far = [], [], [], []
         if len(rows_block) and len(query_block):
             ids = rows_block["_id"].to_numpy()
             labels = rows_block["_label"].to_numpy()
@@ -157,10 +157,14 @@ def nearest(
                 _matrix(query_block["_v"]), _matrix(rows_block["_v"]), ids, own if exclude_self else None, k
             )
             for i, at, d in found:
-                out.append(pd.DataFrame({"_q": own[i], "_id": ids[at], "_label": labels[at], "_d": d}))
-        if not out:
+                asked_ids.append(np.repeat(own[i], len(at)))
+                near_ids.append(ids[at])
+                near_labels.append(labels[at])
+                far.append(d)
+        if not far:
             return pd.DataFrame({"_q": [], "_id": [], "_label": [], "_d": []})
-        return pd.concat(out, ignore_index=True)
+        columns = {"_q": asked_ids, "_id": near_ids, "_label": near_labels, "_d": far}
+        return pd.DataFrame({name: np.concatenate(parts) for name, parts in columns.items()})
 
     pairs = (
         left.groupBy("_cell", "_t", "_u")

@@ -224,6 +224,7 @@ DEFAULT_GRIDS: dict[str, dict[str, list]] = {
     "Lasso": {"alpha": [0.1, 1.0, 10.0]},
     "LinearRegression": {},
     "NeuralNetwork": {"num_epochs": [5, 10]},
+    "KNeighborsClassifier": {"n_neighbors": [3, 5, 9]},
 }
 
 
@@ -248,6 +249,8 @@ def tune(
     parameter is the pipeline itself, so candidates are fitted in parallel.
     """
     kind = training.problem_kind(algorithm)
+    if algorithm == "KNeighborsClassifier":
+        raise ValueError("nearest neighbours are no Spark ML estimator: choose with train_until")
     points = [training.checked_params(algorithm, p) for p in candidates(grid or DEFAULT_GRIDS[algorithm])]
     rows = _labelled(_typed(df, features), target, kind)
     stages = preparation(df, features, algorithm in training.SCALED)
