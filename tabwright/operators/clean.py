@@ -21,7 +21,7 @@ from tabwright.plans.quantiles import exact_quantiles, number
 
 ONEHOT_LIMIT = 1_000
 SMALL_CODEBOOK = 10_000
-CODEBOOK_BYTES = 8 * 1024 * 1024
+LONGEST_VALUE = 1_000
 
 
 def _existing(df: DataFrame, columns: Sequence[str]) -> list[str]:
@@ -125,13 +125,17 @@ def remove_outliers(
     return df
 
 
-def distinct_values(df: DataFrame, column: str, limit: int, max_bytes: int = CODEBOOK_BYTES) -> list[Any] | None:
-    """Sorted distinct values, or ``None`` when they exceed the limit in number or size."""
-    values = df.filter(~is_missing(df, column)).select(quoted(column).alias("v")).distinct()
-    size = values.agg(F.count("v").alias("n"), F.sum(F.octet_length(F.col("v").cast("string"))).alias("bytes")).first()
-    if size["n"] > limit or (size["bytes"] or 0) > max_bytes:
+def distinct_values(df: DataFrame, column: str, limit: int) -> list[Any] | None:
+    """Sorted distinct values, or ``None`` when there are too many or too long ones.
+
+    At most ``limit + 1`` values of at most ``LONGEST_VALUE`` bytes reach the driver.
+    """
+    long = F.octet_length(F.col("v").cast("string")) > LONGEST_VALUE
+    values = df.filter(~is_missing(df, column)).select(quoted(column).alias("v")).distinct().limit(limit + 1)
+    found = values.select(F.when(~long, F.col("v")).alias("v"), long.alias("long")).collect()
+    if len(found) > limit or any(r["long"] for r in found):
         return None
-    return sorted(r["v"] for r in values.collect())
+    return sorted(r["v"] for r in found)
 
 
 def categories(df: DataFrame, column: str, limit: int) -> list[Any]:

@@ -99,26 +99,21 @@ def exact_quantiles(
     """Linear-interpolated quantiles per column; ``None`` for an all-missing column."""
     if not columns:
         return {}
+    array = F.array(*[F.lit(float(p)) for p in probs])
+    if df.count() <= one_task_rows:
+        row = df.agg(*[F.percentile(number(c), array).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+        return {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(columns)}
     sizes = df.agg(
         *[f(number(c)).alias(f"{tag}{i}") for i, c in enumerate(columns)
           for tag, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
     ).first()
     result: dict[str, list[float | None]] = {}
-    direct, zoom = [], {}
+    zoom = {}
     for i, c in enumerate(columns):
-        n = sizes[f"n{i}"]
-        if n == 0:
+        if sizes[f"n{i}"] == 0:
             result[c] = [None] * len(probs)
-        elif n <= one_task_rows:
-            direct.append(c)
         else:
-            zoom[c] = (n, sizes[f"lo{i}"], sizes[f"hi{i}"])
-    if direct:
-        row = df.agg(
-            *[F.percentile(number(c), F.array(*[F.lit(float(p)) for p in probs])).alias(f"q{i}")
-              for i, c in enumerate(direct)]
-        ).first()
-        result |= {c: list(row[f"q{i}"]) for i, c in enumerate(direct)}
+            zoom[c] = (sizes[f"n{i}"], sizes[f"lo{i}"], sizes[f"hi{i}"])
     if zoom:
         wanted = {
             c: {k for p in probs for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tabwright.functions import text as tx
 from tabwright.operators import texts as op
+from tabwright.plans.lineage import spread
 from tabwright.queries import fixtures as fx
 from tabwright.queries.registry import query
 
@@ -24,7 +25,8 @@ SELECT {fx.KEY_SQL}, """ + ", ".join(
     f"TRY_CAST(nullif(regexp_extract(text, '(?i)(?:^|[^A-Za-z0-9_])(?:{labels}):\\s*(-?[0-9.]+)', 1), '') AS DOUBLE) AS {name}"
     for name, labels in tx.METRIC_LABELS.items()) + " FROM logs")
 def metrics(t):
-    return op.extract_metrics(built(t.lineitem.select(*fx.LINEITEM_KEY, "l_quantity"), LOG)).drop("text", "l_quantity")
+    lines = spread(t.lineitem.select(*fx.LINEITEM_KEY, "l_quantity"))
+    return op.extract_metrics(built(lines, LOG)).drop("text", "l_quantity")
 
 
 ERR = """CASE l_linenumber WHEN 1 THEN '' WHEN 2 THEN 'ValueError in line 3' WHEN 3 THEN 'warning only'
