@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabwright.operators import jobs as jb
 from tabwright.operators import monitor as mo
 from tabwright.operators import profile as pr
-from tabwright.operators.split import mark_split
+from tabwright.operators.split import hash_split, mark_split
 from tabwright.plans.ordering import with_chunks, with_position
 from tabwright.plans.quantiles import exact_quantiles
 
@@ -125,3 +125,11 @@ def test_split_sizes_are_exact(spark, n, share):
 def test_split_needs_unique_keys(spark):
     with pytest.raises(ValueError, match="uniquely"):
         mark_split(spark.range(10).selectExpr("1 AS k"), ["k"]).count()
+
+
+def test_hash_split_is_a_partition_of_the_rows(spark):
+    df = spark.range(5000)
+    train, test = hash_split(df, ["id"], 0.2)
+    assert train.count() + test.count() == 5000
+    assert train.join(test, "id").count() == 0
+    assert 850 < test.count() < 1150
