@@ -76,10 +76,10 @@ def drift_score(base: DataFrame, live: DataFrame) -> DataFrame:
     Features unknown to the baseline or without spread there are skipped; a
     project with none left scores 0.
     """
-    reference = base.select("feature", F.col("mean").alias("_mean"), F.col("std").alias("_std"))
+    known = base.select("feature", F.col("mean").alias("_mean"), F.col("std").alias("_std"))
     usable = F.when(F.col("_std") != 0, _deviation(F.col("mean"), F.col("_mean"), F.col("_std")))
     return (
-        live.join(reference, "feature", "left")
+        live.join(known, "feature", "left")
         .groupBy("project")
         .agg(F.coalesce(F.avg(usable), F.lit(0.0)).alias("raw_score"))
         .withColumn("drift_score", F.round("raw_score", 3))
