@@ -1,4 +1,4 @@
 """Queries of the training-data operators."""
 
-from tabwright.llm import exact_dedup, mixing, preferences  # noqa: F401
+from tabwright.llm import bpe, exact_dedup, fingerprints, mixing, preferences, secret_scan  # noqa: F401
 from tabwright.llm.registry import LLM_QUERIES, LLM_SQL  # noqa: F401
