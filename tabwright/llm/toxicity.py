@@ -29,7 +29,7 @@ from tabwright.llm.labelled import fit_once, fold, sample_ids
 from tabwright.llm.registry import llm_query
 
 PER_CLASS = 2_500  # labelled documents of each class that the model is fitted on, about
-FEATURES = 1 << 18
+FEATURES = 1 << 21
 PREFIXES = (3, 4, 5, 6)
 STEPS, RATE, PENALTY = 30, 0.5, 1e-3
 LEAST_ODDS, LEAST_RATIO = 20.0, 20.0
