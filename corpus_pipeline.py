@@ -1,4 +1,4 @@
 """Queries of the training-data operators."""
 
-from tabwright.llm import bpe, exact_dedup, fingerprints, mixing, ngram_join, preferences, quality, secret_scan, toxicity  # noqa: F401
+from tabwright.llm import bpe, exact_dedup, fingerprints, language_model, mixing, ngram_join, preferences, quality, secret_scan, toxicity  # noqa: F401
 from tabwright.llm.registry import LLM_QUERIES, LLM_SQL  # noqa: F401

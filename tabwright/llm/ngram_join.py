@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from tabwright.llm.batches import mix, slices, text_shingles
 from tabwright.llm.components import components, stored
+from tabwright.llm.frequent import head_of, least_count
 from tabwright.llm.registry import llm_query
 
 GROUPS = 128
@@ -91,15 +92,7 @@ def _frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     sets = some.mapInArrow(work, "s1 long, s2 long, shingles array<long>").dropDuplicates(["s1", "s2"])
     counted = sets.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"))
     counted = stored(counted.filter(F.col("c") >= LEAST_FREQUENT), "frequent")
-    least, total = None, 0
-    for row in counted.groupBy("c").count().orderBy(F.desc("c")).toLocalIterator():
-        total += row["count"]
-        if total > MOST_FREQUENT:
-            break
-        least = row["c"]
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    table = counted.filter(F.col("c") >= least).toPandas()
+    table = head_of(counted, least_count(counted, MOST_FREQUENT))
     values = table["s"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(values)
     return values[order], table["c"].to_numpy(np.int64)[order]
