@@ -201,10 +201,11 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """Replace ids and decoded text by their number and digests."""
+def digests(encoded: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """Replace the decoded text, and the ids unless they are kept, by number and digests."""
+    gone = ("decoded",) if keep_ids else ("token_ids", "decoded")
     return encoded.select(
-        *[c for c in encoded.columns if c not in ("token_ids", "decoded")],
+        *[c for c in encoded.columns if c not in gone],
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("token_ids", ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
