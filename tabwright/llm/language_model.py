@@ -31,7 +31,7 @@ from tabwright.llm.labelled import fold
 from tabwright.llm.registry import llm_query
 
 HEAD = 1 << 17  # words whose counts every task gets
-WORDS, ENDINGS = 512, 32  # classes of the model: commonest words, endings
+WORDS, ENDINGS = 223, 32  # classes of the model: commonest words, endings
 CLASSES = WORDS + ENDINGS + 1
 END, START = CLASSES - 1, CLASSES
 PLACES, DIM = 4, 16
@@ -246,17 +246,18 @@ def train_model(texts: DataFrame, counts: Counts, key: Column) -> np.ndarray:
 
 def log_probabilities(table: np.ndarray, context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Normalised log10 probabilities of the classes, in blocks of one matrix product."""
-    seen, vectors, bias, place = (np.ascontiguousarray(p, np.float32) for p in parts(table))
+    seen, vectors, bias, place = parts(table)
+    weighted = [np.hstack([seen * place[k], np.full((len(seen), 1), 1.0 / PLACES)]).astype(np.float32) for k in range(PLACES)]
+    outer = np.ascontiguousarray(np.vstack([vectors.T, bias]), np.float32)  # the bias meets the last column, which sums to 1
     out = np.empty(len(target))
-    weighted = [seen * place[k] for k in range(PLACES)]
     scores = np.empty((BLOCK, CLASSES), np.float32)
     for at in range(0, len(target), BLOCK):
         c, t = context[at : at + BLOCK], target[at : at + BLOCK]
         predicted = sum(weighted[k][c[:, k]] for k in range(PLACES))
         block = scores[: len(t)]
-        np.matmul(predicted, vectors.T, out=block)
-        block += bias
-        block -= block.max(axis=1, keepdims=True)
+        np.matmul(predicted, outer, out=block)
+        if block.max() > 60:  # beyond the range of single precision after exp
+            block -= block.max(axis=1, keepdims=True)
         true = block[np.arange(len(t)), t].astype(float)
         np.exp(block, out=block)
         out[at : at + BLOCK] = true - np.log(block.sum(axis=1))
