@@ -96,25 +96,34 @@ def repair_json(text: Column) -> Column:
 
 def json_text(text: Column) -> Column:
     """The JSON held in a text: the whole, a fenced block, the outermost braces, a line, or a repair."""
+    # braces that a template has doubled are undone only where the text as it stands holds no JSON
     clean = F.replace(F.replace(text, F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}"))
 
     def checked(candidate: Column) -> Column:
         return F.when(is_json(candidate), candidate)
 
-    outer = F.nullif(F.regexp_extract(clean, r"(?s)\{.*\}", 0), F.lit(""))
+    def braced(source: Column) -> Column:
+        return F.nullif(F.regexp_extract(source, r"(?s)\{.*\}", 0), F.lit(""))
+
+    def fenced(source: Column, pattern: str) -> Column:
+        return F.nullif(F.regexp_extract(source, pattern, 1), F.lit(""))
+
+    outer = braced(clean)
     lines = F.filter(
         F.transform(F.split(clean, "\n"), lambda line: F.trim(line)),
         lambda line: line.startswith("{") & line.endswith("}") & is_json(line),
     )
+    fences = (r"(?s)```json\s*(\{.*?\})\s*```", r"(?s)```\s*(\{.*?\})\s*```")
     return F.coalesce(
+        checked(text),
+        *[checked(fenced(text, f)) for f in fences],
+        checked(braced(text)),
         checked(clean),
-        checked(F.nullif(F.regexp_extract(clean, r"(?s)```json\s*(\{.*?\})\s*```", 1), F.lit(""))),
-        checked(F.nullif(F.regexp_extract(clean, r"(?s)```\s*(\{.*?\})\s*```", 1), F.lit(""))),
+        *[checked(fenced(clean, f)) for f in fences],
         checked(outer),
         F.get(lines, 0),
         repair_json(outer),
         repair_json(F.nullif(F.regexp_extract(clean, r"(?s)\{.*", 0), F.lit(""))),
-        checked(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))),
     )
 
 

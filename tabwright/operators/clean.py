@@ -10,6 +10,7 @@ import math
 from collections.abc import Sequence
 from typing import Any
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,10 +20,6 @@ from tabwright.operators.profile import iqr_bounds, is_missing
 from tabwright.plans.ordering import with_position
 from tabwright.plans.quantiles import exact_quantiles, number
 
-ONEHOT_LIMIT = 1_000
-SMALL_CODEBOOK = 10_000
-LONGEST_VALUE = 1_000
-
 
 def _existing(df: DataFrame, columns: Sequence[str]) -> list[str]:
     return [c for c in columns if c in df.columns]
@@ -125,58 +122,47 @@ def remove_outliers(
     return df
 
 
-def distinct_values(df: DataFrame, column: str, limit: int) -> list[Any] | None:
-    """Sorted distinct values, or ``None`` when there are too many or too long ones.
+def categories(df: DataFrame, column: str) -> list[Any]:
+    """Sorted distinct values, as many as the columns that are made of them."""
+    values = df.filter(~is_missing(df, column)).select(quoted(column).alias("v")).distinct()
+    return sorted(r["v"] for r in values.collect())
+
+
+def onehot(df: DataFrame, column: str) -> DataFrame:
+    """Replace a column by one boolean column per value, in value order.
 
-    At most ``limit + 1`` values of at most ``LONGEST_VALUE`` bytes reach the driver.
+    For a column of very many values ``onehot_vector`` makes one sparse vector instead.
     """
-    long = F.octet_length(F.col("v").cast("string")) > LONGEST_VALUE
-    values = df.filter(~is_missing(df, column)).select(quoted(column).alias("v")).distinct().limit(limit + 1)
-    found = values.select(F.when(~long, F.col("v")).alias("v"), long.alias("long")).collect()
-    if len(found) > limit or any(r["long"] for r in found):
-        return None
-    return sorted(r["v"] for r in found)
-
-
-def categories(df: DataFrame, column: str, limit: int) -> list[Any]:
-    """Sorted distinct values; an error above ``limit`` rather than a cut list."""
-    found = distinct_values(df, column, limit)
-    if found is None:
-        raise ValueError(f"column {column!r} has more than {limit} distinct values, or too long ones")
-    return found
-
-
-def onehot(df: DataFrame, column: str, limit: int = ONEHOT_LIMIT) -> DataFrame:
-    """Replace a column by one boolean column per value, in value order."""
-    flags = [
-        F.coalesce(quoted(column) == F.lit(v), F.lit(False)).alias(f"{column}_{v}")
-        for v in categories(df, column, limit)
-    ]
+    flags = [F.coalesce(quoted(column) == F.lit(v), F.lit(False)).alias(f"{column}_{v}") for v in categories(df, column)]
     kept = [quoted(c) for c in df.columns if c != column]
     return df.select(*kept, *flags)
 
 
-def codebook(df: DataFrame, column: str, small: int = SMALL_CODEBOOK) -> tuple[DataFrame, bool]:
-    """Values and their rank among the sorted distinct values, and whether the table is small."""
-    found = distinct_values(df, column, small)
-    if found is not None:
-        schema = T.StructType(
-            [T.StructField("_value", df.schema[column].dataType), T.StructField("_code", T.LongType())]
-        )
-        return df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(found)], schema), True
+def onehot_vector(df: DataFrame, column: str) -> DataFrame:
+    """Replace a column by a sparse vector with a 1 at the rank of its value; missing values are all zero."""
+    width = df.select(quoted(column)).distinct().filter(quoted(column).isNotNull()).count()
+    coded = label_encode(df, column)
+    place = F.when(quoted(column) >= 0, quoted(column)).otherwise(F.lit(width)).cast("double")
+    encoder = OneHotEncoder(inputCol="_place", outputCol="_vector", dropLast=True)
+    encoder = encoder.fit(df.sparkSession.createDataFrame([(float(width),)], "_place double"))  # the last place is the missing one
+    vectors = encoder.transform(coded.withColumn("_place", place))
+    return vectors.select(*[F.col("_vector").alias(c) if c == column else quoted(c) for c in df.columns])
+
+
+def codebook(df: DataFrame, column: str) -> DataFrame:
+    """Values (``_value``) and their rank among the sorted distinct values (``_code``)."""
     values = df.filter(~is_missing(df, column)).select(quoted(column).alias("_value")).distinct()
-    return with_position(values, ["_value"], "_code"), False
+    return with_position(values, ["_value"], "_code")
 
 
-def label_encode(df: DataFrame, column: str, small: int = SMALL_CODEBOOK) -> DataFrame:
+def label_encode(df: DataFrame, column: str) -> DataFrame:
     """Replace values by their rank; missing becomes -1.
 
-    A codebook of checked small size is broadcast.  A larger one is an ordinary
-    equi-join, where adaptive execution splits a value that holds many rows.
+    The codes are joined on the value: adaptive execution broadcasts them if
+    they turn out small, and else splits a value that holds many rows.
     """
-    codes, is_small = codebook(df, column, small)
     order = df.columns
-    joined = df.join(F.broadcast(codes) if is_small else codes, quoted(column) == F.col("_value"), "left")
+    joined = df.join(codebook(df, column), quoted(column) == F.col("_value"), "left")
     coded = joined.withColumn("_code", F.coalesce("_code", F.lit(-1)).cast("long"))
     return coded.select(*[F.col("_code").alias(c) if c == column else quoted(c) for c in order])
 

@@ -9,6 +9,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabwright.functions import formula as fx
 from tabwright.plans.ordering import with_position
@@ -70,28 +71,36 @@ def add_column(df: DataFrame, name: str, values: Any, order_by: Sequence[str] =
     raise TypeError(f"values must be a formula or a list, not {type(values).__name__}")
 
 
-def _sum(columns: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a + b, [F.coalesce(quoted(c), F.lit(0)) for c in columns])
+def _present(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """The columns with NaN read as missing."""
+    floating = (T.DoubleType, T.FloatType)
+    return [
+        F.when(~F.isnan(quoted(c)), quoted(c)) if isinstance(df.schema[c].dataType, floating) else quoted(c) for c in columns
+    ]
 
 
-def _product(columns: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a * b, [F.coalesce(quoted(c), F.lit(1)) for c in columns])
+def _sum(values: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a + b, [F.coalesce(v, F.lit(0)) for v in values])
 
 
-def _mean(columns: Sequence[str]) -> Column:
-    present = reduce(lambda a, b: a + b, [quoted(c).isNotNull().cast("int") for c in columns])
-    return F.try_divide(_sum(columns), present)
+def _product(values: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a * b, [F.coalesce(v, F.lit(1)) for v in values])
 
 
-def _concat(columns: Sequence[str]) -> Column:
+def _mean(values: Sequence[Column]) -> Column:
+    present = reduce(lambda a, b: a + b, [v.isNotNull().cast("int") for v in values])
+    return F.try_divide(_sum(values), present)
+
+
+def _concat(values: Sequence[Column]) -> Column:
     # a missing value prints as the text below (fixed value)
-    return F.concat_ws("_", *[F.coalesce(quoted(c).cast("string"), F.lit("nan")) for c in columns])
+    return F.concat_ws("_", *[F.coalesce(v.cast("string"), F.lit("nan")) for v in values])
 
 
-def _pair(columns: Sequence[str], name: str) -> tuple[Column, Column]:
-    if len(columns) != 2:
+def _pair(values: Sequence[Column], name: str) -> tuple[Column, Column]:
+    if len(values) != 2:
         raise ValueError(f"{name} needs exactly two columns")
-    return quoted(columns[0]), quoted(columns[1])
+    return values[0], values[1]
 
 
 MERGES = {
@@ -110,7 +119,7 @@ def merge_columns(df: DataFrame, columns: Sequence[str], name: str, operation: s
     require_absent(df, name)
     if operation not in MERGES:
         raise ValueError(f"unknown merge {operation!r}")
-    return df.withColumn(name, MERGES[operation](list(columns)))
+    return df.withColumn(name, MERGES[operation](_present(df, columns)))
 
 
 def filter_rows(df: DataFrame, text: str) -> DataFrame:

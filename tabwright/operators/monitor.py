@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabwright.plans.ordering import ROWS_PER_CHUNK
+from tabwright.plans.lineage import cut_lineage
+from tabwright.plans.ordering import ROWS_PER_CHUNK, with_chunks
 from tabwright.plans.quantiles import number
-from tabwright.plans.running import running_totals, trailing_means
+from tabwright.plans.running import means_in_chunks, running_totals, totals_in_chunks, trailing_means
 
 # fixed values of the monitoring rules
 LAST_EVENTS = 500
@@ -136,24 +137,52 @@ def running_drift(events: DataFrame, base: DataFrame, rows_per_chunk: int = ROWS
     The baseline has one row per feature column of a table, so it becomes
     literals; an event without a feature keeps that feature's earlier state.
     """
-    known = [(r["feature"], r["mean"], r["std"]) for r in base.collect() if r["std"]]
-    values = {f"f{i}": finite(F.try_element_at("features", F.lit(name))) for i, (name, _, _) in enumerate(known)}
+    known = _known(base)
+    values = _feature_values(known)
     if not values:
         return events.withColumn("raw_score", F.lit(0.0)).withColumn("drift_score", F.lit(0.0))
     totals = running_totals(events, ["project"], EVENT_ORDER, values, rows_per_chunk)
+    return _scores(totals, known).select(*events.columns, "raw_score", "drift_score")
+
+
+def _known(base: DataFrame) -> list[tuple[str, float, float]]:
+    return [(r["feature"], r["mean"], r["std"]) for r in base.collect() if r["std"]]
+
+
+def _feature_values(known: Sequence[tuple[str, float, float]]) -> dict[str, Column]:
+    return {f"f{i}": finite(F.try_element_at("features", F.lit(name))) for i, (name, _, _) in enumerate(known)}
+
+
+def _scores(totals: DataFrame, known: Sequence[tuple[str, float, float]]) -> DataFrame:
     parts = [
         _deviation(F.try_divide(f"f{i}_sum", f"f{i}_n"), F.lit(mean), F.lit(std))
         for i, (_, mean, std) in enumerate(known)
     ]
     total = sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0))
     seen = sum((p.isNotNull().cast("int") for p in parts), F.lit(0))
-    return (
-        totals.withColumn("raw_score", F.coalesce(F.try_divide(total, seen), F.lit(0.0)))
-        .withColumn("drift_score", F.round("raw_score", 3))
-        .select(*events.columns, "raw_score", "drift_score")
+    return totals.withColumn("raw_score", F.coalesce(F.try_divide(total, seen), F.lit(0.0))).withColumn(
+        "drift_score", F.round("raw_score", 3)
     )
 
 
+def scored_events(
+    events: DataFrame, base: DataFrame, last: int = LAST_EVENTS, rows_per_chunk: int = ROWS_PER_CHUNK
+) -> DataFrame:
+    """Project, time and id of every event with its rolling RMSE and drift score.
+
+    Both come from one sort, of the keys and the few numbers that they need; the result is
+    written once, for the status and the alerts to read.
+    """
+    known = _known(base)
+    values = {"mse": F.when(_numeric_pair(), F.pow(F.col("prediction") - F.col("truth"), 2)), **_feature_values(known)}
+    narrow = events.select("project", *EVENT_ORDER, *[v.cast("double").alias(f"_v_{n}") for n, v in values.items()])
+    chunked = with_chunks(narrow, ["project", *EVENT_ORDER], rows_per_chunk)
+    rolled = means_in_chunks(chunked, ["project"], ["mse"], last, rows_per_chunk)
+    totals = totals_in_chunks(rolled, ["project"], [f"f{i}" for i in range(len(known))]) if known else rolled
+    rmse = F.when(F.col("_v_mse").isNotNull(), F.round(F.sqrt("mse"), 4)).alias("rolling_rmse")
+    return cut_lineage(_scores(totals, known).select("project", *EVENT_ORDER, rmse, "raw_score", "drift_score"))
+
+
 def monitor_status(scored: DataFrame, alerts: DataFrame, shown: int = ALERTS_SHOWN) -> DataFrame:
     """Event count, current metrics and newest alerts per project.
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tabwright.operators.edit import quoted
-from tabwright.plans.quantiles import ONE_TASK_ROWS, exact_quantiles, number
+from tabwright.plans.quantiles import exact_quantiles, number
 
 # a value a reader would accept as a number (fixed value)
 NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -81,16 +81,7 @@ def missing_counts(df: DataFrame) -> DataFrame:
 
 
 def _quantile_exprs(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[Column]]:
-    """Aggregate expressions for exact quantiles.
-
-    A table known to be small computes them inside the caller's own aggregate;
-    otherwise they are found by zooming first and enter as literals.
-    """
-    if df.count() <= ONE_TASK_ROWS:
-        array = F.array(*[F.lit(float(p)) for p in probs])
-        return {
-            c: [F.element_at(F.percentile(number(c), array), i + 1) for i in range(len(probs))] for c in columns
-        }
+    """Exact quantiles, found first and entered as literals."""
     found = exact_quantiles(df, columns, probs)
     return {c: [F.lit(v).cast("double") for v in found[c]] for c in columns}
 

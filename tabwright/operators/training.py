@@ -62,7 +62,11 @@ REGRESSORS = {
 }
 SCALED = {"SVC", "LogisticRegression", "KNeighborsClassifier", "NeuralNetwork"}
 DEEPEST_TREE = 30
-SPLIT_BINS = 256
+SPLIT_BINS = 256  # at least; more if a text feature has more values
+TREES = {
+    "RandomForestClassifier", "RandomForestRegressor", "DecisionTreeClassifier", "GradientBoostingClassifier",
+    "GradientBoostingRegressor", "XGBoostClassifier", "XGBoostRegressor",
+}
 
 
 def problem_kind(algorithm: str) -> str:
@@ -101,11 +105,13 @@ def checked_params(algorithm: str, params: Mapping[str, Any] | None = None) -> d
     return result
 
 
-def _tree(params: Mapping[str, Any]) -> dict[str, Any]:
+def _tree(params: Mapping[str, Any], bins: int) -> dict[str, Any]:
     depth = params.get("max_depth")
+    if depth is not None and depth > DEEPEST_TREE:
+        raise ValueError(f"max_depth {depth} is above {DEEPEST_TREE}, the deepest tree that can be built")
     smallest = max(params.get("min_samples_leaf", 1), params.get("min_samples_split", 2) // 2)
-    deepest = DEEPEST_TREE if depth is None else min(DEEPEST_TREE, depth)
-    return {"maxDepth": deepest, "minInstancesPerNode": smallest, "maxBins": SPLIT_BINS}
+    deepest = DEEPEST_TREE if depth is None else depth
+    return {"maxDepth": deepest, "minInstancesPerNode": smallest, "maxBins": bins}
 
 
 def _feature_share(value: Any) -> str:
@@ -122,6 +128,7 @@ def estimator(
     classes: int = 2,
     label_std: float = 1.0,
     seed: int = 42,
+    bins: int = SPLIT_BINS,
 ) -> Estimator:
     """The Spark ML estimator for an algorithm name and checked parameters.
 
@@ -139,10 +146,10 @@ def estimator(
             kind = mlc.RandomForestClassifier if algorithm.endswith("Classifier") else mlr.RandomForestRegressor
             return kind(
                 numTrees=p["n_estimators"], featureSubsetStrategy=_feature_share(p["max_features"]), seed=seed,
-                **_tree(p), **columns,
+                **_tree(p, bins), **columns,
             )
         case "DecisionTreeClassifier":
-            return mlc.DecisionTreeClassifier(seed=seed, **_tree(p), **columns)
+            return mlc.DecisionTreeClassifier(seed=seed, **_tree(p, bins), **columns)
         case "LogisticRegression":
             return mlc.LogisticRegression(
                 maxIter=p["max_iter"], regParam=1.0 / (p["C"] * rows), elasticNetParam=0.0, standardization=False,
@@ -154,16 +161,16 @@ def estimator(
             return several(mlc.LinearSVC(regParam=1.0 / (p["C"] * rows), tol=1e-3, standardization=False, **columns))
         case "GradientBoostingClassifier":
             return several(
-                mlc.GBTClassifier(maxIter=p["n_estimators"], stepSize=p["learning_rate"], seed=seed, **_tree(p), **columns)
+                mlc.GBTClassifier(maxIter=p["n_estimators"], stepSize=p["learning_rate"], seed=seed, **_tree(p, bins), **columns)
             )
         case "GradientBoostingRegressor":
             return mlr.GBTRegressor(
-                maxIter=p["n_estimators"], stepSize=p["learning_rate"], seed=seed, **_tree(p), **columns
+                maxIter=p["n_estimators"], stepSize=p["learning_rate"], seed=seed, **_tree(p, bins), **columns
             )
         case "XGBoostClassifier" | "XGBoostRegressor":
             boosted = {
                 "maxIter": p["n_estimators"], "stepSize": p["learning_rate"], "maxDepth": p["max_depth"],
-                "maxBins": SPLIT_BINS, "subsamplingRate": p["subsample"], "featureSubsetStrategy": _feature_share(p["colsample_bytree"]),
+                "maxBins": bins, "subsamplingRate": p["subsample"], "featureSubsetStrategy": _feature_share(p["colsample_bytree"]),
                 "seed": seed, **columns,
             }
             if algorithm == "XGBoostRegressor":
@@ -200,8 +207,8 @@ def encode_target(df: DataFrame, target: str, kind: str, name: str = "label") ->
         return df.withColumn(name, value).filter(F.col(name).isNotNull()), None
     if is_number:
         return df.withColumn(name, number(target)), None
-    codes, small = codebook(df, target)
-    joined = df.join(F.broadcast(codes) if small else codes, quoted(target) == F.col("_value"))
+    codes = codebook(df, target)
+    joined = df.join(codes, quoted(target) == F.col("_value"))
     coded = joined.withColumn(name, F.col("_code").cast("double")).drop("_value", "_code")
     return coded, codes.select(F.col("_value").alias("value"), F.col("_code").alias("code"))
 

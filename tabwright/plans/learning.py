@@ -9,7 +9,9 @@ from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import Imputer, IndexToString, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import (
+    Imputer, IndexToString, OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler,
+)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -18,13 +20,11 @@ from pyspark.sql import types as T
 
 from tabwright.operators import evaluate as ev
 from tabwright.operators import neighbours, training
-from tabwright.operators.clean import categories
 from tabwright.operators.edit import generated_features, quoted, split_features_target
 from tabwright.operators.split import train_test_split
 from tabwright.plans.lineage import cut_lineage, spread
 
 GOOD_SCORE = 7.0
-MAX_CLASSES = 1_000
 
 
 @dataclass
@@ -46,12 +46,15 @@ def _is_text(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.StringType)
 
 
-def preparation(df: DataFrame, features: Sequence[str], scale: bool) -> list:
-    """Stages that turn feature columns into the vector ``_features``."""
+def preparation(df: DataFrame, features: Sequence[str], algorithm: str) -> list:
+    """Stages that turn feature columns into the vector ``_features``.
+
+    Trees get the codes of text features as categories; for every other
+    learner, which would read codes as quantities, each value is a dimension of its own.
+    """
+    scale = algorithm in training.SCALED
     texts = [c for c in features if _is_text(df, c)]
     numbers = [c for c in features if c not in texts]
-    for c in texts:  # trees need every category in a bin, and one bin is for unseen values
-        categories(df, c, training.SPLIT_BINS - 1)
     stages = []
     if texts:
         stages.append(
@@ -62,13 +65,27 @@ def preparation(df: DataFrame, features: Sequence[str], scale: bool) -> list:
         )
     if numbers:
         stages.append(Imputer(inputCols=numbers, outputCols=[f"_full_{c}" for c in numbers], strategy="mean"))
-    parts = [f"_code_{c}" if c in texts else f"_full_{c}" for c in features]
+    one_hot = bool(texts) and algorithm not in training.TREES
+    if one_hot:
+        stages.append(
+            OneHotEncoder(
+                inputCols=[f"_code_{c}" for c in texts], outputCols=[f"_flags_{c}" for c in texts], handleInvalid="keep",
+                dropLast=True,
+            )
+        )
+    parts = [(f"_flags_{c}" if one_hot else f"_code_{c}") if c in texts else f"_full_{c}" for c in features]
     stages.append(VectorAssembler(inputCols=parts, outputCol="_raw" if scale else "_features"))
     if scale:
         stages.append(StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True))
     return stages
 
 
+def _text_bins(model: PipelineModel) -> int:
+    """Bins that trees need: one per value of the widest text feature and one for unseen values."""
+    widths = [len(labels) for s in model.stages if isinstance(s, StringIndexerModel) for labels in s.labelsArray]
+    return max(training.SPLIT_BINS, *(w + 1 for w in widths)) if widths else training.SPLIT_BINS
+
+
 def _typed(df: DataFrame, features: Sequence[str]) -> DataFrame:
     numeric = [c for c in features if not _is_text(df, c)]
     return df.withColumns({c: quoted(c).cast("double") for c in numeric})
@@ -96,13 +113,10 @@ def fit(
     labelled = _labelled(_typed(train, features), target, kind)
     text_target = kind == "classification" and _is_text(train, target)
     kept = [*features, target] if text_target else [*features, "_label"]
-    stages = preparation(train, features, algorithm in training.SCALED)
+    stages = preparation(train, features, algorithm)
     if text_target:
-        categories(train, target, MAX_CLASSES)
-        stages = [
-            StringIndexer(inputCol=target, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep"),
-            *stages,
-        ]
+        # no class for unseen labels: rows without a label are gone, and the learner counts the classes
+        stages = [StringIndexer(inputCol=target, outputCol="_label", stringOrderType="alphabetAsc"), *stages]
     # the statistics of every stage and the learner itself pass over these rows
     rows = spread(labelled.select(*[quoted(c) for c in kept])).persist()
     try:
@@ -120,8 +134,10 @@ def fit(
             F.count(F.lit(1)).alias("rows"), F.max("_label").alias("top"), F.stddev_pop("_label").alias("spread")
         ).first()
         classes = int(facts["top"]) + 1 if kind == "classification" and facts["top"] is not None else 0
+        first = prepared.select("_features").first()
+        width = first["_features"].size if first else len(features)
         learner = training.estimator(
-            algorithm, checked, facts["rows"], len(features), classes, facts["spread"] or 1.0, seed
+            algorithm, checked, facts["rows"], width, classes, facts["spread"] or 1.0, seed, _text_bins(prepared_model)
         )
         fitted = learner.fit(prepared.select("_label", "_features"))
     finally:
@@ -129,7 +145,7 @@ def fit(
     decode = []
     if text_target:
         labels = prepared_model.stages[0].labels
-        decode = [IndexToString(inputCol="prediction", outputCol="_decoded", labels=[*labels, "__unknown"])]
+        decode = [IndexToString(inputCol="prediction", outputCol="_decoded", labels=labels)]
     whole = PipelineModel(stages=[*prepared_model.stages, fitted, *decode])
     return Trained(algorithm, checked, kind, list(features), target, whole)
 
@@ -253,12 +269,20 @@ def tune(
         raise ValueError("nearest neighbours are no Spark ML estimator: choose with train_until")
     points = [training.checked_params(algorithm, p) for p in candidates(grid or DEFAULT_GRIDS[algorithm])]
     rows = _labelled(_typed(df, features), target, kind)
-    stages = preparation(df, features, algorithm in training.SCALED)
-    if kind == "classification" and _is_text(df, target):
+    text_target = kind == "classification" and _is_text(df, target)
+    rows = spread(rows.select(*[quoted(c) for c in ([*features, target] if text_target else [*features, "_label"])]))
+    # a row's fold follows from its values, so equal rows are never on both sides
+    rows = rows.withColumn("_fold", F.pmod(F.xxhash64(*[quoted(c) for c in rows.columns]), F.lit(folds)).cast("int"))
+    stages = preparation(df, features, algorithm)
+    if text_target:
         stages = [StringIndexer(inputCol=target, outputCol="_label", stringOrderType="alphabetAsc"), *stages]
-    prepared = Pipeline(stages=stages).fit(rows).transform(rows).select("_label", "_features")
-    prepared = spread(prepared).persist()
+    # names of categories are known beforehand; means and deviations are learnt inside each fold
+    named = Pipeline(stages=[s for s in stages if isinstance(s, (StringIndexer, OneHotEncoder))]).fit(rows)
+    learnt = [s for s in stages if not isinstance(s, (StringIndexer, OneHotEncoder))]
+    prepared = named.transform(rows).persist()
     try:
+        first = Pipeline(stages=learnt).fit(prepared).transform(prepared).select("_features").first()
+        width = first["_features"].size if first else len(features)
         facts = prepared.agg(
             F.count(F.lit(1)).alias("rows"), F.max("_label").alias("top"), F.stddev_pop("_label").alias("spread")
         ).first()
@@ -269,14 +293,16 @@ def tune(
             else MulticlassClassificationEvaluator(labelCol="_label", metricName="f1")
         )
         learners = [
-            training.estimator(algorithm, p, facts["rows"], len(features), classes, facts["spread"] or 1.0, seed)
+            training.estimator(
+                algorithm, p, facts["rows"], width, classes, facts["spread"] or 1.0, seed, _text_bins(named)
+            )
             for p in points
         ]
         pipeline = Pipeline(stages=[])
-        builder = ParamGridBuilder().addGrid(pipeline.stages, [[learner] for learner in learners]).build()
+        builder = ParamGridBuilder().addGrid(pipeline.stages, [[*learnt, learner] for learner in learners]).build()
         found = CrossValidator(
             estimator=pipeline, estimatorParamMaps=builder, evaluator=judge, numFolds=folds,
-            parallelism=parallelism, seed=seed,
+            parallelism=parallelism, seed=seed, foldCol="_fold",
         ).fit(prepared)
     finally:
         prepared.unpersist()

@@ -11,6 +11,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+FEWEST_PARTS, ROWS_PER_PART = 8, 250_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,11 +41,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Even out a table that arrives in fewer partitions than there are cores.
+def spread(df: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """Lay rows out by a hash of their columns, for learners that pass over them many times.
 
-    Meant for inputs that are passed over many times; a large table has
-    partitions enough and is left as it is.
+    The number of parts follows from the number of rows, and rows are sorted inside a part, so what a
+    learner draws from a part does not depend on the cores or on how the table arrived.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    plain = [c for c, kind in df.dtypes if not kind.startswith(("map", "variant")) and kind != "vector"]
+    key = F.xxhash64(*[F.col(f"`{c}`") for c in plain])
+    parts = max(FEWEST_PARTS, -(-df.count() // rows_per_part))
+    return df.repartition(parts, key).sortWithinPartitions(key, *[F.col(f"`{c}`") for c in plain])

@@ -1,11 +1,9 @@
-"""Exact quantiles of whole columns.
-
-``percentile`` keeps every distinct value of a column in one buffer, which is
-fine for a table of known small size and impossible for a large one.  Above
-``ONE_TASK_ROWS`` the value at a rank is found by zooming: count rows per value
-bucket, keep the bucket that holds the rank, and repeat inside it.  Each round
-is one scan with map-side combining and returns at most ``BUCKETS`` rows per
-open interval.
+"""Exact quantiles of whole columns in at most four scans.
+
+A double becomes a 64-bit number of the same order.  Each scan counts the rows by the next 16 bits
+of these numbers, for all columns and wanted ranks together, combined before the
+shuffle; the bucket that holds a rank is opened further in the next scan, until it holds a single value.
+Nothing is sorted or gathered, whatever the size of the table or the spread of the values.
 """
 
 from __future__ import annotations
@@ -15,9 +13,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-ONE_TASK_ROWS = 1_000_000
-BUCKETS = 4096
+STEP = 16
 
 
 def number(name: str) -> Column:
@@ -26,104 +24,83 @@ def number(name: str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def _bucket(value: Column, low: float, high: float) -> Column:
-    # halves keep (high - low) finite for any pair of doubles
-    share = (value * 0.5 - low * 0.5) / F.lit(high * 0.5 - low * 0.5)
-    return F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+def ordered_bits(value: Column) -> Column:
+    """A long that orders as the doubles do: sign, exponent and fraction, both zeros alike."""
+    size = F.abs(value)
+    near = F.floor(F.log2(size))
+    two = F.lit(2.0)
+    exponent = near - (F.pow(two, near) > size).cast("int") + (F.pow(two, near + 1) <= size).cast("int")
+    fraction = (size / F.pow(two, exponent) - 1) * float(1 << 52)
+    normal = F.shiftleft((exponent + 1023).cast("long"), 52) + fraction.cast("long")
+    tiny = (size * 2.0**537 * 2.0**537).cast("long")
+    endless = F.lit(0x7FF << 52)
+    bits = F.when(size == float("inf"), endless).when(size < 2.0**-1022, tiny).otherwise(normal)
+    return F.when(value < 0, -bits).otherwise(bits)
 
 
-def _values_at_ranks(
-    df: DataFrame, wanted: dict[str, set[int]], bounds: dict[str, tuple[float, float]], one_task_rows: int
-) -> dict[tuple[str, int], float]:
-    found: dict[tuple[str, int], float] = {}
-    open_ranks = {(c, k): (*bounds[c], 0, None) for c, ranks in wanted.items() for k in ranks}
-    while open_ranks:
-        small: dict[tuple, list[tuple[str, int]]] = {}
-        wide: dict[tuple, list[tuple[str, int]]] = {}
-        for (name, rank), (low, high, below, size) in list(open_ranks.items()):
-            if low == high:
-                found[name, rank] = low
-                del open_ranks[name, rank]
-            elif size is not None and size <= one_task_rows:
-                small.setdefault((name, low, high, below), []).append((name, rank))
-            else:
-                wide.setdefault((name, low, high, below), []).append((name, rank))
-
-        if small:
-            picks = []
-            for i, (name, low, high, below) in enumerate(small):
-                inside = F.sort_array(F.collect_list(F.when(number(name).between(low, high), number(name))))
-                picks += [
-                    F.element_at(inside, rank - below + 1).alias(f"p{i}_{rank}")
-                    for _, rank in small[name, low, high, below]
-                ]
-            row = df.agg(*picks).first()
-            for i, key in enumerate(small):
-                for name, rank in small[key]:
-                    found[name, rank] = row[f"p{i}_{rank}"]
-                    del open_ranks[name, rank]
-
-        if wide:
-            intervals = list(wide)
-            tagged = [
-                F.when(
-                    number(name).between(low, high),
-                    F.struct(
-                        F.lit(i).alias("interval"),
-                        _bucket(number(name), low, high).alias("bucket"),
-                        number(name).alias("value"),
-                    ),
-                )
-                for i, (name, low, high, _) in enumerate(intervals)
-            ]
-            histogram = (
-                df.select(F.explode(F.array_compact(F.array(*tagged))).alias("h"))
-                .groupBy("h.interval", "h.bucket")
-                .agg(F.count("*").alias("n"), F.min("h.value").alias("low"), F.max("h.value").alias("high"))
-                .orderBy("interval", "bucket")
-                .collect()
-            )
-            for i, key in enumerate(intervals):
-                below = key[3]
-                for bucket in (r for r in histogram if r["interval"] == i):
-                    for name, rank in wide[key]:
-                        if below <= rank < below + bucket["n"]:
-                            open_ranks[name, rank] = (bucket["low"], bucket["high"], below, bucket["n"])
-                    below += bucket["n"]
-    return found
-
-
-def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], one_task_rows: int = ONE_TASK_ROWS
-) -> dict[str, list[float | None]]:
+def _counted(df: DataFrame, intervals: Sequence[tuple[str, int | None]], scan: int) -> DataFrame:
+    """Rows per interval and bucket, with the rows up to its end and in the whole interval.
+
+    An interval is a column and the leading bits of its values, or None for all of them.
+    """
+    kept, shift = 64 - STEP * scan, 64 - STEP * (scan + 1)
+    bits = {c: f"_bits{i}" for i, c in enumerate(dict.fromkeys(c for c, _ in intervals))}
+    wide = df.select(*[ordered_bits(number(c)).alias(b) for c, b in bits.items()], *[number(c).alias(f"v{b}") for c, b in bits.items()])
+    tagged = []
+    for i, (name, prefix) in enumerate(intervals):
+        bit = F.col(bits[name])
+        inside = bit.isNotNull() if prefix is None else F.shiftright(bit, kept) == prefix
+        bucket = F.struct(F.lit(i).alias("interval"), F.shiftright(bit, shift).alias("bucket"), F.col(f"v{bits[name]}").alias("value"))
+        tagged.append(F.when(inside, bucket))
+    counts = (
+        wide.select(F.explode(F.array_compact(F.array(*tagged))).alias("h"))
+        .groupBy("h.interval", "h.bucket")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("h.value").alias("low"), F.max("h.value").alias("high"))
+    )
+    whole = Window.partitionBy("interval")  # at most 2 ** STEP buckets
+    return counts.withColumn("upto", F.sum("n").over(whole.orderBy("bucket"))).withColumn("total", F.sum("n").over(whole))
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles per column; ``None`` for an all-missing column."""
+    columns = list(dict.fromkeys(columns))
     if not columns:
         return {}
-    array = F.array(*[F.lit(float(p)) for p in probs])
-    if df.count() <= one_task_rows:
-        row = df.agg(*[F.percentile(number(c), array).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-        return {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(columns)}
-    sizes = df.agg(
-        *[f(number(c)).alias(f"{tag}{i}") for i, c in enumerate(columns)
-          for tag, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
-    ).first()
-    result: dict[str, list[float | None]] = {}
-    zoom = {}
-    for i, c in enumerate(columns):
-        if sizes[f"n{i}"] == 0:
-            result[c] = [None] * len(probs)
+
+    def places(total: int) -> list[tuple[float, int, int]]:
+        return [(p * (total - 1), math.floor(p * (total - 1)), math.ceil(p * (total - 1))) for p in probs]
+
+    found: dict[tuple[str, int], float] = {}
+    totals: dict[str, int] = {}
+    open_ranks: dict[tuple[str, int], tuple[int | None, int]] = {}  # leading bits, and rows below them
+    for scan in range(64 // STEP):
+        intervals = list(dict.fromkeys((c, prefix) for (c, _), (prefix, _) in open_ranks.items())) if scan else [(c, None) for c in columns]
+        holds = F.lit(False)
+        if scan:
+            for (c, rank), (prefix, below) in open_ranks.items():
+                at = (F.col("interval") == intervals.index((c, prefix))) & (F.col("upto") > rank - below)
+                holds = holds | (at & (F.col("upto") - F.col("n") <= rank - below))
         else:
-            zoom[c] = (sizes[f"n{i}"], sizes[f"lo{i}"], sizes[f"hi{i}"])
-    if zoom:
-        wanted = {
-            c: {k for p in probs for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}
-            for c, (n, _, _) in zoom.items()
-        }
-        values = _values_at_ranks(df, wanted, {c: (lo, hi) for c, (_, lo, hi) in zoom.items()}, one_task_rows)
-        for c, (n, _, _) in zoom.items():
-            result[c] = []
             for p in probs:
-                place = p * (n - 1)
-                low, high = values[c, math.floor(place)], values[c, math.ceil(place)]
-                result[c].append(low + (high - low) * (place - math.floor(place)))
+                for rank in (F.floor(F.lit(float(p)) * (F.col("total") - 1)), F.ceil(F.lit(float(p)) * (F.col("total") - 1))):
+                    holds = holds | ((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank))
+        rows = _counted(df, intervals, scan).filter(holds).collect()
+        if not scan:
+            totals = {columns[r["interval"]]: r["total"] for r in rows}
+            open_ranks = {(c, k): (None, 0) for c, total in totals.items() for _, low, high in places(total) for k in (low, high)}
+        still = {}
+        for (c, rank), (prefix, below) in open_ranks.items():
+            i = intervals.index((c, prefix))
+            row = next(r for r in rows if r["interval"] == i and r["upto"] - r["n"] <= rank - below < r["upto"])
+            if row["low"] == row["high"]:
+                found[c, rank] = row["low"]
+            else:
+                still[c, rank] = (row["bucket"], below + row["upto"] - row["n"])
+        open_ranks = still
+        if not open_ranks:
+            break
+    result: dict[str, list[float | None]] = {}
+    for c in columns:
+        ends = [(at, found[c, low], found[c, high]) for at, low, high in places(totals[c])] if c in totals else []
+        result[c] = [low + (high - low) * (at - math.floor(at)) for at, low, high in ends] or [None] * len(probs)
     return result

@@ -29,6 +29,12 @@ def running_totals(
     """
     named = df.withColumns({f"_v_{n}": c.cast("double") for n, c in values.items()})
     chunked = with_chunks(named, [*keys, *order], rows_per_chunk)
+    added = [f"{n}_{tag}" for n in values for tag in ("n", "sum")]
+    return totals_in_chunks(chunked, keys, list(values)).select(*df.columns, *added)
+
+
+def totals_in_chunks(chunked: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Running totals of the columns ``_v_<name>`` of rows that have a position and a chunk."""
     totals = chunked.groupBy(*keys, "_chunk").agg(
         *[f(f"_v_{n}").alias(f"{tag}_{n}") for n in values for tag, f in (("_tn", F.count), ("_ts", F.sum))]
     )
@@ -48,7 +54,7 @@ def running_totals(
     return joined.withColumns(
         {f"{n}_n": F.col(f"{n}_n") + F.col(f"_p_tn_{n}") for n in values}
         | {f"{n}_sum": F.col(f"{n}_sum") + F.col(f"_p_ts_{n}") for n in values}
-    ).select(*df.columns, *[f"{n}_{tag}" for n in values for tag in ("n", "sum")])
+    ).drop(*[f"_p{tag}_{n}" for n in values for tag in ("_tn", "_ts")])
 
 
 def trailing_means(
@@ -66,7 +72,16 @@ def trailing_means(
     number of additions and no large sums are subtracted from each other.
     """
     named = df.withColumns({f"_v_{n}": c.cast("double") for n, c in values.items()})
-    chunked = carry_over(with_chunks(named, [*keys, *order], rows_per_chunk), rows - 1, rows_per_chunk)
+    chunked = with_chunks(named, [*keys, *order], rows_per_chunk)
+    return means_in_chunks(chunked, keys, list(values), rows, rows_per_chunk).select(*df.columns, *values)
+
+
+def means_in_chunks(
+    chunked: DataFrame, keys: Sequence[str], values: Sequence[str], rows: int, rows_per_chunk: int = ROWS_PER_CHUNK
+) -> DataFrame:
+    """Trailing means of the columns ``_v_<name>`` of rows that have a position and a chunk."""
+    kept = chunked.columns
+    chunked = carry_over(chunked, rows - 1, rows_per_chunk)
     group = [*keys, "_chunk"]
     along = Window.partitionBy(*group).orderBy("_pos")
     placed = chunked.withColumn("_at", F.row_number().over(along) - 1)
@@ -88,4 +103,4 @@ def trailing_means(
         return head + F.when(full_block, 0).otherwise(F.coalesce(rest, F.lit(0)))
 
     means = sums.withColumns({n: F.try_divide(whole("s", n), whole("n", n)) for n in values})
-    return means.filter(~F.col("_carried")).select(*df.columns, *values)
+    return means.filter(~F.col("_carried")).select(*kept, *values)

@@ -124,8 +124,8 @@ def label(t):
 @query("clean_label_encode_large", """
 SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_custkey) - 1 AS BIGINT) AS o_custkey FROM orders""")
 def label_large(t):
-    """The path for codebooks too large to broadcast."""
-    return cl.label_encode(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", small=10)
+    """A codebook of many values."""
+    return cl.label_encode(t.orders.select("o_orderkey", "o_custkey"), "o_custkey")
 
 
 _REPORT_OPS = [

@@ -89,6 +89,23 @@ def merge_concat(t):
     )
 
 
+@query("merge_nan", f"""
+WITH x AS (SELECT *, CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END AS q FROM lineitem)
+SELECT {fx.KEY_SQL}, coalesce(q, 0) + l_discount AS added, coalesce(q, 1) * l_discount AS multiplied,
+       (coalesce(q, 0) + l_discount) / (1 + (q IS NOT NULL)::INT) AS mean,
+       CASE WHEN q IS NULL THEN 'nan' ELSE l_returnflag END || '_' || l_linestatus AS joined
+FROM x""")
+def merge_nan(t):
+    """NaN counts as missing."""
+    gap = F.col("l_linenumber") % 3 != 0
+    df = t.lineitem.withColumn("q", F.when(gap, F.col("l_quantity")).otherwise(float("nan")))
+    for name, operation in (("added", "add"), ("multiplied", "multiply"), ("mean", "mean")):
+        df = edit.merge_columns(df, ["q", "l_discount"], name, operation)
+    df = edit.merge_columns(df, ["q", "l_linestatus"], "joined", "concat")
+    flag = F.when(F.col("joined").startswith("nan_"), F.col("joined")).otherwise(F.concat_ws("_", "l_returnflag", "l_linestatus"))
+    return df.select(*fx.LINEITEM_KEY, "added", "multiplied", "mean", flag.alias("joined"))
+
+
 @query("edit_filter", """
 SELECT * FROM orders
 WHERE (o_totalprice > 100000 AND o_orderstatus = 'O') OR o_orderpriority IN ('1-URGENT', '2-HIGH')""")

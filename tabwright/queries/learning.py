@@ -182,6 +182,74 @@ def save_load(t):
     return le.predict(ms.load_model(t.spark, path), table.select(*fx.LINEITEM_KEY, *FEATURES))
 
 
+def _size_rule(name, algorithm, params):
+    """Trees whose splits are the rule itself."""
+
+    @query(name, _SIZE_SQL)
+    def run(t):
+        table = model_table(t)
+        trained = le.train(table, "size", algorithm, fx.LINEITEM_KEY, params, FEATURES)
+        return le.predict(trained, table.select(*fx.LINEITEM_KEY, *FEATURES))
+
+
+_size_rule("ml_rf_classifier_rule", "RandomForestClassifier", {"n_estimators": 5, "max_depth": 4, "max_features": None})
+_size_rule("ml_gbt_classifier_rule", "GradientBoostingClassifier", {"n_estimators": 3, "max_depth": 3})
+_size_rule("ml_xgb_like_rule", "XGBoostClassifier", {"n_estimators": 3, "max_depth": 3})
+
+
+_STEP_SQL = f"""
+SELECT {fx.KEY_SQL}, CASE WHEN l_quantity > 34 THEN 30.0::DOUBLE WHEN l_quantity > 17 THEN 20.0::DOUBLE ELSE 10.0::DOUBLE END AS prediction
+FROM lineitem"""
+
+
+def _step_rule(name, algorithm, params):
+    """A step function, which trees with constant leaves reproduce."""
+
+    @query(name, _STEP_SQL)
+    def run(t):
+        table = model_table(t)
+        steps = F.when(F.col("size") == "bulk", 30.0).when(F.col("size") == "normal", 20.0).otherwise(10.0)
+        table = table.withColumn("step", steps)
+        trained = le.train(table, "step", algorithm, fx.LINEITEM_KEY, params, FEATURES)
+        scored = le.predict(trained, table.select(*fx.LINEITEM_KEY, *FEATURES))
+        return fx.rounded(scored.select(*fx.LINEITEM_KEY, "prediction"), ["prediction"], 4)
+
+
+_step_rule("ml_rf_regressor_rule", "RandomForestRegressor", {"n_estimators": 5, "max_depth": 4, "max_features": None})
+_step_rule("ml_gbt_regressor_rule", "GradientBoostingRegressor", {"n_estimators": 3, "max_depth": 3})
+_step_rule("ml_xgb_like_regressor_rule", "XGBoostRegressor", {"n_estimators": 3, "max_depth": 3})
+
+
+@query("ml_svc_text_rule", f"""
+SELECT {fx.KEY_SQL}, l_quantity, CASE WHEN l_quantity > 25 THEN 'many' ELSE 'few' END AS prediction
+FROM lineitem WHERE l_quantity <= 15 OR l_quantity > 35""")
+def svc_text(t):
+    """Two text labels apart by a margin."""
+    rows = t.lineitem.filter("l_quantity <= 15 OR l_quantity > 35").select(
+        *fx.LINEITEM_KEY, "l_quantity", F.when(F.col("l_quantity") > 25, "many").otherwise("few").alias("amount")
+    )
+    trained = le.fit(rows, ["l_quantity"], "amount", "SVC", {})
+    return le.predict(trained, rows.drop("amount"))
+
+
+@query("ml_many_categories", """
+SELECT c_custkey, 'c' || (c_custkey % 400) AS kind, CAST(c_custkey % 400 % 2 AS DOUBLE) AS prediction FROM customer""")
+def many_categories(t):
+    """A text feature with hundreds of values."""
+    code = F.col("c_custkey") % 400
+    rows = t.customer.select("c_custkey", F.concat(F.lit("c"), code.cast("string")).alias("kind"), (code % 2).alias("odd"))
+    trained = le.fit(rows, ["kind"], "odd", "DecisionTreeClassifier", {"max_depth": 2})
+    return le.predict(trained, rows.drop("odd"))
+
+
+@query("ml_many_classes", "SELECT c_custkey, 'k' || c_custkey AS prediction FROM customer")
+def many_classes(t):
+    """As many classes as rows."""
+    rows = t.customer.select("c_custkey", F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("name"))
+    trained = le.fit(rows, ["c_custkey"], "name", "KNeighborsClassifier", {"n_neighbors": 1})
+    return le.predict(trained, rows.select("c_custkey"), "c_custkey")
+
+
 @query("ml_tune_grid")
 def tune(t):
     _, table = le.tune(

@@ -117,7 +117,7 @@ SELECT project, count(*) AS recent_count,
        coalesce(any_value(alerts_shown), 0) AS alerts_shown, any_value(newest_alert) AS newest_alert
 FROM scored JOIN rolled USING (project, event_id, ts) LEFT JOIN listed USING (project) GROUP BY project""")
 def status(t):
-    scored = mo.running_drift(mo.rolling_rmse(events(t)), base_stats(t))
+    scored = mo.scored_events(events(t), base_stats(t))
     found = mo.monitor_status(scored, mo.drift_alerts(scored))
     return found.select(
         "project",

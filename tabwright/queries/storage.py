@@ -7,7 +7,7 @@ from tabwright.plans.lineage import scratch_path
 from tabwright.queries import fixtures as fx
 from tabwright.queries.monitoring import BASE_SQL, base_stats, events, typed_events
 from tabwright.queries.registry import query
-from tabwright.sources import inventory, readers, writers
+from tabwright.sources import readers, writers
 from tabwright.streaming import events as log
 from tabwright.streaming import monitor as live
 
@@ -24,6 +24,14 @@ def csv_schema(t):
     return readers.read_csv(t.spark, path, t.orders.schema)
 
 
+@query("src_json_lines", "SELECT c_custkey, c_name FROM customer")
+def json_lines(t):
+    """Lines that the reader has to recognise."""
+    path = scratch_path(t.spark, "lines") + ".json"
+    t.customer.select("c_custkey", "c_name").write.json(path)
+    return readers.read_any(t.spark, path)
+
+
 @query("src_json_roundtrip", "SELECT c_acctbal, c_custkey, c_mktsegment, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey FROM customer")
 def json_roundtrip(t):
     path = scratch_path(t.spark, "json")
@@ -92,18 +100,6 @@ def sink(t):
     return parts[0].unionByName(parts[1])
 
 
-@query("files_list")
-def files_list(t):
-    return inventory.list_files(t.spark, t.folder, "*.parquet")
-
-
-@query("files_storage_stats")
-def storage_stats(t):
-    return inventory.storage_stats(
-        t.spark, {"events": f"{t.folder}/events.parquet", "tables": t.folder}
-    )
-
-
 def _stream(t, table):
     """The table as files of a stream that takes several batches to read."""
     path = scratch_path(t.spark, "arriving")
@@ -132,7 +128,9 @@ def feature_stats(t):
 
 @query("stream_monitor", f"""
 WITH {fx.EVENTS_SQL}, {BASE_SQL},
-last500 AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY project ORDER BY ts DESC, event_id DESC) <= 500),
+ends AS (SELECT project, max(struct_pack(t := ts, i := event_id)) AS e FROM ev WHERE truth IS NOT NULL GROUP BY project),
+last500 AS (SELECT ev.* FROM ev JOIN ends USING (project) WHERE struct_pack(t := ts, i := event_id) <= e
+            QUALIFY row_number() OVER (PARTITION BY project ORDER BY ts DESC, event_id DESC) <= 500),
 rolled AS (SELECT project, round(sqrt(avg((prediction - truth) ^ 2)), 4) AS rolling_rmse FROM last500 GROUP BY project)
 SELECT project, count(*) AS recent_count, any_value(rolling_rmse) AS rolling_rmse,
        round((least(abs(avg(value) - any_value(mv)) / any_value(sv), 10)
@@ -144,7 +142,10 @@ def stream_monitor(t):
 
 @query("stream_monitor_accuracy", f"""
 WITH {fx.EVENTS_SQL},
-last500 AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY project ORDER BY ts DESC, event_id DESC) <= 500)
+ends AS (SELECT project, max(struct_pack(t := ts, i := event_id)) AS e FROM ev
+         WHERE predicted_type IS NOT NULL AND true_type IS NOT NULL GROUP BY project),
+last500 AS (SELECT ev.* FROM ev JOIN ends USING (project) WHERE struct_pack(t := ts, i := event_id) <= e
+            QUALIFY row_number() OVER (PARTITION BY project ORDER BY ts DESC, event_id DESC) <= 500)
 SELECT project, round(avg((predicted_type = true_type)::INT), 4) AS rolling_accuracy FROM last500 GROUP BY project""")
 def stream_monitor_accuracy(t):
     return _monitored(t, typed_events(t)).select("project", "rolling_accuracy")

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from tabwright.functions import text as tx
 from tabwright.operators import texts as op
-from tabwright.plans.lineage import spread
 from tabwright.queries import fixtures as fx
 from tabwright.queries.registry import query
 
@@ -25,7 +24,7 @@ SELECT {fx.KEY_SQL}, """ + ", ".join(
     f"TRY_CAST(nullif(regexp_extract(text, '(?i)(?:^|[^A-Za-z0-9_])(?:{labels}):\\s*(-?[0-9.]+)', 1), '') AS DOUBLE) AS {name}"
     for name, labels in tx.METRIC_LABELS.items()) + " FROM logs")
 def metrics(t):
-    lines = spread(t.lineitem.select(*fx.LINEITEM_KEY, "l_quantity"))
+    lines = t.lineitem.select(*fx.LINEITEM_KEY, "l_quantity")
     return op.extract_metrics(built(lines, LOG)).drop("text", "l_quantity")
 
 
@@ -80,6 +79,16 @@ def json_texts(t):
     return built(t.part, JSON_TEXT).select(*_BUILT)
 
 
+@query("text_json_nested", """
+SELECT p_partkey, '{"a":{"b":{"c":' || p_size || '}},"d":{"e":"{{' || p_brand || '}}"}}' AS json FROM part""")
+def nested_json(t):
+    """Valid objects stay as they are, whatever braces they hold."""
+    text = F.concat(
+        F.lit('{"a":{"b":{"c":'), F.col("p_size").cast("string"), F.lit('}},"d":{"e":"{{'), F.col("p_brand"), F.lit('}}"}}')
+    )
+    return t.part.select("p_partkey", tx.json_text(text).alias("json"))
+
+
 @query("text_json", f"""
 WITH {_CASCADE_SQL}
 SELECT p_partkey, json_extract_string(j, '$.tool') AS tool, CAST(json_extract_string(j, '$.n') AS INT) AS n,

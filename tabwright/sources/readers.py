@@ -16,6 +16,7 @@ Schema = T.StructType | str | None
 
 # fixed values: what may be loaded; spreadsheets have to be converted first
 EXTENSIONS = [".csv", ".json", ".txt", ".parquet"]
+LINE_EXTENSIONS = [".jsonl", ".ndjson"]
 SPREADSHEETS = [".xlsx", ".xls"]
 
 
@@ -42,6 +43,22 @@ def read_json(spark: SparkSession, path: str, schema: Schema = None, lines: bool
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
+def holds_lines(spark: SparkSession, path: str) -> bool:
+    """Whether JSON files hold one value per line, told by the first lines of one of them."""
+    first = spark.read.text(path).filter(F.col("value").rlike(r"\S")).select(
+        "value", F.try_parse_json("value").isNotNull().alias("whole")
+    ).take(2)
+    return bool(first) and first[0]["whole"] and not first[0]["value"].lstrip().startswith("[")
+
+
+def read_json_documents(spark: SparkSession, path: str, schema: Schema = None) -> DataFrame:
+    """Files of one value each; an error if a file holds several, of which only the first would be read."""
+    several = F.col("value").rlike(r"[}\]]\s*\n\s*[{\[]")  # inside one value a comma stands between
+    if not spark.read.text(path, wholetext=True).filter(several).isEmpty():
+        raise ValueError(f"a JSON file in {path} holds more than one value and not one per line")
+    return read_json(spark, path, schema)
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """The lines that are not blank."""
     return spark.read.text(path).filter(F.col("value").rlike(r"\S"))
@@ -51,13 +68,20 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_any(spark: SparkSession, path: str, schema: Schema = None) -> DataFrame:
-    """Choose the reader by extension; an unknown one is tried as CSV."""
+def read_any(spark: SparkSession, path: str, schema: Schema = None, lines: bool | None = None) -> DataFrame:
+    """Choose the reader by extension; an unknown one is tried as CSV.
+
+    ``lines`` says whether JSON files hold one object per line; without it the files tell.
+    """
     extension = PurePosixPath(path.rstrip("/")).suffix.lower()
     if extension in SPREADSHEETS:
         raise ValueError(f"{extension} files have to be converted to CSV or Parquet first")
+    if extension in LINE_EXTENSIONS:
+        return read_json(spark, path, schema, lines=True)
     if extension == ".json":
-        return read_json(spark, path, schema)
+        if lines is None:
+            lines = holds_lines(spark, path)
+        return read_json(spark, path, schema, lines=True) if lines else read_json_documents(spark, path, schema)
     if extension == ".txt":
         return read_text(spark, path)
     if extension == ".parquet":

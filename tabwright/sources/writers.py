@@ -27,14 +27,23 @@ def save_version(df: DataFrame, folder: str, version: str | None = None, fmt: st
     return path
 
 
+def finished_versions(spark: SparkSession, folder: str) -> list[str]:
+    """Versions whose writing has ended, oldest first, by the time of their end."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    marks = hadoop.Path(f"{folder}/version=*/_SUCCESS")
+    found = marks.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marks)
+    ended = [(s.getModificationTime(), s.getPath().getParent().getName().removeprefix("version=")) for s in found or []]
+    return [name for _, name in sorted(ended)]
+
+
 def versions(spark: SparkSession, folder: str) -> DataFrame:
-    """The versions in a folder with their files and bytes."""
+    """The finished versions in a folder with their files and bytes."""
     name = F.regexp_extract("path", r"/version=([^/]+)/", 1)
     return (
         list_files(spark, folder, "part-*")
         .groupBy(name.alias("version"))
         .agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("total_size"))
-        .filter(F.col("version") != "")
+        .filter(F.col("version").isin(finished_versions(spark, folder)))
     )
 
 
@@ -43,9 +52,9 @@ def read_version(
 ) -> DataFrame:
     """A given version, or the newest one."""
     if version is None:
-        newest = versions(spark, folder).agg(F.max("version").alias("v")).first()["v"]
-        if newest is None:
-            raise ValueError(f"no version in {folder}")
-        version = newest
+        finished = finished_versions(spark, folder)
+        if not finished:
+            raise ValueError(f"no finished version in {folder}")
+        version = finished[-1]
     path = f"{folder}/version={version}"
     return read_csv(spark, path, schema) if fmt == "csv" else read_parquet(spark, path)

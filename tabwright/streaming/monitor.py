@@ -2,8 +2,10 @@
 
 Feature statistics are plain streaming aggregates.  The last events of a
 project need a buffer, which is kept per (project, shard): the newest events of
-a project are among the newest of its shards, so merging the shards is exact
-and a busy project is spread over many tasks.
+a project are among the newest of its shards, so a busy project is spread over many tasks.
+A shard keeps the events that the frame of its newest pair reaches back to and the events since then, of
+which it drops the middle once they are more than two frames: the merged figure is exact as long as no shard
+has that many events in a row without a pair.
 """
 
 from __future__ import annotations
@@ -140,7 +142,14 @@ class _Collected:
             self.stats[name] = (count, mean, square)
         fields = ["ts", "event_id", "error", "hit"]
         both = pd.concat([f for f in (self.recent, rows[fields]) if len(f)] or [self.recent], ignore_index=True)
-        self.recent = both.sort_values(["ts", "event_id"], kind="stable").tail(last)
+        both = both.sort_values(["ts", "event_id"], kind="stable")
+        # a figure is taken at an event with a pair: what its frame reaches back to, and what has come since
+        paired = np.flatnonzero((both["error"].notna() | both["hit"].notna()).to_numpy(dtype=bool))
+        cut = paired[-1] + 1 if len(paired) else 0
+        since = both.iloc[cut:]
+        if len(since) > 2 * last:
+            since = pd.concat([since.head(last), since.tail(last)])
+        self.recent = pd.concat([both.iloc[max(0, cut - last):cut], since]) if cut else since
 
     def as_state(self) -> tuple:
         names = sorted(self.stats)
@@ -190,11 +199,19 @@ def merged_stats(snapshots: DataFrame) -> DataFrame:
 
 
 def monitor_view(snapshots: DataFrame, base: DataFrame, last: int = mo.LAST_EVENTS) -> DataFrame:
-    """Event count, rolling RMSE or accuracy and drift score per project, as of the snapshots."""
+    """Event count, rolling RMSE or accuracy and drift score per project, as of the snapshots.
+
+    The rolling figure is that of the newest event with a pair, as in the batch form: its frame
+    is the ``last`` events up to that one.
+    """
     events = snapshots.select(
         "project", F.explode(F.arrays_zip("ts", "ids", "errors", "hits")).alias("e")
     ).select("project", F.col("e.ts").alias("ts"), F.col("e.ids").alias("event_id"), "e.errors", "e.hits")
-    recent = mo.newest(events, ["project"], [F.desc("ts"), F.desc("event_id")], last)
+    place = F.struct("ts", "event_id")
+    paired = F.col("errors").isNotNull() | F.col("hits").isNotNull()
+    ends = events.filter(paired).groupBy("project").agg(F.max(place).alias("end"))  # one row per project
+    framed = events.join(ends, "project").filter(place <= F.col("end")).drop("end")
+    recent = mo.newest(framed, ["project"], [F.desc("ts"), F.desc("event_id")], last)
     rolling = recent.groupBy("project").agg(
         F.round(F.sqrt(F.avg("errors")), 4).alias("rolling_rmse"),
         F.round(F.avg("hits"), 4).alias("rolling_accuracy"),

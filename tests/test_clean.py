@@ -51,17 +51,19 @@ def test_outlier_bounds_reach_the_scan(spark, small):
     assert "GreaterThanOrEqual(l_extendedprice" in text and "LessThanOrEqual(l_extendedprice" in text
 
 
-def test_onehot_limit_is_an_error(table):
-    with pytest.raises(ValueError, match="more than 2"):
-        cl.onehot(table, "id", limit=2)
+def test_onehot_has_no_limit(spark, table):
     assert cl.onehot(table, "s").columns == ["id", "x", "s_a", "s_b"]
+    many = spark.range(1500).select(F.concat(F.lit("v" * 1100), F.col("id").cast("string")).alias("s"))
+    assert len(cl.onehot(many, "s").columns) == 1500
 
 
-def test_both_label_paths_agree(table):
-    small_path = rows(cl.label_encode(table, "s"), "id")
-    assert [r[2] for r in small_path] == [1, 0, -1, 1, 0]
-    large_path = cl.label_encode(table, "s", small=1)
-    assert [r["s"] for r in large_path.orderBy("id").collect()] == [1, 0, -1, 1, 0]
+def test_onehot_vector(table):
+    vectors = [r["s"] for r in cl.onehot_vector(table, "s").orderBy("id").collect()]
+    assert [v.toArray().tolist() for v in vectors] == [[0, 1], [1, 0], [0, 0], [0, 1], [1, 0]]
+
+
+def test_label_codes(table):
+    assert [r[2] for r in rows(cl.label_encode(table, "s"), "id")] == [1, 0, -1, 1, 0]
 
 
 def test_plan_from_profile(table):

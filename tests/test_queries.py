@@ -31,12 +31,3 @@ def test_entry_module(spark):
     spec.loader.exec_module(module)
     assert module.entry(spark).count() == 3
     assert set(module.oracle_sql()) <= set(module.queries())
-
-
-def test_files(spark):
-    sizes = {r["kind"]: (r["files"], r["total_size"]) for r in QUERIES["files_storage_stats"](spark, SMALL).collect()}
-    on_disk = {p.name: p.stat().st_size for p in Path(SMALL).glob("*.parquet")}
-    assert sizes["tables"] == (len(on_disk), sum(on_disk.values()))
-    assert sizes["events"] == (1, on_disk["events.parquet"])
-    assert sizes["total"] == (len(on_disk) + 1, sum(on_disk.values()) + on_disk["events.parquet"])
-    assert QUERIES["files_list"](spark, SMALL).count() == len(on_disk)

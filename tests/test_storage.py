@@ -1,13 +1,15 @@
 """Sources, sinks and streams."""
 
 import json
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tabwright.operators import monitor as mo
 from tabwright.plans.lineage import scratch_path
-from tabwright.sources import readers, writers
+from tabwright.sources import inventory, readers, writers
 from tabwright.streaming import events as log
 from tabwright.streaming import monitor as live
 
@@ -81,12 +83,7 @@ def test_stream_equals_batch(spark, events, files, per_batch):
         live_row = got[row["project"]]
         assert live_row["recent_count"] == row["recent_count"]
         assert live_row["drift_score"] == row["drift_score"]
-    # the live figure covers the pairs among the last events, whatever the very last event holds
-    newest = mo.newest(events, ["project"], [F.desc("ts"), F.desc("event_id")], 50)
-    for row in newest.groupBy("project").agg(
-        F.round(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("truth"), 2))), 4).alias("r")
-    ).collect():
-        assert got[row["project"]]["rolling_rmse"] == row["r"]
+        assert live_row["rolling_rmse"] == row["rolling_rmse"]
 
 
 def test_reset_clears_a_project(spark, events):
@@ -111,3 +108,32 @@ def test_append_events_batch(spark, events):
     assert spark.read.parquet(path).count() == 1800
     with pytest.raises(ValueError):
         log.append_events(log.event_stream(spark, path, events.schema), path)
+
+
+def test_json_lines_keep_every_row(spark, tmp_path):
+    for name in ("a.json", "b.jsonl", "c.ndjson"):
+        (tmp_path / name).write_text("".join(json.dumps({"a": i}) + "\n" for i in range(5)))
+        assert readers.read_any(spark, str(tmp_path / name)).count() == 5
+    (tmp_path / "spread.json").write_text('{"a":\n 1}\n{"a":\n 2}\n')
+    with pytest.raises(ValueError, match="more than one value"):
+        readers.read_any(spark, str(tmp_path / "spread.json"))
+    (tmp_path / "nested.json").write_text(json.dumps({"a": {"b": [1, {"c": 2}]}}, indent=1))
+    assert readers.read_any(spark, str(tmp_path / "nested.json")).count() == 1
+
+
+def test_storage_totals(spark, small):
+    on_disk = {p.name: p.stat().st_size for p in Path(small).glob("*.parquet")}
+    stats = inventory.storage_stats(spark, {"events": f"{small}/events.parquet", "tables": small}).collect()
+    sizes = {r["kind"]: (r["files"], r["total_size"]) for r in stats}
+    assert sizes["tables"] == (len(on_disk), sum(on_disk.values()))
+    assert sizes["events"] == (1, on_disk["events.parquet"])
+    assert sizes["total"] == (len(on_disk) + 1, sum(on_disk.values()) + on_disk["events.parquet"])
+
+
+def test_newest_version_is_the_last_finished(spark, tmp_path):
+    for name, n in (("10", 1), ("9", 2), ("8", 3)):
+        writers.save_version(spark.range(n), str(tmp_path), name, "parquet")
+        time.sleep(0.05)
+    (tmp_path / "version=8" / "_SUCCESS").unlink()
+    assert writers.read_version(spark, str(tmp_path), fmt="parquet").count() == 2
+    assert {r["version"] for r in writers.versions(spark, str(tmp_path)).collect()} == {"9", "10"}
