@@ -233,16 +233,16 @@ def svc_text(t):
 
 
 @query("ml_many_categories", """
-SELECT c_custkey, 'c' || (c_custkey % 400) AS kind, CAST(c_custkey % 400 % 2 AS DOUBLE) AS prediction FROM customer""")
+SELECT o_orderkey, 'c' || (o_orderkey % 400) AS kind, CAST(o_orderkey % 400 % 2 AS DOUBLE) AS prediction FROM orders""")
 def many_categories(t):
     """A text feature with hundreds of values."""
-    code = F.col("c_custkey") % 400
-    rows = t.customer.select("c_custkey", F.concat(F.lit("c"), code.cast("string")).alias("kind"), (code % 2).alias("odd"))
+    code = F.col("o_orderkey") % 400
+    rows = t.orders.select("o_orderkey", F.concat(F.lit("c"), code.cast("string")).alias("kind"), (code % 2).alias("odd"))
     trained = le.fit(rows, ["kind"], "odd", "DecisionTreeClassifier", {"max_depth": 2})
     return le.predict(trained, rows.drop("odd"))
 
 
-@query("ml_many_classes", "SELECT c_custkey, 'k' || c_custkey AS prediction FROM customer")
+@query("ml_many_classes", "SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, 'k' || c_custkey AS prediction FROM customer")
 def many_classes(t):
     """As many classes as rows."""
     rows = t.customer.select("c_custkey", F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("name"))
