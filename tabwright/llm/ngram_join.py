@@ -1,7 +1,7 @@
 """Exact Jaccard join on word 5-gram sets with count-vector R-trees.
 
-Method.  The shingles of a set are hashed into ``GROUPS`` groups; the group counts
-are a point.  No two sets share more shingles than the sum of the
+Method.  The shingles of a set are hashed into groups, a power of two of them so that a group
+holds two to four; the group counts are a point, and halving the groups adds neighbours.  No two sets share more shingles than the sum of the
 coordinate minima of their points, and no point in a box more than the minima with
 the box's upper corner, so R-trees over the points discard pairs and whole
 boxes; what survives is verified on the sets.
@@ -10,12 +10,12 @@ One tree over all documents cannot prune: in many dimensions the upper
 corners of boxes of unrelated documents soon reach everything.  The points are therefore
 partitioned first, without loss: sets that link share one of their first
 n - ceil(3n/4) + 1 shingles in any fixed order.  The order here puts shingles that a
-sixteenth of the corpus shows to be frequent last (which ones affects speed only).  Each such
+sample by hash shows to be frequent last (which ones affects speed only).  Each such
 shingle is a bucket, and every bucket with two sets gets a tree.
 
 * Equal sets are one class (128-bit signature and size) with the smallest id as its representative;
   classes, not copies, are joined.
-* First every class is verified against the smallest class of each of its buckets; that ties groups of near copies
+* First every class is verified against the first few classes of each of its buckets; that ties groups of near copies
   together without their pairs.  Then only classes that are not tied yet are
   joined through the trees.  Crowded buckets are cut into blocks, and pairs of blocks
   are spread over tasks, so no bucket meets in one task.
@@ -28,7 +28,7 @@ with one id count as one document; rows with a null id are documents without lin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +40,9 @@ from tabwright.llm.components import components, stored
 from tabwright.llm.frequent import head_of, least_count
 from tabwright.llm.registry import llm_query
 
-GROUPS = 128
-SAMPLE_OF, LEAST_FREQUENT, MOST_FREQUENT = 16, 4, 1 << 17
+GROUP_BITS = 16
+HEADS = 3
+SAMPLE_OF, LEAST_FREQUENT, MOST_FREQUENT = 16, 3, 1 << 17
 BITS = 1 << 25
 BLOCK, LEAF, SMALL_RUN = 512, 16, 48
 
@@ -76,8 +77,51 @@ def signatures(values: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarra
     return out[0], out[1]
 
 
+def groups_for(size: int, finer: int = 1) -> int:
+    """A power of two of groups so that two to four shingles share one, or ``finer`` times as many groups."""
+    return min(1 << GROUP_BITS, finer << max(6, int(size).bit_length() - 2))
+
+
+def pack_points(values: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """The coarse point of each set: its counts in one byte each if they fit, else in four, after a byte that tells."""
+    tops = (values >> np.uint64(64 - GROUP_BITS)).astype(np.int64)
+    out = []
+    for size, end in zip(n.tolist(), np.cumsum(n).tolist(), strict=True):
+        groups = groups_for(size)
+        counts = np.bincount(tops[end - size : end] >> (GROUP_BITS - groups.bit_length() + 1), minlength=groups)
+        wide = counts.max() > 255
+        out.append((b"\x04" if wide else b"\x01") + counts.astype("<u4" if wide else np.uint8).tobytes())
+    return out
+
+
+def fine_point(members: bytes) -> bytes:
+    """The point of a sorted set among the most groups, as the sorted numbers of its shingles' groups."""
+    return b"\x02" + (np.frombuffer(members, np.uint64) >> np.uint64(64 - GROUP_BITS)).astype("<u2").tobytes()
+
+
+class Points:
+    """Points of either form, read at any smaller number of groups: the highest bits choose a group."""
+
+    def __init__(self, packed: list[bytes]):
+        self.packed = packed
+        kind = np.array([p[0] for p in packed], np.int64)
+        self.fine = kind == 2
+        self.groups = np.where(self.fine, 1 << GROUP_BITS, (np.array([len(p) for p in packed], np.int64) - 1) // np.maximum(kind, 1))
+
+    def at(self, groups: int, rows: np.ndarray) -> np.ndarray:
+        """Group counts of the rows."""
+        table = np.zeros((len(rows), groups), np.int32)
+        for k, i in enumerate(rows):
+            p = self.packed[i]
+            if p[0] == 2:
+                table[k] = np.bincount(np.frombuffer(p, "<u2", offset=1) >> (GROUP_BITS - groups.bit_length() + 1), minlength=groups)
+            else:
+                table[k] = np.frombuffer(p, np.uint8 if p[0] == 1 else "<u4", offset=1).reshape(groups, -1).sum(axis=1)
+        return table if table.size and table.max() > 255 else table.astype(np.uint8)
+
+
 def _frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many classes of a sixteenth of the texts hold, with their counts, ``MOST_FREQUENT`` at most."""
+    """Shingles that many classes of one text in ``SAMPLE_OF`` hold, with their counts, ``MOST_FREQUENT`` at most."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,13 +155,11 @@ def describe_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
                 keys = values[place < np.repeat(prefix, n)].view(np.int64)
                 ends = np.concatenate([[0], np.cumsum(prefix)]).astype(np.int32)
-                group = (values >> np.uint64(40)).astype(np.int64) % GROUPS
-                points = np.bincount(owner * GROUPS + group, minlength=len(n) * GROUPS).astype("<u4").reshape(len(n), GROUPS)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id"), pa.array(n.astype(np.int64)), pa.array(s1), pa.array(s2),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(keys)),
-                        pa.array([p.tobytes() for p in points], pa.binary()),
+                        pa.array(pack_points(values, n), pa.binary()),
                     ],
                     names=["id", "n", "s1", "s2", "prefix", "point"],
                 )
@@ -130,13 +172,13 @@ def describe_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _shared_buckets(keys: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold two classes or more, with the first class of the bucket.
+    """Rows of the buckets that hold two classes or more, with their place and the first ``HEADS`` classes before them.
 
-    Rows arrive sorted by (key, class); only one row is held back between batches.
+    Rows arrive sorted by (key, class); one row is held back between batches, and the heads of its bucket.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, head, met = None, None, False  # the last row, the first of its run, whether its run has two rows
+        held, heads, met = None, None, 0  # the last row, the heads of its bucket, its place
         for batch in batches:
             rows = np.stack([batch.column(c).to_numpy() for c in ("key", "cls", "n")])
             if held is not None:
@@ -145,25 +187,42 @@ def _shared_buckets(keys: DataFrame) -> DataFrame:
                 continue
             same = rows[0, 1:] == rows[0, :-1]
             starts = np.concatenate([[0], np.flatnonzero(~same) + 1])
-            first = np.repeat(starts, np.diff(np.concatenate([starts, [rows.shape[1]]])))
-            heads = rows[1:, first]
-            if held is not None:
-                heads[:, first == 0] = head[:, None]
-            before = np.concatenate([[met], same])
-            keep = before[:-1] | same
-            if keep.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[:-1][keep]) for x in (*rows, *heads)], names=["key", "cls", "n", "head", "head_n"]
-                )
-            held, head, met = rows[:, -1], heads[:, -1], bool(before[-1])
-        if met:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x]) for x in (*held, *head)], names=["key", "cls", "n", "head", "head_n"]
-            )
+            lengths = np.diff(np.append(starts, rows.shape[1]))
+            first = np.repeat(starts, lengths)
+            place = np.arange(rows.shape[1]) - first + np.where(first == 0, met, 0)
+            # the first run may go on from the batch before
+            own = np.concatenate([heads[:, :met], rows[1:, : lengths[0]]], axis=1)[:, :HEADS] if met else None
+            yield from _with_heads(rows[:, :-1], place[:-1], first[:-1], np.append(same, False)[: rows.shape[1] - 1], own)
+            last = first[-1]
+            held, met = rows[:, -1], int(place[-1])
+            tail = rows[1:, last : last + HEADS]
+            heads = own if last == 0 and own is not None else tail
+        if held is not None and met:
+            yield from _with_heads(held[:, None], np.array([met]), np.array([0]), np.array([False]), heads)
 
     tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = keys.repartition(tasks, "key").sortWithinPartitions("key", "cls")
-    return ordered.mapInArrow(work, "key long, cls long, n long, head long, head_n long")
+    return ordered.mapInArrow(work, "key long, cls long, n long, place long, heads array<long>, head_sizes array<long>")
+
+
+def _with_heads(rows: np.ndarray, place: np.ndarray, first: np.ndarray, more: np.ndarray, own: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Rows that share their bucket; ``first`` is where a row's bucket begins, ``own`` are the heads of the first bucket."""
+    at = np.flatnonzero((place > 0) | more)
+    if not len(at):
+        return
+    many = np.minimum(place[at], HEADS)
+    turn = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    start = np.repeat(first[at], many)
+    if own is None:
+        values = rows[1:, start + turn]
+    else:
+        inside = rows[1:, np.minimum(start + turn, rows.shape[1] - 1)]
+        values = np.where(start == 0, own[:, np.minimum(turn, own.shape[1] - 1)], inside)
+    ends = pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32))
+    yield pa.RecordBatch.from_arrays(
+        [*(pa.array(x[at]) for x in (*rows, place)), *(pa.ListArray.from_arrays(ends, pa.array(v)) for v in values)],
+        names=["key", "cls", "n", "place", "heads", "head_sizes"],
+    )
 
 
 # ---- R-trees -------------------------------------------------------------------------------------
@@ -173,89 +232,152 @@ class RTree:
     """A bulk-loaded tree over points: boxes halve along their widest coordinate down to small leaves."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, rows: np.ndarray):
-        self.rows, self.upper = rows, points[rows].max(axis=0)
-        self.least, self.most = sizes[rows].min(), sizes[rows].max()
+        self.points, self.sizes, self.rows = points, sizes, rows
+        self.upper, self.least, self.most = points.max(axis=0), sizes.min(), sizes.max()
         self.parts: list[RTree] = []
         if len(rows) > LEAF:
-            spread = np.append(self.upper - points[rows].min(axis=0), self.most - self.least)
+            spread = np.append(self.upper.astype(np.int64) - points.min(axis=0), self.most - self.least)
             axis = int(spread.argmax())
-            order = np.argsort(sizes[rows] if axis == points.shape[1] else points[rows, axis], kind="stable")
+            order = np.argsort(sizes if axis == points.shape[1] else points[:, axis], kind="stable")
             half = len(rows) // 2
-            self.parts = [RTree(points, sizes, rows[order[:half]]), RTree(points, sizes, rows[order[half:]])]
+            self.parts = [RTree(points[o], sizes[o], rows[o]) for o in (order[:half], order[half:])]
+
 
+def overlap_allows(overlap: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A link needs a common part of three sevenths of both sizes together."""
+    return 7 * overlap >= 3 * sizes
 
-def tree_join(left: RTree, right: RTree, points: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows that the bounds leave over; of one tree with itself, each pair once at least."""
+
+def tree_join(left: RTree, right: RTree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that the bounds leave over; of a tree with itself, each pair once at least."""
     if 4 * left.most < 3 * right.least or 4 * right.most < 3 * left.least:
         return
-    if 7 * int(np.minimum(left.upper, right.upper).sum()) < 3 * int(left.least + right.least):
+    if not overlap_allows(int(np.minimum(left.upper, right.upper).sum(dtype=np.int64)), int(left.least + right.least)):
         return
     if left.parts and (not right.parts or len(left.rows) >= len(right.rows)):
         if left is right:
             a, b = left.parts
             for x, y in ((a, a), (a, b), (b, b)):
-                yield from tree_join(x, y, points, sizes)
+                yield from tree_join(x, y)
         else:
             for part in left.parts:
-                yield from tree_join(part, right, points, sizes)
+                yield from tree_join(part, right)
     elif right.parts:
         for part in right.parts:
-            yield from tree_join(left, part, points, sizes)
+            yield from tree_join(left, part)
     else:
-        i, j = (x.ravel() for x in np.meshgrid(left.rows, right.rows, indexing="ij"))
-        keep = bounded(points, sizes, i, j)
-        yield i[keep], j[keep]
-
-
-def bounded(points: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether two points allow an overlap of three sevenths of both sizes, which a link needs."""
-    return 7 * np.minimum(points[i], points[j]).sum(axis=1, dtype=np.int64) >= 3 * (sizes[i] + sizes[j])
+        common = np.minimum(left.points[:, None, :], right.points[None, :, :]).sum(axis=2, dtype=np.int64)
+        i, j = np.nonzero(overlap_allows(common, left.sizes[:, None] + right.sizes[None, :]))
+        yield left.rows[i], right.rows[j]
+
+
+def bounded(points: Points, sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the points of two rows allow enough overlap, in coarse groups and, where both are known so, in fine ones."""
+    ok = np.ones(len(i), bool)
+    most = np.minimum(points.groups[i], points.groups[j])
+    for finer in (1, 8):
+        wanted = np.array([groups_for(n, finer) for n in np.maximum(sizes[i], sizes[j])], np.int64)
+        level = np.minimum(wanted, most)
+        asked = ok if finer == 1 else ok & points.fine[i] & points.fine[j]
+        for groups in np.unique(level[asked]):
+            at = np.flatnonzero(asked & (level == groups))
+            step = max(1, (8 << 20) // int(groups))
+            for k in range(0, len(at), step):
+                few = at[k : k + step]
+                rows, place = np.unique(np.concatenate([i[few], j[few]]), return_inverse=True)
+                table = points.at(int(groups), rows)
+                common = np.minimum(table[place[: len(few)]], table[place[len(few) :]]).sum(axis=1, dtype=np.int64)
+                ok[few] = overlap_allows(common, sizes[i[few]] + sizes[j[few]])
+    return ok
+
+
+def run_pairs(rows: np.ndarray, side: np.ndarray, sizes: np.ndarray, points: Points) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Join the rows of one large run, or its two sides, by trees."""
+    groups = int(min(groups_for(sizes[rows].max()), points.groups[rows].min()))
+    parts = [rows[side[rows] == s] for s in (0, 1)]
+    if len(parts[0]) and len(parts[1]):
+        yield from tree_join(*(RTree(points.at(groups, p), sizes[p], p) for p in parts))
+    else:
+        tree = RTree(points.at(groups, rows), sizes[rows], rows)
+        yield from tree_join(tree, tree)
 
 
-def bucket_pairs(run: np.ndarray, side: np.ndarray, cls: np.ndarray, label: np.ndarray, sizes: np.ndarray, points: np.ndarray):
+def bucket_pairs(run: np.ndarray, side: np.ndarray, cls: np.ndarray, label: np.ndarray, sizes: np.ndarray, points: Points):
     """Candidate pairs of classes inside runs of equal ``run``: across sides where a run has two, of different labels."""
+    pairs: set[tuple[int, int]] = set()
+    if not len(run):
+        return pairs
     starts = np.concatenate([[0], np.flatnonzero(run[1:] != run[:-1]) + 1, [len(run)]])
-    found = []
     lengths = np.diff(starts)
+    found = []
     for length in np.unique(lengths[lengths <= SMALL_RUN]):  # a small run is a single leaf: all of one length at once
         i, j = np.triu_indices(length, 1)
         base = starts[:-1][lengths == length][:, None]
         found.append(((base + i).ravel(), (base + j).ravel()))
     for k in np.flatnonzero(lengths > SMALL_RUN):
-        rows = np.arange(starts[k], starts[k + 1])
-        if side[rows].min() == side[rows].max():
-            tree = RTree(points, sizes, rows)
-            trees = (tree, tree)
-        else:
-            trees = tuple(RTree(points, sizes, rows[side[rows] == s]) for s in (0, 1))
-        found += list(tree_join(*trees, points, sizes))
-    pairs: set[tuple[int, int]] = set()
-    two_sided = np.repeat(np.minimum.reduceat(side, starts[:-1]) != np.maximum.reduceat(side, starts[:-1]), lengths) if len(run) else side
+        found += list(run_pairs(np.arange(starts[k], starts[k + 1]), side, sizes, points))
+    two_sided = np.repeat(np.minimum.reduceat(side, starts[:-1]) != np.maximum.reduceat(side, starts[:-1]), lengths)
     for i, j in found:
         keep = (label[i] != label[j]) & (cls[i] != cls[j]) & ((side[i] != side[j]) | ~two_sided[i])
         keep &= 4 * np.minimum(sizes[i], sizes[j]) >= 3 * np.maximum(sizes[i], sizes[j])
-        i, j = i[keep], j[keep]
-        for block in range(0, len(i), 1 << 16):
-            a, b = i[block : block + (1 << 16)], j[block : block + (1 << 16)]
-            ok = bounded(points, sizes, a, b)
-            a, b = cls[a[ok]], cls[b[ok]]
-            pairs.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+        a, b = np.minimum(cls[i[keep]], cls[j[keep]]), np.maximum(cls[i[keep]], cls[j[keep]])
+        # a pair meets in many buckets: bound it once
+        unique, first = np.unique(np.stack([a, b]), axis=1, return_index=True)
+        ok = bounded(points, sizes, i[keep][first], j[keep][first])
+        pairs.update(zip(unique[0][ok].tolist(), unique[1][ok].tolist(), strict=True))
     return pairs
 
 
-def _loose_pairs(shared: DataFrame, labels: DataFrame, points: DataFrame) -> DataFrame:
-    """Candidates among classes of one bucket that carry different labels."""
-    labelled = shared.select("key", "cls", "n").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+def _bounded_pairs(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """The pairs whose points allow enough overlap."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            both = Points(batch.column("p").to_pylist() + batch.column("q").to_pylist())
+            sizes = np.concatenate([batch.column(c).to_numpy() for c in ("n", "m")])
+            ok = bounded(both, sizes, np.arange(n), np.arange(n, 2 * n))
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    left = points.select(F.col("cls").alias("a"), "n", F.col("point").alias("p"))
+    right = points.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("point").alias("q"))
+    joined = pairs.join(left, "a").join(right, "b").filter("4 * least(n, m) >= 3 * greatest(n, m)")
+    return joined.select("a", "b", "n", "p", "m", "q").mapInArrow(work, "a long, b long").distinct()
+
+
+def _fine_points(sets: DataFrame) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = [fine_point(m) for m in batch.column("members").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(points, pa.binary())], names=["cls", "point"])
+
+    return sets.select("id", "members").mapInArrow(work, "cls long, point binary")
+
+
+def _loose_pairs(shared: DataFrame, labels: DataFrame, points: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Candidates among classes of one bucket that carry different labels, its heads apart.
+
+    Small buckets are a leaf each and use the coarse points.  Crowded ones are cut into blocks, whose pairs are
+    joined by trees over fine points, made from the sets that ``fetch`` returns for their classes.
+    """
+    labelled = shared.filter(F.col("place") >= HEADS).select("key", "cls", "n").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     labelled = stored(labelled, "labelled")
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"))
-    open_keys = open_keys.filter("lo <> hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = labelled.join(open_keys, "key").join(points, ["cls", "n"])
-    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = rows.withColumn("block", block).withColumn("other", other).select(
-        "key", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"),
-        F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "cls", "label", "n", "point",
-    )
+    open_keys = open_keys.filter("lo <> hi").select("key", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rows = labelled.join(open_keys, "key")
+    crowded = stored(rows.filter(F.col("m") > SMALL_RUN), "crowded")
+    dealt = rows.filter(F.col("m") <= SMALL_RUN).join(points, ["cls", "n"]).select(
+        "key", F.lit(0).alias("b1"), F.lit(0).alias("b2"), F.lit(0).alias("side"), "cls", "label", "n", "point"
+    )
+    if not crowded.isEmpty():
+        fine = _fine_points(fetch(crowded.select(F.col("cls").alias("id")).distinct()))
+        block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        pairs = crowded.join(fine, "cls").withColumn("block", block).withColumn("other", other)
+        dealt = dealt.unionByName(pairs.select(
+            "key", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"),
+            F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "cls", "label", "n", "point",
+        ))
     order = ["key", "b1", "b2"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +390,7 @@ def _loose_pairs(shared: DataFrame, labels: DataFrame, points: DataFrame) -> Dat
             )
             change = np.ones(len(key), bool)
             change[1:] = (key[1:] != key[:-1]) | (b1[1:] != b1[:-1]) | (b2[1:] != b2[:-1])
-            points = np.frombuffer(b"".join(table.column("point").to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int32)
+            points = Points(table.column("point").to_pylist())
             return bucket_pairs(np.cumsum(change), side, cls, label, n.astype(np.int64), points)
 
         def out(pairs: set) -> pa.RecordBatch:
@@ -359,15 +481,13 @@ def class_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str)
     """All ties between classes that components need: ``a``, ``b``."""
     keys = classes.select(F.explode("prefix").alias("key"), F.col("id").alias("cls"), "n")
     shared = stored(_shared_buckets(keys), "buckets")
-    near = (F.col("head") != F.col("cls")) & (4 * F.least("n", "head_n") >= 3 * F.greatest("n", "head_n"))
-    tested = stored(shared.filter(near).select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct(), "tested")
-    first = _verified(docs, tested, id_col, text_col)
-    # a class carries the smallest class that it is known to be tied to, and that one's in turn
-    ties = stored(first.groupBy(F.col("b").alias("cls")).agg(F.min("a").alias("label")), "ties")
-    onward = ties.select(F.col("cls").alias("label"), F.col("label").alias("further"))
-    labels = ties.join(onward, "label", "left").select("cls", F.coalesce("further", "label").alias("label"))
+    heads = F.explode(F.arrays_zip("heads", "head_sizes"))
+    met = shared.select("cls", "n", heads.alias("h")).filter("h.heads <> cls AND 4 * least(n, h.head_sizes) >= 3 * greatest(n, h.head_sizes)")
+    tested = stored(met.select(F.col("h.heads").alias("a"), F.col("cls").alias("b")).distinct(), "tested")
     points = classes.select(F.col("id").alias("cls"), "n", "point")
-    loose = _loose_pairs(shared, labels, points).join(tested, ["a", "b"], "left_anti")
+    first = _verified(docs, stored(_bounded_pairs(tested, points), "likely"), id_col, text_col)
+    labels = components(first).select(F.col("node").alias("cls"), F.col("component").alias("label"))
+    loose = _loose_pairs(shared, stored(labels, "labels"), points, lambda ids: _fetch_sets(docs, ids, id_col, text_col)).join(tested, ["a", "b"], "left_anti")
     second = _verified(docs, stored(loose, "loose"), id_col, text_col)
     return first.unionByName(second)
 
@@ -378,8 +498,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     full = F.col("n") > 0
     groups = sets.filter(full & F.col("id").isNotNull()).groupBy("s1", "s2", "n").agg(F.min("id").alias("id"))
     groups = stored(groups, "classes")
-    # rows that repeat the representative are one class all the same
-    classes = sets.join(groups, ["s1", "s2", "n", "id"]).select("id", "n", "prefix", "point").dropDuplicates(["id", "n"])
+    # rows that repeat the representative do no harm: a class is never paired with itself
+    classes = sets.join(groups, ["s1", "s2", "n", "id"]).select("id", "n", "prefix", "point")
     links = class_links(docs, classes, id_col, text_col)
     found = components(links)
     of_class = groups.join(found, groups["id"] == found["node"], "left").select(
