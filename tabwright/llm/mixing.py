@@ -19,10 +19,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tabwright.llm.columns import free_names, unit_hash, word_count
 from tabwright.llm.registry import llm_query
-from tabwright.plans.ordering import with_position
+from tabwright.plans.lineage import cut_lineage
 
 BROADCAST_ROWS, BROADCAST_BYTES, SALTS = 50_000, 4 << 20, 64
 
@@ -37,10 +38,20 @@ class Mix:
     seed: str = "mix"
 
 
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """Append the 0-based ``rank`` of each source: its place in a sorted partition after the partitions before."""
+    fixed = cut_lineage(sizes.orderBy(F.col("source").asc_nulls_last())).withColumn("part", F.spark_partition_id())
+    counts = fixed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row per partition
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
+    return fixed.join(F.broadcast(offsets), "part").withColumn("rank", F.col("before") + place - 1).drop("part", "before")
+
+
 def source_targets(docs: DataFrame, mix: Mix = Mix(), source_col: str = "source", text_col: str = "text") -> DataFrame:
     """One row per source: ``source``, ``source_size``, ``weight``, ``target``."""
     sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(word_count(F.col(text_col))).alias("source_size"))
-    ranked = with_position(sizes, [F.col("source").asc_nulls_last()], "rank")
+    ranked = _ranked(sizes)
     weights = F.array(*[F.lit(float(w)) for w in mix.weights])
     table = ranked.select("source", "source_size", weights[(F.col("rank") % len(mix.weights)).cast("int")].alias("weight"))
     cap = F.col("source_size") * F.lit(float(mix.most))
