@@ -45,4 +45,5 @@ def fit_once(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, fit
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sample = texts.join(F.broadcast(chosen), texts["id"] == chosen["sample_id"]).select("id", "text", "label", "weight")
-    return pickle.loads(sample.repartition(1).mapInArrow(work, "model binary").first()["model"])
+    fitted = sample.repartition(1).mapInArrow(work, "model binary").first()
+    return pickle.loads(fitted["model"]) if fitted else fit([], [], [])  # no labelled rows, no task
