@@ -58,7 +58,7 @@ def token_features(texts: pa.Array):
 
 
 def marginals(emission: np.ndarray, first: np.ndarray, moves: np.ndarray, start: np.ndarray):
-    """Forward and backward messages of state 0 and 1 for each token, and each token's factors.
+    """For each token the share of state 1 in the forward and in the backward message, and the four entries of its factor.
 
     All texts form one sequence; the factor of a first token has equal rows, so nothing
     passes from one text to the next.  The sequence is laid out as rows of equal length: products of factors
@@ -68,34 +68,42 @@ def marginals(emission: np.ndarray, first: np.ndarray, moves: np.ndarray, start:
     width = max(1, int(np.sqrt(n)))
     rows = -(-n // width)
     up = np.exp(np.clip(emission, -30, 30))
-    factor = np.empty((rows * width, 2, 2))
-    factor[:n] = np.exp(moves)
-    factor[:n][first] = np.exp(start)
-    factor[:n, :, 1] *= up[:, None]
-    factor[n:] = np.eye(2)
-    factor /= factor.max(axis=(1, 2), keepdims=True)
-    grid = factor.reshape(rows, width, 2, 2)
-
-    product = np.broadcast_to(np.eye(2), (rows, 2, 2))
+    step = np.exp(moves)
+    # the four entries of each token's factor, as columns of equal places of all rows
+    factor = np.zeros((4, rows * width))
+    factor[0], factor[3] = 1.0, 1.0  # past the end nothing changes
+    for k, (i, j) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1))):
+        factor[k, :n] = np.where(first, np.exp(start[j]), step[i, j]) * (up if j else 1.0)
+    a, b, c, d = (np.ascontiguousarray(x.reshape(rows, width).T) for x in factor)
+
+    p, q, r, t = np.ones(rows), np.zeros(rows), np.zeros(rows), np.ones(rows)
     for k in range(width):
-        product = product @ grid[:, k]
-        product = product / product.max(axis=(1, 2), keepdims=True)
-    into, back = np.full((rows, 2), 0.5), np.full((rows, 2), 0.5)
-    for r in range(1, rows):
-        m = into[r - 1] @ product[r - 1]
-        into[r] = m / m.sum()
-    for r in range(rows - 2, -1, -1):
-        m = product[r + 1] @ back[r + 1]
-        back[r] = m / m.sum()
-    forward, backward = np.empty((rows, width, 2)), np.empty((rows, width, 2))
+        p, q, r, t = p * a[k] + q * c[k], p * b[k] + q * d[k], r * a[k] + t * c[k], r * b[k] + t * d[k]
+        if k % 4 == 3 or k == width - 1:
+            most = 1.0 / np.maximum(np.maximum(p, q), np.maximum(r, t))
+            p, q, r, t = p * most, q * most, r * most, t * most
+    # the share of state 1 in the message that enters each row from the left, and in that from the right
+    left, right = np.full(rows, 0.5), np.full(rows, 0.5)
+    for k in range(1, rows):
+        x, y = 1 - left[k - 1], left[k - 1]
+        zero, one = x * p[k - 1] + y * r[k - 1], x * q[k - 1] + y * t[k - 1]
+        left[k] = one / (zero + one)
+    for k in range(rows - 2, -1, -1):
+        x, y = 1 - right[k + 1], right[k + 1]
+        zero, one = p[k + 1] * x + q[k + 1] * y, r[k + 1] * x + t[k + 1] * y
+        right[k] = one / (zero + one)
+    forward, backward = np.empty((width, rows)), np.empty((width, rows))
     for k in range(width):
-        into = (into[:, :, None] * grid[:, k]).sum(axis=1)
-        into /= into.sum(axis=1, keepdims=True)
-        forward[:, k] = into
-        backward[:, width - 1 - k] = back
-        back = (grid[:, width - 1 - k] * back[:, None, :]).sum(axis=2)
-        back /= back.sum(axis=1, keepdims=True)
-    return forward.reshape(-1, 2)[:n], backward.reshape(-1, 2)[:n], factor[:n]
+        x, y = 1 - left, left
+        one = x * b[k] + y * d[k]
+        left = one / (x * a[k] + y * c[k] + one)
+        forward[k] = left
+        back = width - 1 - k
+        backward[back] = right
+        x, y = 1 - right, right
+        one = c[back] * x + d[back] * y
+        right = one / (a[back] * x + b[back] * y + one)
+    return forward.T.ravel()[:n], backward.T.ravel()[:n], factor[:, :n]
 
 
 def _firsts(counts: np.ndarray) -> np.ndarray:
@@ -104,11 +112,17 @@ def _firsts(counts: np.ndarray) -> np.ndarray:
     return first
 
 
+def posterior(forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
+    """Probability of state 1 from the two messages."""
+    one = forward * backward
+    return one / (one + (1 - forward) * (1 - backward))
+
+
 def toxic_marginals(features: np.ndarray, counts: np.ndarray, chain: Chain) -> np.ndarray:
     if not features.shape[1]:
         return np.zeros(0)
     f, b, _ = marginals(chain.weights[features].sum(axis=0), _firsts(counts), chain.moves, chain.start)
-    return f[:, 1] * b[:, 1] / (f * b).sum(axis=1)
+    return posterior(f, b)
 
 
 def evidence(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -179,11 +193,12 @@ def fit_chain(texts: list[str], labels: list[int], weights: list[float]) -> Chai
     inner = np.flatnonzero(~first)
     for _ in range(STEPS if len(owner) else 0):
         f, b, factor = marginals(chain.weights[features].sum(axis=0), first, chain.moves, chain.start)
-        p = f[:, 1] * b[:, 1] / (f * b).sum(axis=1)
+        p = posterior(f, b)
         gradient = sum(np.bincount(c, state - p, FEATURES) for c in features) - PENALTY * chain.weights
-        joint = f[inner - 1][:, :, None] * factor[inner] * b[inner][:, None, :]
-        joint /= joint.sum(axis=(1, 2), keepdims=True)
-        moves = np.bincount(2 * state[inner - 1] + state[inner], minlength=4).reshape(2, 2) - joint.sum(axis=0)
+        left, right = f[inner - 1], b[inner]
+        joint = factor[:, inner] * np.stack([(1 - left) * (1 - right), (1 - left) * right, left * (1 - right), left * right])
+        joint /= joint.sum(axis=0)
+        moves = np.bincount(2 * state[inner - 1] + state[inner], minlength=4).reshape(2, 2) - joint.sum(axis=1).reshape(2, 2)
         begun = np.array([np.count_nonzero(state[first] == s) for s in (0, 1)]) - np.array([(1 - p[first]).sum(), p[first].sum()])
         for target, g, past in zip((chain.weights, chain.moves, chain.start), (gradient, moves, begun), seen, strict=True):
             past += g * g
