@@ -24,9 +24,10 @@ HEADLINE = [
     "prof_numeric_stats", "prof_categorical_top10", "prof_describe", "prof_full", "prof_corr", "prof_outlier_counts",
     "eval_macro_prf", "eval_report", "eval_regression",
     "text_metrics", "text_json", "text_reasoning", "text_tool_calls", "text_code_issues",
-    "mon_feature_stats", "mon_drift_score", "mon_rolling_rmse", "mon_running_drift", "mon_status",
+    "mon_feature_stats", "mon_drift_score", "mon_rolling_rmse", "mon_running_drift", "mon_alerts", "mon_status",
     "ops_job_state", "ops_latest_by_type", "ops_scaling_efficiency", "ops_upsert_current", "ops_cache_status",
-    "ml_split_exact", "ml_linreg", "ml_knn_exact", "ml_dtree", "ml_logreg",
+    "ml_split_exact", "ml_linreg", "ml_knn_exact", "ml_knn_classify", "ml_dtree", "ml_logreg", "ml_linear_svc",
+    "ml_rf_classifier", "ml_gbt_classifier", "ml_rf_regressor", "ml_gbt_regressor", "ml_mlp", "ml_tune_grid",
     "src_csv_schema", "stream_feature_stats", "stream_monitor",
 ]
 
