@@ -72,10 +72,10 @@ def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
     """Estimated share of the first set's shingles that the second has too."""
     if not len(a):
         return 1.0
-    if len(a) < k and len(b) < k:
-        return len(np.intersect1d(a, b, assume_unique=True)) / len(a)
-    both = resemblance(a, b, k) * distinct_count(np.union1d(a, b)[:k] if len(a) >= k or len(b) >= k else np.union1d(a, b), k)
-    return min(1.0, both / distinct_count(a, k))
+    # up to the last hash of every full sketch, both sketches hold all hashes of their sets
+    reach = min((s[-1] for s in (a, b) if len(s) >= k), default=a[-1])
+    within = a[a <= reach]
+    return float(np.isin(within, b).mean()) if len(within) else 0.0
 
 
 def packed(sketch: np.ndarray) -> str:
