@@ -32,6 +32,7 @@ PER_CLASS = 2_500  # labelled documents of each class that the model is fitted o
 FEATURES = 1 << 21
 PREFIXES = (3, 4, 5, 6)
 STEPS, RATE, PENALTY = 30, 0.5, 1e-3
+BLOCK_TOKENS = 200_000  # tokens whose messages are held at a time in fitting
 LEAST_ODDS, LEAST_RATIO = 20.0, 20.0
 INSIDE = np.zeros(256, bool)
 INSIDE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -161,6 +162,35 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
     return w
 
 
+def _blocks(features: np.ndarray, counts: np.ndarray, state: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Features, counts and states of runs of whole texts of about ``BLOCK_TOKENS`` tokens."""
+    ends = np.cumsum(counts)
+    out, text, token = [], 0, 0
+    while text < len(counts):
+        to = max(text + 1, int(np.searchsorted(ends, token + BLOCK_TOKENS, "right")))
+        end = int(ends[to - 1])
+        out.append((features[:, token:end], counts[text:to], state[token:end]))
+        text, token = to, end
+    return out
+
+
+def _gradients(chain: Chain, features: np.ndarray, counts: np.ndarray, state: np.ndarray):
+    """Of the log-likelihood of the states, by weights, transitions and start."""
+    if not len(state):
+        return 0.0, np.zeros((2, 2)), np.zeros(2)
+    first = _firsts(counts)
+    f, b, factor = marginals(chain.weights[features].sum(axis=0), first, chain.moves, chain.start)
+    p = posterior(f, b)
+    weights = sum(np.bincount(c, state - p, FEATURES) for c in features)
+    inner = np.flatnonzero(~first)
+    left, right = f[inner - 1], b[inner]
+    joint = factor[:, inner] * np.stack([(1 - left) * (1 - right), (1 - left) * right, left * (1 - right), left * right])
+    joint /= joint.sum(axis=0)
+    moves = np.bincount(2 * state[inner - 1].astype(int) + state[inner], minlength=4).reshape(2, 2) - joint.sum(axis=1).reshape(2, 2)
+    start = np.array([np.count_nonzero(state[first] == s) for s in (0, 1)]) - np.array([(1 - p[first]).sum(), p[first].sum()])
+    return weights, moves, start
+
+
 def fit_chain(texts: list[str], labels: list[int], weights: list[float]) -> Chain:
     nothing = Chain(np.zeros(FEATURES, np.float32), np.zeros((2, 2)), np.zeros(2), np.array([-30.0, 0.0, 0.0]))
     y = np.array(labels)
@@ -187,23 +217,18 @@ def fit_chain(texts: list[str], labels: list[int], weights: list[float]) -> Chai
     tagged &= y[owner] == 1
 
     chain = Chain(np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(2), np.zeros(3))
-    first, state = _firsts(counts), tagged.astype(int)
     chain.weights[:] = -1.0 / len(features)
     seen = [np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(2)]
-    inner = np.flatnonzero(~first)
+    blocks = _blocks(features, counts, tagged.astype(np.int8))
     for _ in range(STEPS if len(owner) else 0):
-        f, b, factor = marginals(chain.weights[features].sum(axis=0), first, chain.moves, chain.start)
-        p = posterior(f, b)
-        gradient = sum(np.bincount(c, state - p, FEATURES) for c in features) - PENALTY * chain.weights
-        left, right = f[inner - 1], b[inner]
-        joint = factor[:, inner] * np.stack([(1 - left) * (1 - right), (1 - left) * right, left * (1 - right), left * right])
-        joint /= joint.sum(axis=0)
-        moves = np.bincount(2 * state[inner - 1] + state[inner], minlength=4).reshape(2, 2) - joint.sum(axis=1).reshape(2, 2)
-        begun = np.array([np.count_nonzero(state[first] == s) for s in (0, 1)]) - np.array([(1 - p[first]).sum(), p[first].sum()])
-        for target, g, past in zip((chain.weights, chain.moves, chain.start), (gradient, moves, begun), seen, strict=True):
+        total = [-PENALTY * chain.weights, np.zeros((2, 2)), np.zeros(2)]
+        for block in blocks:  # texts are independent, so gradients add up
+            for whole, g in zip(total, _gradients(chain, *block), strict=True):
+                whole += g
+        for target, g, past in zip((chain.weights, chain.moves, chain.start), total, seen, strict=True):
             past += g * g
             target += RATE * g / (np.sqrt(past) + 1e-8)
-    x = evidence(toxic_marginals(features, counts, chain), counts)
+    x = np.concatenate([evidence(toxic_marginals(f, c, chain), c) for f, c, _ in blocks])
     chain.score = logistic(x, y.astype(float), np.array(weights) / np.mean(weights))
     chain.weights = chain.weights.astype(np.float32)
     return chain
