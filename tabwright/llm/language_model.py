@@ -6,8 +6,8 @@ next of a few hundred classes - the commonest words, the 32 endings for all othe
 from the four classes before it: their vectors, weighted by place, sum to a predicted
 vector whose product with a class's vector, plus its bias, is the class's score.  Training
 contrasts each true class with noise drawn by frequency; tasks train on their own texts and
-the parameters are averaged by Spark, round after round.  A fixed share of the training texts serves each
-round, so training grows with the corpus.  Scoring multiplies blocks of predicted vectors with all class
+the parameters are averaged by Spark, round after round.  The rounds share out the training texts, so each
+text is trained on once.  Scoring multiplies blocks of predicted vectors with all class
 vectors and normalises, then adds the word's share of its ending class where the class is an ending.
 
 The counts of the commonest words travel to all tasks, bounded by ``HEAD``; all other
@@ -35,7 +35,7 @@ WORDS, ENDINGS = 223, 32  # classes of the model: commonest words, endings
 CLASSES = WORDS + ENDINGS + 1
 END, START = CLASSES - 1, CLASSES
 PLACES, DIM = 4, 16
-ROUNDS, SHARE = 3, 8  # each round trains on one text in SHARE
+ROUNDS = 3  # each training text serves one round
 BATCH, NOISE, RATE = 1024, 64, 0.1
 BLOCK = 1024
 SMOOTH = 0.1
@@ -236,11 +236,16 @@ def _trained(texts: DataFrame, counts: Counts, table: np.ndarray, round_: int) -
     return average.drop(columns="k").to_numpy(np.float32) if len(average) else table
 
 
+def round_of(key: Column, text: Column) -> Column:
+    """The round that trains on a text: by the key's hash, or the text's where the key is null."""
+    return F.pmod(F.when(key.isNull(), F.xxhash64(text, F.lit(5))).otherwise(F.xxhash64(key, F.lit(5))), F.lit(ROUNDS))
+
+
 def train_model(texts: DataFrame, counts: Counts, key: Column) -> np.ndarray:
-    """``texts`` are the training texts; the key's hash deals them to the rounds."""
+    """``texts`` are the training texts; every one is dealt to one of the rounds."""
     table = first_parameters(counts.frequency)
     for k in range(ROUNDS):
-        table = _trained(texts.filter(F.pmod(F.xxhash64(key, F.lit(5)), F.lit(SHARE)) == k), counts, table, k)
+        table = _trained(texts.filter(round_of(key, F.col("text")) == k), counts, table, k)
     return table
 
 

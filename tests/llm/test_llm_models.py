@@ -72,6 +72,22 @@ def test_words_beyond_the_head_are_joined(spark, odd, monkeypatch):
     assert language_model.score_texts(odd, F.lit(False)).count() == odd.count(), "without training texts"
 
 
+def test_every_training_text_serves_one_round(spark, monkeypatch):
+    rows = [(i if i % 3 else None, f"text {i}") for i in range(300)]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    seen = []
+
+    def collected(part, counts, table, k):
+        seen.append(sorted(r["text"] for r in part.collect()))
+        return table
+
+    monkeypatch.setattr(language_model, "_trained", collected)
+    counts = language_model.summarise(language_model.count_words(texts), 300)
+    language_model.train_model(texts, counts, F.col("id"))
+    assert sorted(t for part in seen for t in part) == sorted(t for _, t in rows)
+    assert all(any(int(t.split()[1]) % 3 == 0 for t in part) for part in seen), "null ids in every round"
+
+
 def test_probabilities_sum_to_one():
     table = language_model.first_parameters(np.arange(language_model.CLASSES) + 1.0)
     context = np.tile([3, language_model.CLASSES - 2, language_model.START, 7], (language_model.CLASSES, 1))
