@@ -88,6 +88,13 @@ def test_every_training_text_serves_one_round(spark, monkeypatch):
     assert all(any(int(t.split()[1]) % 3 == 0 for t in part) for part in seen), "null ids in every round"
 
 
+def test_the_512_commonest_words_are_told_apart(spark):
+    texts = spark.createDataFrame([(" ".join(f"word{i}" for i in range(n)),) for n in range(1, 601)], "text string")
+    counts = language_model.summarise(language_model.count_words(texts), 600)
+    common = np.argsort(-counts.counts, kind="stable")[:512]
+    assert len(set(counts.classes[common])) == 512 and counts.classes[common].max() < language_model.WORDS
+
+
 def test_probabilities_sum_to_one():
     table = language_model.first_parameters(np.arange(language_model.CLASSES) + 1.0)
     context = np.tile([3, language_model.CLASSES - 2, language_model.START, 7], (language_model.CLASSES, 1))
