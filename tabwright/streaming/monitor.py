@@ -3,9 +3,10 @@
 Feature statistics are plain streaming aggregates.  The last events of a
 project need a buffer, which is kept per (project, shard): the newest events of
 a project are among the newest of its shards, so a busy project is spread over many tasks.
-A shard keeps the events that the frame of its newest pair reaches back to and the events since then, of
-which it drops the middle once they are more than two frames: the merged figure is exact as long as no shard
-has that many events in a row without a pair.
+A shard keeps the events that the frame of its newest pair reaches back to and the events since then.  Once
+these are more than two frames, their middle moves from the state to the written snapshots, from where the
+merged figure reads it again: a pair may still arrive in another shard or late.  A reset starts a new epoch,
+which leaves the moved events of earlier ones out.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ SHARDS = 16
 
 _STATE = (
     "n long, names array<string>, counts array<long>, means array<double>, squares array<double>, "
-    "ts array<long>, ids array<long>, errors array<double>, hits array<double>"
+    "ts array<long>, ids array<long>, errors array<double>, hits array<double>, epoch long"
 )
+_MOVED = "moved_ts array<long>, moved_ids array<long>"
 
 
 def stream_feature_stats(events: DataFrame) -> DataFrame:
@@ -82,33 +84,35 @@ def monitor_stream(events: DataFrame, last: int = mo.LAST_EVENTS, shards: int =
         stored = _Collected.from_state(state.get) if state.exists else _Collected()
         marks = np.flatnonzero(fresh["reset"].to_numpy(dtype=bool))
         if len(marks):
-            stored = _Collected()
+            stored = _Collected(stored.epoch + 1)
             fresh = fresh.iloc[marks[-1] + 1:]
-        stored.add(fresh, last)
+        moved = stored.add(fresh, last)
         state.update(stored.as_state())
-        yield pd.DataFrame([(key[0], int(key[1]), *stored.as_state())], columns=_columns())
+        places = [[int(v) for v in moved[c]] for c in ("ts", "event_id")]
+        yield pd.DataFrame([(key[0], int(key[1]), *stored.as_state(), *places)], columns=_columns())
 
     return rows.groupBy("project", "shard").applyInPandasWithState(
-        update, f"project {project_type}, shard int, {_STATE}", _STATE, "update", GroupStateTimeout.NoTimeout
+        update, f"project {project_type}, shard int, {_STATE}, {_MOVED}", _STATE, "update", GroupStateTimeout.NoTimeout
     )
 
 
 def _columns() -> list[str]:
-    return ["project", "shard", *[part.strip().split(" ")[0] for part in _STATE.split(", ")]]
+    return ["project", "shard", *[part.strip().split(" ")[0] for part in f"{_STATE}, {_MOVED}".split(", ")]]
 
 
 class _Collected:
     """Mergeable statistics and the newest events of one shard."""
 
-    def __init__(self) -> None:
+    def __init__(self, epoch: int = 0) -> None:
         self.n = 0
+        self.epoch = epoch
         self.stats: dict[str, tuple[int, float, float]] = {}
         self.recent = pd.DataFrame({"ts": [], "event_id": [], "error": [], "hit": []})
 
     @classmethod
     def from_state(cls, values: tuple[Any, ...]) -> _Collected:
-        n, names, counts, means, squares, ts, ids, errors, hits = values
-        self = cls()
+        n, names, counts, means, squares, ts, ids, errors, hits, epoch = values
+        self = cls(epoch)
         self.n = n
         self.stats = {name: (c, m, s) for name, c, m, s in zip(names, counts, means, squares)}
         self.recent = pd.DataFrame(
@@ -120,7 +124,8 @@ class _Collected:
         )
         return self
 
-    def add(self, rows: pd.DataFrame, last: int) -> None:
+    def add(self, rows: pd.DataFrame, last: int) -> pd.DataFrame:
+        """Take in a batch; the events without a pair that the state no longer holds."""
         self.n += len(rows)
         long = pd.DataFrame(
             {
@@ -142,14 +147,15 @@ class _Collected:
             self.stats[name] = (count, mean, square)
         fields = ["ts", "event_id", "error", "hit"]
         both = pd.concat([f for f in (self.recent, rows[fields]) if len(f)] or [self.recent], ignore_index=True)
-        both = both.sort_values(["ts", "event_id"], kind="stable")
+        both = both.sort_values(["ts", "event_id"], kind="stable", ignore_index=True)
         # a figure is taken at an event with a pair: what its frame reaches back to, and what has come since
         paired = np.flatnonzero((both["error"].notna() | both["hit"].notna()).to_numpy(dtype=bool))
         cut = paired[-1] + 1 if len(paired) else 0
         since = both.iloc[cut:]
-        if len(since) > 2 * last:
-            since = pd.concat([since.head(last), since.tail(last)])
+        moved = since.iloc[last:-last] if len(since) > 2 * last else since.iloc[:0]
+        since = since.drop(moved.index)
         self.recent = pd.concat([both.iloc[max(0, cut - last):cut], since]) if cut else since
+        return moved
 
     def as_state(self) -> tuple:
         names = sorted(self.stats)
@@ -161,17 +167,30 @@ class _Collected:
             self.n, names, [self.stats[x][0] for x in names], [self.stats[x][1] for x in names],
             [self.stats[x][2] for x in names], [int(v) for v in self.recent["ts"]],
             [int(v) for v in self.recent["event_id"]], numbers("error"), numbers("hit"),
+            self.epoch,
         )
 
 
 def latest_snapshots(batches: DataFrame) -> DataFrame:
-    """The newest snapshot per project and shard from the batches written so far."""
-    fields = [c for c in batches.columns if c not in ("project", "shard", "batch")]
-    return (
+    """The newest snapshot per project and shard from the batches written so far.
+
+    Events that batches moved out of the state since the last reset follow as rows that count nothing.
+    """
+    away = ("moved_ts", "moved_ids")
+    fields = [c for c in batches.columns if c not in ("project", "shard", "batch", *away)]
+    newest = (
         batches.groupBy("project", "shard")
         .agg(F.max_by(F.struct(*fields), "batch").alias("s"))
         .select("project", "shard", "s.*")
     )
+    kinds = dict(batches.dtypes)
+    values = {"n": F.lit(0), "ts": F.col("moved_ts"), "ids": F.col("moved_ids")}
+    moved = batches.filter(F.size("moved_ts") > 0).join(
+        newest.select("project", "shard", "epoch"), ["project", "shard", "epoch"]
+    ).select("project", "shard", *[
+        (F.col(c) if c == "epoch" else values.get(c, F.array())).cast(kinds[c]).alias(c) for c in fields
+    ])
+    return newest.unionByName(moved)
 
 
 def merged_stats(snapshots: DataFrame) -> DataFrame:

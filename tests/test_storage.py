@@ -101,6 +101,28 @@ def test_reset_clears_a_project(spark, events):
     assert counts == {0: after[0] + same_moment, 1: whole[1]}
 
 
+def test_stream_equals_batch_where_pairs_are_rare(spark, events):
+    # one pair in about 3,000 events, and one that arrives last but belongs into the middle
+    times = F.make_dt_interval(secs=F.col("id"))
+    rare = spark.range(9001).select(
+        F.lit(0).alias("project"), F.col("id").alias("event_id"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.when(F.col("id") == 9000, F.make_dt_interval(secs=F.lit(7500))).otherwise(times)).alias("ts"),
+        F.create_map(F.lit("x"), (F.col("id") % 17).cast("double")).alias("features"), F.col("id").cast("double").alias("prediction"),
+    ).withColumn("truth", F.when(F.col("event_id").isin(1000, 4000, 7000, 7400, 9000), F.col("event_id") + F.col("event_id") % 7 + 3).cast("double"))
+    rare = rare.withColumn("reset", F.lit(False)).select(events.columns)
+    arriving, path = scratch_path(spark, "arriving"), scratch_path(spark, "monitor")
+    for i in range(3):
+        part = rare.filter((F.col("event_id") >= 3000 * i) & (F.col("event_id") < 3000 * (i + 1)))
+        part.coalesce(1).write.mode("append").parquet(arriving)
+    rare.filter("event_id = 9000").coalesce(1).write.mode("append").parquet(arriving)
+    stream = log.event_stream(spark, arriving, rare.schema, 1)
+    log.finish(log.keep_batches(live.monitor_stream(stream, 50, 3), path, scratch_path(spark, "checkpoint")))
+    base = mo.baseline(spark.range(20).select(F.col("id").cast("double").alias("x")), ["x"])
+    got = live.monitor_view(live.latest_snapshots(spark.read.parquet(path)), base, 50).first()
+    newest = mo.rolling_rmse(rare, 50).filter("rolling_rmse IS NOT NULL").orderBy(F.desc("ts"), F.desc("event_id")).first()
+    assert (got["recent_count"], got["rolling_rmse"]) == (9001, newest["rolling_rmse"])
+
+
 def test_append_events_batch(spark, events):
     path = scratch_path(spark, "log")
     log.append_events(events, path)
