@@ -19,7 +19,10 @@ from tabwright.llm import (  # noqa: E402, F401
     exact_dedup,
     fingerprints,
     language_model,
+    lexical_search,
+    line_dedup,
     mixing,
+    negatives,
     ngram_join,
     preferences,
     quality,
