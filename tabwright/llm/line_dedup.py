@@ -79,13 +79,14 @@ def dropped_lines(
     """``id, body, dropped``: the sorted positions a document loses; documents that lose nothing have no row.
 
     A line goes when its key is found in at least ``min_docs`` documents; with ``keep_first`` the first occurrence of
-    the key stays.  The sorted ranges are written once, for the counts and for the lines that go.  The join on the hash
-    is one that adaptive execution splits where a key is hot.
+    the key stays.  The sorted ranges are written once, for the counts and for the lines that go; the repeated keys are
+    written too, since adaptive execution splits a hot key only in a join that stands right above both shuffles.
     """
     by_document = stored(document_keys(line_rows(docs, id_col, text_col, min_length)), "lines")
     repeated = key_counts(by_document).filter(F.col("n_docs") >= min_docs)
     if not keep_first:
         repeated = repeated.drop("first")
+    repeated = stored(repeated, "repeated")  # a finished table, so that only shuffles lie below the join
     found = by_document.join(repeated, ["h1", "h2"])
     positions = F.col("positions")
     if keep_first:
