@@ -89,7 +89,8 @@ def test_running_drift_across_chunks(hot, spark):
         np.testing.assert_allclose(got.loc[group["event_id"]].to_numpy(dtype=float), expected.to_numpy(), rtol=1e-9)
 
 
-def test_quantiles_of_widely_spread_values(spark, monkeypatch):
+@pytest.fixture(scope="module")
+def spread_values(spark):
     rng = np.random.default_rng(3)
     n = 2000
     frame = pd.DataFrame(
@@ -102,13 +103,62 @@ def test_quantiles_of_widely_spread_values(spark, monkeypatch):
             "scales": np.concatenate([10.0 ** rng.uniform(-300, 300, n - 4), [1e-300, 1e300, 5e-324, -1e-310]]),
         }
     )
-    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    scans, counted = [], quantiles._counted
-    monkeypatch.setattr(quantiles, "_counted", lambda *a: scans.append(a[2]) or counted(*a))
-    got = exact_quantiles(spark.createDataFrame(frame), list(frame.columns), probs)
-    assert scans == list(range(len(scans))) and len(scans) <= 4
+    return frame, spark.createDataFrame(frame)
+
+
+PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+
+
+def scans_of(monkeypatch):
+    scans, count = [], quantiles._count
+    monkeypatch.setattr(quantiles, "_count", lambda df, open_: scans.append(len(open_)) or count(df, open_))
+    return scans
+
+
+def test_quantiles_of_widely_spread_values(spread_values, monkeypatch):
+    frame, df = spread_values
+    scans = scans_of(monkeypatch)
+    got = exact_quantiles(df, list(frame.columns), PROBS)
+    assert len(scans) == 1, "one scan to count after the sketch"
+    for name in frame.columns:
+        np.testing.assert_allclose(got[name], frame[name].quantile(PROBS).to_numpy(), rtol=1e-9, err_msg=name)
+
+
+def test_quantiles_narrow_crowded_brackets(spread_values, monkeypatch):
+    frame, df = spread_values
+    for name, value in (("GROUP_ROWS", 10), ("CUTS", 32), ("REACH", (0.2,))):
+        monkeypatch.setattr(quantiles, name, value)
+    scans = scans_of(monkeypatch)
+    got = exact_quantiles(df, list(frame.columns), PROBS)
+    assert 2 <= len(scans) <= 16 and scans[-1] < scans[0]
     for name in frame.columns:
-        np.testing.assert_allclose(got[name], frame[name].quantile(probs).to_numpy(), rtol=1e-9, err_msg=name)
+        np.testing.assert_allclose(got[name], frame[name].quantile(PROBS).to_numpy(), rtol=1e-9, err_msg=name)
+
+
+@pytest.mark.parametrize("side", [0, 1])
+def test_quantiles_recover_from_a_wrong_sketch(spread_values, monkeypatch, side):
+    frame, df = spread_values
+    first = quantiles._searches
+
+    def beside(*args):
+        ends = sorted(frame[args[0]].astype(float))
+        searches = first(*args)
+        for s in searches:
+            s.probe = (ends[0], ends[3]) if side else (ends[-3], ends[-1])
+        return searches
+
+    monkeypatch.setattr(quantiles, "_searches", beside)
+    monkeypatch.setattr(quantiles, "GROUP_ROWS", 50)
+    got = exact_quantiles(df, ["normal", "whole"], [0.5, 0.75])
+    for name in ("normal", "whole"):
+        np.testing.assert_allclose(got[name], frame[name].quantile([0.5, 0.75]).to_numpy(), rtol=1e-9)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 11])
+def test_quantiles_of_few_rows(spark, n):
+    values = [float((7 * i) % n) for i in range(n)]
+    got = exact_quantiles(spark.createDataFrame([(v,) for v in values], "a double"), ["a"], [0.05, 0.5, 0.95])
+    np.testing.assert_allclose(got["a"], np.quantile(values, [0.05, 0.5, 0.95]))
 
 
 def test_quantiles_skip_missing(spark):
