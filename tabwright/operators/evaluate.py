@@ -81,6 +81,11 @@ def classification_metrics(preds: DataFrame) -> DataFrame:
     )
 
 
+def weighted_f1(preds: DataFrame) -> DataFrame:
+    """F1 averaged over the classes by their support."""
+    return per_class(preds).agg(F.try_divide(F.sum(F.col("f1_score") * F.col("support")), F.sum("support")).alias("f1"))
+
+
 def classification_report(preds: DataFrame) -> DataFrame:
     """Class rows, then accuracy, macro and weighted averages."""
     classes = per_class(preds)

@@ -1,29 +1,35 @@
-"""Exact k-nearest-neighbour join.
-
-A few training rows serve as pivots and cut the space into cells.  From the
-distances to the pivots every query knows an upper bound for its k-th neighbour
-and hence, by the triangle inequality, which cells can hold one at all.  Only
-those (cell, query) combinations meet.  A crowded cell is cut into blocks of
-bounded size on both sides, and each block pair returns only its k best per
-query, so no task holds or emits all pairs of a cell.
+"""k-nearest-neighbour join: exact in two passes, or approximate by projection buckets.
+
+Pivots, a spread-out sample of the training rows, cut the space into cells.  In the first pass a query meets its
+own cell only, which gives it k candidates and the distance of the worst of them.  In the second it visits the other
+cells that can hold a nearer row: by the triangle inequality a cell is out of reach if its ring around the pivot is, and
+by the bisector between two pivots if the query lies too far on its own side.  A crowded cell is cut into blocks of
+bounded size; in a block a ball tree tells which balls a query has to look into.  Queries are handled together, ball by
+ball, and a block returns the k best per query, so no task holds or emits all pairs of a cell.
+
+The approximate mode uses the same blocks, with buckets of random projections in place of cells: a query
+meets the rows that share a bucket with it in one of the hash tables.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabwright.plans.lineage import spread
+from tabwright.plans.lineage import written
 
 BLOCK_ROWS = 20_000
-MAX_PIVOTS = 512
-SLACK = 1e-9
+BALL_ROWS = 256
+QUERIES_AT_ONCE = 4_096
+MOST_PIVOTS = 4_096
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -36,23 +42,187 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0.0))
 
 
-def _k_best(queries: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, own_ids: np.ndarray | None, k: int):
-    """Per query the positions and exact distances of its k best rows, ties by id."""
-    chunk = max(1, 4_000_000 // max(1, len(rows)))
-    for start in range(0, len(queries), chunk):
-        part = queries[start:start + chunk]
-        rough = _distances(part, rows)
-        scale = np.sqrt((part * part).sum(1)[:, None] + (rows * rows).sum(1).max())
-        if own_ids is not None:
-            rough[own_ids[start:start + chunk, None] == row_ids[None, :]] = np.inf
-        for i in range(len(part)):
-            line = rough[i]
-            limit = np.partition(line, k - 1)[k - 1] if len(line) > k else np.inf
-            # rounding of the squared form is at most about 1e-8 of the scale
-            near = np.flatnonzero((line <= limit + 1e-6 * scale[i]) & np.isfinite(line))
-            exact = np.sqrt(((rows[near] - part[i]) ** 2).sum(1))
-            best = np.lexsort((row_ids[near], exact))[:k]
-            yield start + i, near[best], exact[best]
+def _slack(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """What rounding of ``_distances`` can amount to, per query: about 1e-8 of the lengths, taken 100 times."""
+    most = (rows * rows).sum(1).max() if len(rows) else 0.0
+    return 1e-6 * np.sqrt((queries * queries).sum(1) + most) + 1e-12
+
+
+def ball_tree(points: np.ndarray, ball_rows: int = BALL_ROWS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Rows, centre and radius of the balls: halved at the median of the widest dimension until small enough."""
+    open_, balls = [np.arange(len(points))], []
+    while open_:
+        rows = open_.pop()
+        if len(rows) <= ball_rows:
+            balls.append(rows)
+            continue
+        inside = points[rows]
+        widest = int(np.argmax(inside.max(0) - inside.min(0))) if inside.shape[1] else 0
+        order = np.argpartition(inside[:, widest], len(rows) // 2) if inside.shape[1] else np.arange(len(rows))
+        open_ += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
+    centres = np.stack([points[b].mean(0) for b in balls])
+    radii = np.array([np.sqrt(((points[b] - c) ** 2).sum(1).max()) for b, c in zip(balls, centres, strict=True)])
+    return balls, centres, radii
+
+
+def _first_of_each(query: np.ndarray, distance: np.ndarray, row_id: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best pairs of each query, ties by row id."""
+    order = np.lexsort((row_id, distance, query))
+    sorted_query = query[order]
+    rank = np.arange(len(order)) - np.searchsorted(sorted_query, sorted_query, "left")
+    return order[rank < k]
+
+
+def block_neighbours(
+    rows: np.ndarray, row_ids: np.ndarray, queries: np.ndarray, own_ids: np.ndarray | None, limit: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries and rows, and exact distances: the k best rows per query that lie within its ``limit``.
+
+    The limits shrink as balls are searched, the nearest ball of each query first.
+    """
+    balls, centres, radii = ball_tree(rows)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for start in range(0, len(queries), QUERIES_AT_ONCE):
+        part = queries[start : start + QUERIES_AT_ONCE]
+        near, slack = limit[start : start + QUERIES_AT_ONCE].copy(), _slack(part, rows)
+        least = _distances(part, centres) - radii[None, :] - slack[:, None]
+        nearest_ball = least.argmin(1)
+        pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for first in (True, False):
+            for b, members in enumerate(balls):
+                here = nearest_ball == b
+                visits = np.flatnonzero((here if first else ~here) & (least[:, b] <= near))
+                if not len(visits):
+                    continue
+                rough = _distances(part[visits], rows[members])
+                if own_ids is not None:
+                    rough[own_ids[start + visits, None] == row_ids[members][None, :]] = np.inf
+                if len(members) > k:
+                    worst = np.partition(rough, k - 1, axis=1)[:, k - 1] + slack[visits]
+                    near[visits] = np.minimum(near[visits], worst)
+                query, row = np.nonzero((rough <= near[visits, None] + slack[visits, None]) & np.isfinite(rough))
+                exact = np.sqrt(((rows[members[row]] - part[visits[query]]) ** 2).sum(1))
+                best = _first_of_each(query, exact, row_ids[members[row]], k)
+                pairs.append((visits[query[best]], members[row[best]], exact[best]))
+        if pairs:
+            query, row, exact = (np.concatenate(c) for c in zip(*pairs, strict=True))
+            best = _first_of_each(query, exact, row_ids[row], k)
+            found.append((query[best] + start, row[best], exact[best]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _training(train: DataFrame, vector: str, train_id: str, label: str) -> DataFrame:
+    return train.select(
+        F.col(train_id).cast("long").alias("_id"), F.col(label).alias("_label"), F.col(vector).cast("array<double>").alias("_v")
+    )
+
+
+def _asked(queries: DataFrame, vector: str, query_id: str) -> DataFrame:
+    return queries.select(F.col(query_id).cast("long").alias("_q"), F.col(vector).cast("array<double>").alias("_v"))
+
+
+def _in_blocks(rows: DataFrame, visits: DataFrame, k: int, exclude_self: bool, block_rows: int) -> DataFrame:
+    """``_q, _id, _label, _d``: rows and queries with the same ``_cell`` meet, block by block on both sides.
+
+    ``visits`` carry ``_limit``, the farthest a neighbour can be.
+    """
+    label_type = dict(rows.dtypes)["_label"]
+    sizes = rows.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_tb"))
+    loads = visits.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_qb"))
+    sides = written(sizes.join(loads, "_cell"), "cells")  # one row per cell that has both
+
+    def copied(df: DataFrame, own: str, mine: str, other: str, mine_name: str, other_name: str) -> DataFrame:
+        """Rows in one block of their own side, copied to every block of the other."""
+        return (
+            df.join(sides, "_cell")
+            .withColumn(mine_name, F.pmod(F.xxhash64(own), F.col(mine)).cast("int"))
+            .withColumn(other_name, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+            .drop("_tb", "_qb")
+        )
+
+    def meet(rows_block: pd.DataFrame, query_block: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows_block) or not len(query_block):
+            return pd.DataFrame({"_q": [], "_id": [], "_label": [], "_d": []})
+        ids, own = rows_block["_id"].to_numpy(), query_block["_q"].to_numpy()
+        query, row, far = block_neighbours(
+            _matrix(rows_block["_v"]), ids, _matrix(query_block["_v"]), own if exclude_self else None,
+            query_block["_limit"].to_numpy(), k,
+        )
+        return pd.DataFrame({"_q": own[query], "_id": ids[row], "_label": rows_block["_label"].to_numpy()[row], "_d": far})
+
+    left = copied(rows.select("_id", "_label", "_v", "_cell"), "_id", "_tb", "_qb", "_t", "_u")
+    right = copied(visits.select("_q", "_v", "_cell", "_limit"), "_q", "_qb", "_tb", "_u", "_t")
+    return (
+        left.groupBy("_cell", "_t", "_u")
+        .cogroup(right.groupBy("_cell", "_t", "_u"))
+        .applyInPandas(meet, f"_q long, _id long, _label {label_type}, _d double")
+    )
+
+
+def _best(pairs: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("_q").orderBy("_d", "_id")
+    ranked = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select(
+        F.col("_q").alias("query_id"), F.col("_id").alias("neighbour_id"), F.col("_label").alias("label"),
+        F.col("_d").alias("distance"), "rank",
+    )
+
+
+class Cells:
+    """Pivots with the ring of distances their rows lie in; what a query has to visit."""
+
+    def __init__(self, points: np.ndarray):
+        self.points = points
+        self.low, self.high = np.full(len(points), np.inf), np.full(len(points), -np.inf)
+        between = _distances(points, points)
+        # a bisector between pivots that almost touch would be placed by rounding alone
+        self.between = np.where(between > 0.05 * np.sqrt((points * points).sum(1).max()), between, np.inf)
+
+    def learn(self, placed: DataFrame) -> None:
+        """One row per pivot: the nearest and the farthest of its rows."""
+        for r in placed.groupBy("_cell").agg(F.min("_far").alias("low"), F.max("_far").alias("high")).collect():
+            self.low[r["_cell"]], self.high[r["_cell"]] = r["low"], r["high"]
+
+    def place(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distances to all pivots, the nearest pivot that has rows, and the distance to it."""
+        d = _distances(v, self.points)
+        own = np.where(np.isfinite(self.low)[None, :], d, np.inf).argmin(1)
+        return d, own, d[np.arange(len(d)), own]
+
+    def in_reach(self, v: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Which other cells can hold a row within the limit."""
+        d, own, nearest_d = self.place(v)
+        margin = _slack(v, self.points)[:, None] * 4
+        ring = np.maximum(d - self.high[None, :], self.low[None, :] - d)
+        side = (d**2 - nearest_d[:, None] ** 2) / (2 * self.between[own])  # a cell lies on its pivot's side of the bisector
+        reach = (np.maximum(ring, side) <= limit[:, None] + margin) & np.isfinite(self.low)[None, :]
+        reach[np.arange(len(d)), own] = False
+        return reach
+
+
+def cells_of(rows: DataFrame, pivots: int | None) -> tuple[Cells, DataFrame]:
+    """The cells, and the rows with ``_cell`` and their distance ``_far`` to its pivot, written once."""
+    total = rows.count()
+    if total == 0:
+        raise ValueError("the training table is empty")
+    wanted = min(MOST_PIVOTS, pivots or max(1, int(math.sqrt(total)) // 2))
+    chosen = rows.orderBy(F.xxhash64("_id"), "_id").limit(wanted).select("_v").collect()
+    cells = Cells(np.unique(np.array([r["_v"] for r in chosen], dtype=np.float64), axis=0))
+    points = cells.points
+
+    def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                d = _distances(_matrix(batch["_v"]), points)
+                cell = d.argmin(1)
+                yield batch.assign(_cell=cell.astype("int32"), _far=d[np.arange(len(d)), cell])
+
+    schema = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes)
+    placed = written(rows.mapInPandas(to_cells, f"{schema}, _cell int, _far double"), "placed")
+    cells.learn(placed)
+    return cells, placed
 
 
 def nearest(
@@ -66,120 +236,82 @@ def nearest(
     exclude_self: bool = False,
     pivots: int | None = None,
     block_rows: int = BLOCK_ROWS,
+    count_visits: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
     """``query_id, neighbour_id, label, distance, rank`` of the k nearest training rows.
 
     ``exclude_self`` leaves out the training row with the query's own id.
-    Ids are whole numbers; vectors are arrays of equal length without nulls.
+    Ids are whole numbers, unique on either side; vectors are arrays of equal length without nulls.
+    ``count_visits`` is called with the cells each query visits in the second pass.
     """
-    rows = spread(train).select(
-        F.col(train_id).cast("long").alias("_id"), F.col(label).alias("_label"),
-        F.col(vector).cast("array<double>").alias("_v"),
-    )
-    asked = spread(queries).select(
-        F.col(query_id).cast("long").alias("_q"), F.col(vector).cast("array<double>").alias("_v")
-    )
-    label_type = dict(rows.dtypes)["_label"]
-    total = rows.count()
-    if total == 0:
-        raise ValueError("the training table is empty")
-    wanted = min(MAX_PIVOTS, pivots or max(1, int(math.sqrt(total)) // 4))
-    chosen = rows.orderBy(F.xxhash64("_id"), "_id").limit(wanted).select("_v").collect()
-    points = np.array([r["_v"] for r in chosen], dtype=np.float64)
-    spare = k + 1 if exclude_self else k
+    cells, placed = cells_of(_training(train, vector, train_id, label), pivots)
 
-    def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def to_own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                d = _distances(_matrix(batch["_v"]), points)
-                cell = d.argmin(1)
-                yield batch.assign(_cell=cell.astype("int32"), _far=d[np.arange(len(d)), cell])
+                yield batch.assign(_cell=cells.place(_matrix(batch["_v"]))[1].astype("int32"), _limit=np.inf)
 
-    placed = rows.mapInPandas(to_cells, f"_id long, _label {label_type}, _v array<double>, _cell int, _far double")
-    # at most one row per pivot, and `spare` rows per pivot
-    cells = placed.groupBy("_cell").agg(F.max("_far").alias("radius"), F.count(F.lit(1)).alias("n")).collect()
-    close_order = Window.partitionBy("_cell").orderBy("_far", "_id")
-    close = (
-        placed.select("_cell", "_far", "_id")
-        .withColumn("_r", F.row_number().over(close_order))
-        .filter(F.col("_r") <= spare)
-        .select("_cell", "_far")
-        .collect()
-    )
-    radius = np.full(len(points), -np.inf)
-    blocks = np.zeros(len(points), dtype=np.int64)
-    for c in cells:
-        radius[c["_cell"]] = c["radius"]
-        blocks[c["_cell"]] = -(-c["n"] // block_rows)
-    close_cell = np.array([c["_cell"] for c in close])
-    close_far = np.array([c["_far"] for c in close])
-
-    def to_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def to_others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                d = _distances(_matrix(batch["_v"]), points)
-                bounds = d[:, close_cell] + close_far[None, :]
-                at = min(spare, bounds.shape[1]) - 1
-                limit = np.partition(bounds, at, axis=1)[:, at] if total >= spare else np.full(len(d), np.inf)
-                margin = 1e-6 * (1.0 + d.max(1) + limit)
-                reach = d - radius[None, :] <= (limit + np.where(np.isfinite(margin), margin, 0.0))[:, None]
-                yield batch.assign(_cells=[np.flatnonzero(r & (blocks > 0)).astype("int32") for r in reach])
-
-    visits = asked.mapInPandas(to_visits, "_q long, _v array<double>, _cells array<int>").select(
-        "_q", "_v", F.explode("_cells").alias("_cell")
-    )
-    load = visits.groupBy("_cell").count().collect()
-    sides = [(int(c), int(blocks[c]), 1) for c in range(len(points)) if blocks[c]]
-    query_blocks = {r["_cell"]: -(-r["count"] // block_rows) for r in load}
-    sides = [(c, t, query_blocks.get(c, 0)) for c, t, _ in sides]
-    plan = F.broadcast(train.sparkSession.createDataFrame(sides, "_cell int, _tb int, _qb int"))
+                reach = cells.in_reach(_matrix(batch["_v"]), batch["_limit"].to_numpy())
+                yield batch.assign(_cells=[np.flatnonzero(r).astype("int32") for r in reach])
 
-    def copied(df: DataFrame, own: str, mine: str, other: str, mine_name: str, other_name: str) -> DataFrame:
-        """Rows in one block of their own side, copied to every block of the other."""
-        return (
-            df.join(plan, "_cell")
-            .filter(F.col("_qb") > 0)
-            .withColumn(mine_name, F.pmod(F.xxhash64(own), F.col(mine)).cast("int"))
-            .withColumn(other_name, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-            .drop("_tb", "_qb")
-        )
+    asked = _asked(queries, vector, query_id)
+    home = written(asked.mapInPandas(to_own, "_q long, _v array<double>, _cell int, _limit double"), "queries")
+    first = written(_in_blocks(placed, home, k, exclude_self, block_rows), "near")
+    kept = _best(first, k).groupBy(F.col("query_id").alias("_q")).agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_worst"))
+    known = F.when(F.col("_n") >= k, F.col("_worst")).otherwise(float("inf"))
+    limited = home.select("_q", "_v").join(kept, "_q", "left").select("_q", "_v", F.coalesce(known, F.lit(float("inf"))).alias("_limit"))
+    visits = written(
+        limited.mapInPandas(to_others, "_q long, _v array<double>, _limit double, _cells array<int>").select(
+            "_q", "_v", "_limit", F.explode("_cells").alias("_cell")
+        ),
+        "visits",
+    )
+    if count_visits:
+        count_visits(visits)
+    return _best(first.unionByName(_in_blocks(placed, visits, k, exclude_self, block_rows)), k)
 
-    left = copied(placed.drop("_far"), "_id", "_tb", "_qb", "_t", "_u")
-    right = copied(visits, "_q", "_qb", "_tb", "_u", "_t")
 
-    def meet(rows_block: pd.DataFrame, query_block: pd.DataFrame) -> pd.DataFrame:
-        asked_ids, near_ids, near_labels, far = [], [], [], []
-        if len(rows_block) and len(query_block):
-            ids = rows_block["_id"].to_numpy()
-            labels = rows_block["_label"].to_numpy()
-            own = query_block["_q"].to_numpy()
-            found = _k_best(
-                _matrix(query_block["_v"]), _matrix(rows_block["_v"]), ids, own if exclude_self else None, k
-            )
-            for i, at, d in found:
-                asked_ids.append(np.repeat(own[i], len(at)))
-                near_ids.append(ids[at])
-                near_labels.append(labels[at])
-                far.append(d)
-        if not far:
-            return pd.DataFrame({"_q": [], "_id": [], "_label": [], "_d": []})
-        columns = {"_q": asked_ids, "_id": near_ids, "_label": near_labels, "_d": far}
-        return pd.DataFrame({name: np.concatenate(parts) for name, parts in columns.items()})
+def nearest_by_projection(
+    train: DataFrame,
+    queries: DataFrame,
+    k: int = 5,
+    vector: str = "features",
+    train_id: str = "id",
+    query_id: str = "id",
+    label: str = "label",
+    exclude_self: bool = False,
+    tables: int = 8,
+    bucket_length: float | None = None,
+    block_rows: int = BLOCK_ROWS,
+    seed: int = 42,
+) -> DataFrame:
+    """Approximate form of ``nearest``: rows that share a bucket of a random projection in one of ``tables``.
 
-    pairs = (
-        left.groupBy("_cell", "_t", "_u")
-        .cogroup(right.groupBy("_cell", "_t", "_u"))
-        .applyInPandas(meet, f"_q long, _id long, _label {label_type}, _d double")
-    )
-    order = Window.partitionBy("_q").orderBy("_d", "_id")
-    return (
-        pairs.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select(
-            F.col("_q").alias("query_id"), F.col("_id").alias("neighbour_id"), F.col("_label").alias("label"),
-            F.col("_d").alias("distance"), "rank",
-        )
+    ``bucket_length`` is the width of a bucket, by default half the spread of the vectors; wider buckets and more tables find
+    more.  A query may get fewer than ``k`` rows.
+    """
+    rows, asked = _training(train, vector, train_id, label), _asked(queries, vector, query_id)
+    if bucket_length is None:
+        spread = rows.select(F.posexplode("_v")).groupBy("pos").agg(F.var_pop("col").alias("v")).agg(F.sum("v")).first()[0]
+        bucket_length = max(1e-9, math.sqrt(spread or 0.0) / 2)
+    hashing = BucketedRandomProjectionLSH(
+        inputCol="_vector", outputCol="_hashes", bucketLength=float(bucket_length), numHashTables=tables, seed=seed
     )
+    model = hashing.fit(rows.select(array_to_vector("_v").alias("_vector")))
+
+    def bucketed(df: DataFrame) -> DataFrame:
+        hashed = model.transform(df.withColumn("_vector", array_to_vector("_v"))).drop("_vector")
+        cell: Column = F.concat_ws(":", F.col("_table"), vector_to_array("_hash")[0].cast("long"))
+        placed = hashed.select(*df.columns, F.posexplode("_hashes").alias("_table", "_hash"))
+        return placed.withColumn("_cell", cell).drop("_table", "_hash")
+
+    placed = written(bucketed(rows), "buckets")
+    visits = written(bucketed(asked).withColumn("_limit", F.lit(float("inf"))), "asked")
+    found = _in_blocks(placed, visits, k, exclude_self, block_rows)
+    return _best(found.groupBy("_q", "_id").agg(F.any_value("_label").alias("_label"), F.min("_d").alias("_d")), k)
 
 
 def vote(neighbours: DataFrame, weights: str = "uniform") -> DataFrame:

@@ -249,6 +249,44 @@ def candidates(grid: Mapping[str, Sequence[Any]]) -> Iterable[dict[str, Any]]:
     return (dict(zip(names, values)) for values in product(*[grid[n] for n in names]))
 
 
+def _score_table(df: DataFrame, points: Sequence[Mapping[str, Any]], scores: Sequence[float]) -> DataFrame:
+    return df.sparkSession.createDataFrame(
+        [(i, str(p), float(s)) for i, (p, s) in enumerate(zip(points, scores))], "candidate int, params string, score double"
+    )
+
+
+def _folded(rows: DataFrame, kept: Sequence[str], folds: int, fold: str | None) -> DataFrame:
+    """Append ``_fold``; made from a row's values, so that equal rows are never on both sides."""
+    made = F.pmod(F.xxhash64(*[quoted(c) for c in kept]), F.lit(folds))
+    return rows.withColumn("_fold", (quoted(fold) if fold else made).cast("int"))
+
+
+def _neighbour_scores(
+    df: DataFrame, target: str, features: Sequence[str], points: Sequence[Mapping[str, Any]], folds: int, fold: str | None
+) -> list[float]:
+    """Weighted F1 of every grid point, averaged over the folds."""
+    most = max(p["n_neighbors"] for p in points)
+    rows = _typed(df, features).filter(quoted(target).isNotNull()).withColumn("_truth", quoted(target).cast("string"))
+    rows = _folded(rows.select(*[quoted(c) for c in features], "_truth", *([quoted(fold)] if fold else [])), [*features, "_truth"], folds, fold)
+    # row ids must not change between passes
+    rows = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
+    total = [0.0] * len(points)
+    for held in range(folds):
+        learnt = Pipeline(stages=preparation(df, features, "KNeighborsClassifier")).fit(rows.filter(F.col("_fold") != held))
+        vectors = learnt.transform(rows).select("_row", "_fold", "_truth", vector_to_array("_features").alias("_v"))
+        test = vectors.filter(F.col("_fold") == held)
+        near = neighbours.nearest(vectors.filter(F.col("_fold") != held), test, most, "_v", "_row", "_row", "_truth")
+        near = near.persist()
+        try:
+            for i, p in enumerate(points):
+                votes = neighbours.vote(near.filter(F.col("rank") <= p["n_neighbors"]), p["weights"])
+                pairs = test.join(votes, F.col("_row") == F.col("query_id")).select(F.col("_truth").alias("label"), "prediction")
+                total[i] += ev.weighted_f1(pairs).first()["f1"] or 0.0
+        finally:
+            near.unpersist()
+    return [t / folds for t in total]
+
+
 def tune(
     df: DataFrame,
     target: str,
@@ -258,21 +296,24 @@ def tune(
     folds: int = 3,
     parallelism: int = 4,
     seed: int = 42,
+    fold: str | None = None,
 ) -> tuple[dict[str, Any], DataFrame]:
     """Cross-validate every grid point; the best parameters and a table of scores.
 
     Each grid point is its own estimator, run by one ``CrossValidator`` whose
-    parameter is the pipeline itself, so candidates are fitted in parallel.
+    parameter is the pipeline itself, so candidates are fitted in parallel.  Nearest neighbours are
+    looked up once per fold for the largest number of them, and every grid point reads its own from their ranks.
+    ``fold`` names a column with the fold of each row, from 0; else it follows from the row's values.
     """
     kind = training.problem_kind(algorithm)
-    if algorithm == "KNeighborsClassifier":
-        raise ValueError("nearest neighbours are no Spark ML estimator: choose with train_until")
     points = [training.checked_params(algorithm, p) for p in candidates(grid or DEFAULT_GRIDS[algorithm])]
+    if algorithm == "KNeighborsClassifier":
+        scores = _neighbour_scores(df, target, features, points, folds, fold)
+        return points[max(range(len(points)), key=lambda i: scores[i])], _score_table(df, points, scores)
     rows = _labelled(_typed(df, features), target, kind)
     text_target = kind == "classification" and _is_text(df, target)
-    rows = spread(rows.select(*[quoted(c) for c in ([*features, target] if text_target else [*features, "_label"])]))
-    # a row's fold follows from its values, so equal rows are never on both sides
-    rows = rows.withColumn("_fold", F.pmod(F.xxhash64(*[quoted(c) for c in rows.columns]), F.lit(folds)).cast("int"))
+    kept = [*features, target] if text_target else [*features, "_label"]
+    rows = _folded(spread(rows.select(*[quoted(c) for c in kept], *([quoted(fold)] if fold else []))), kept, folds, fold)
     stages = preparation(df, features, algorithm)
     if text_target:
         stages = [StringIndexer(inputCol=target, outputCol="_label", stringOrderType="alphabetAsc"), *stages]
@@ -306,12 +347,8 @@ def tune(
         ).fit(prepared)
     finally:
         prepared.unpersist()
-    table = df.sparkSession.createDataFrame(
-        [(i, str(p), float(s)) for i, (p, s) in enumerate(zip(points, found.avgMetrics))],
-        "candidate int, params string, score double",
-    )
     best = max(range(len(points)), key=lambda i: found.avgMetrics[i])
-    return points[best], table
+    return points[best], _score_table(df, points, found.avgMetrics)
 
 
 def train_until(

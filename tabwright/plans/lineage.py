@@ -41,6 +41,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write a table into the shared folder and read it back: lineage ends, and later passes read only what they need."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """Lay rows out by a hash of their columns, for learners that pass over them many times.
 

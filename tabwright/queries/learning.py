@@ -108,6 +108,48 @@ def knn_classify(t):
     return nb.vote(near)
 
 
+@query("ml_knn_projection_recall", "SELECT count(*) AS queries, true AS nine_in_ten FROM embeddings")
+def knn_projection_recall(t):
+    """The approximate mode finds at least nine in ten of the exact neighbours."""
+    sides = (t.embeddings, t.embeddings, 5, "embedding", "vec_id", "vec_id", "label", True)
+    exact = nb.nearest(*sides).select("query_id", "neighbour_id")
+    found = nb.nearest_by_projection(*sides).select("query_id", "neighbour_id", F.lit(1).alias("hit"))
+    return exact.join(found, ["query_id", "neighbour_id"], "left").agg(
+        F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("nine_in_ten")
+    )
+
+
+_KNN_FIELDS = [f"e{i}" for i in range(6)]
+
+
+@query("ml_tune_knn", f"""
+WITH v AS (
+  SELECT vec_id, vec_id % 3 AS fold, label, {", ".join(f"embedding[{i + 1}]::DOUBLE AS {c}" for i, c in enumerate(_KNN_FIELDS))}
+  FROM embeddings),
+s AS (
+  SELECT f.fold, {", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in _KNN_FIELDS)}
+  FROM (VALUES (0), (1), (2)) f(fold) JOIN v ON v.fold <> f.fold GROUP BY f.fold),
+near AS (
+  SELECT q.fold, q.vec_id, q.label AS truth, b.label,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY {" + ".join(f"((q.{c} - b.{c}) / s_{c}) ** 2" for c in _KNN_FIELDS)}) AS rank
+  FROM v q JOIN s USING (fold) JOIN v b ON q.fold <> b.fold),
+votes AS (
+  SELECT k, fold, vec_id, truth, CAST(label AS VARCHAR) AS label, count(*) AS n
+  FROM near, (VALUES (1), (5), (9)) p(k) WHERE rank <= k GROUP BY ALL),
+said AS (SELECT k, fold, vec_id, CAST(truth AS VARCHAR) AS truth, arg_min(label, (-n, label)) AS label FROM votes GROUP BY ALL),
+classes AS (
+  SELECT k, fold, class, sum(hit) AS hit, sum(actual) AS actual, sum(predicted) AS predicted FROM (
+    SELECT k, fold, truth AS class, (truth = label)::INT AS hit, 1 AS actual, 0 AS predicted FROM said
+    UNION ALL SELECT k, fold, label, 0, 0, 1 FROM said) GROUP BY ALL),
+f1 AS (SELECT k, fold, sum(2.0::DOUBLE * hit / (actual + predicted) * actual) / sum(actual) AS f1 FROM classes GROUP BY ALL)
+SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INT) AS candidate, round(avg(f1), 6) AS score FROM f1 GROUP BY k""")
+def tune_knn(t):
+    fields = [F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(_KNN_FIELDS)]
+    rows = t.embeddings.select(*fields, "label", (F.col("vec_id") % 3).alias("fold"))
+    _, scores = le.tune(rows, "label", "KNeighborsClassifier", _KNN_FIELDS, {"n_neighbors": [1, 5, 9]}, fold="fold")
+    return fx.rounded(scores.select("candidate", "score"), ["score"], 6)
+
+
 def _classifier(name, algorithm, params, target="target"):
     @query(name)
     def run(t):

@@ -40,6 +40,46 @@ def test_nearest_is_exact(spark, exclude_self, pivots, block):
         assert got.loc[got["query_id"] == q, "neighbour_id"].tolist() == best.tolist()
 
 
+def clustered(spark, n=3000, clusters=24, seed=8):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, 8)) * 10
+    points = centres[np.arange(n) % clusters] + rng.normal(size=(n, 8))
+    frame = pd.DataFrame({"id": np.arange(n), "label": np.arange(n) % clusters, "features": list(points)})
+    return points, spark.createDataFrame(frame).repartition(4)
+
+
+def test_clustered_queries_visit_few_cells(spark):
+    points, df = clustered(spark)
+    visits = []
+    got = nb.nearest(df, df, 5, exclude_self=True, pivots=48, count_visits=lambda v: visits.append(v.count()))
+    assert visits[0] <= 3000 * 48 / 3 - 3000, "with the own cell at most a third of all cells"
+    near = got.toPandas().sort_values(["query_id", "rank"])["neighbour_id"].to_numpy().reshape(-1, 5)
+    d = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    assert (near == np.argsort(d, axis=1, kind="stable")[:, :5]).all()
+
+
+def test_balls_hold_their_rows_and_are_skipped():
+    rng = np.random.default_rng(2)
+    points = np.concatenate([rng.normal(size=(900, 3)) + 20 * i for i in range(3)] + [np.zeros((300, 3))])
+    balls, centres, radii = nb.ball_tree(points, 64)
+    assert sorted(np.concatenate(balls)) == list(range(len(points))) and max(map(len, balls)) <= 64
+    assert all((np.sqrt(((points[b] - c) ** 2).sum(1)) <= r + 1e-9).all() for b, c, r in zip(balls, centres, radii))
+    asked, ids = points[::37], np.arange(len(points))[::-1].copy()
+    query, row, far = nb.block_neighbours(points, ids, asked, None, np.full(len(asked), np.inf), 4)
+    d = np.sqrt(((asked[:, None, :] - points[None, :, :]) ** 2).sum(-1))
+    for q in range(len(asked)):
+        assert sorted(zip(far[query == q], ids[row[query == q]])) == sorted(zip(d[q], ids))[:4]
+
+
+def test_projection_buckets_find_most_neighbours(spark):
+    _, df = clustered(spark)
+    exact = nb.nearest(df, df, 5, exclude_self=True).select("query_id", "neighbour_id")
+    found = nb.nearest_by_projection(df, df, 5, exclude_self=True).select("query_id", "neighbour_id")
+    assert found.groupBy("query_id").count().filter("count > 5").isEmpty() and found.distinct().count() == found.count()
+    assert found.intersect(exact).count() >= 0.9 * exact.count()
+
+
 def test_vote_by_distance(spark):
     near = spark.createDataFrame(
         [(1, 0, 0.5), (1, 1, 1.0), (1, 1, 1.0), (2, 0, 0.0), (2, 1, 0.1), (2, 1, 0.1)],
@@ -152,6 +192,8 @@ def test_tune_and_train_until(table):
     _, df = table
     best, scores = le.tune(df, "colour", "DecisionTreeClassifier", ["a", "b"], {"max_depth": [1, 4]}, folds=2)
     assert best["max_depth"] == 4 and scores.count() == 2
+    near, scores = le.tune(df, "colour", "KNeighborsClassifier", ["a", "b"], {"n_neighbors": [1, 7], "weights": ["uniform", "distance"]}, folds=2)
+    assert scores.count() == 4 and scores.agg({"score": "min"}).first()[0] > 0.8 and near["n_neighbors"] in (1, 7)
     trained, history = le.train_until(df, "colour", "DecisionTreeClassifier", ["id"], ["a"], {"max_depth": [1, 4, 5]})
     assert history.count() == 2 and trained.params["max_depth"] == 4
 
