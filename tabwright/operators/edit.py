@@ -50,25 +50,40 @@ def add_formula(df: DataFrame, name: str, text: str) -> DataFrame:
     return df.withColumn(name, fx.formula(text, df.columns))
 
 
-def add_values(df: DataFrame, name: str, values: Sequence[Any], order_by: Sequence[str]) -> DataFrame:
-    """Append a list given by the caller, one value per row in ``order_by`` order."""
-    require_absent(df, name)
-    placed = with_position(df, order_by, "_row")
-    rows = placed.count()
-    if rows != len(values):
-        raise ValueError(f"{len(values)} values for {rows} rows")
-    table = df.sparkSession.createDataFrame(list(enumerate(values)), ["_row", name])
-    return placed.join(table, "_row").drop("_row")
-
+def add_values(
+    df: DataFrame, name: str, values: DataFrame | Sequence[Any], order_by: Sequence[str], values_order: Sequence[str] = ()
+) -> DataFrame:
+    """Append one value per row: the first of ``values`` to the first row in ``order_by`` order, and so on.
 
-def add_column(df: DataFrame, name: str, values: Any, order_by: Sequence[str] = ()) -> DataFrame:
+    A table of values, ordered by its own ``values_order`` with the value in its column ``name`` or else its last column, is
+    joined by position and never leaves Spark; a list is what the caller holds on the driver anyway.
+    """
+    require_absent(df, name)
+    if not isinstance(values, DataFrame):
+        values = df.sparkSession.createDataFrame(list(enumerate(values)), ["_at", name])
+        values_order = ["_at"]
+    if not values_order:
+        raise ValueError("a table of values needs the order to follow")
+    held = name if name in values.columns else values.columns[-1]
+    places = {f"_by{i}": quoted(c) for i, c in enumerate(values_order)}
+    listed = values.select(*[column.alias(at) for at, column in places.items()], quoted(held).alias(name))
+    placed, numbered = with_position(df, order_by, "_row"), with_position(listed, list(places), "_row").select("_row", name)
+    rows, given = placed.count(), numbered.count()
+    if rows != given:
+        raise ValueError(f"{given} values for {rows} rows")
+    return placed.join(numbered, "_row").drop("_row")
+
+
+def add_column(
+    df: DataFrame, name: str, values: Any, order_by: Sequence[str] = (), values_order: Sequence[str] = ()
+) -> DataFrame:
     if isinstance(values, str):
         return add_formula(df, name, values)
-    if isinstance(values, (list, tuple)):
+    if isinstance(values, (list, tuple, DataFrame)):
         if not order_by:
             raise ValueError("a list of values needs the row order to follow")
-        return add_values(df, name, values, order_by)
-    raise TypeError(f"values must be a formula or a list, not {type(values).__name__}")
+        return add_values(df, name, values, order_by, values_order)
+    raise TypeError(f"values must be a formula, a list or a table, not {type(values).__name__}")
 
 
 def _present(df: DataFrame, columns: Sequence[str]) -> list[Column]:

@@ -47,12 +47,13 @@ def add_formula(t):
 
 
 @query("edit_add_values", """
-SELECT s_suppkey, s_name, s_nationkey, s_acctbal,
-       CAST(3 * (row_number() OVER (ORDER BY s_suppkey) - 1) + 1 AS BIGINT) AS score
-FROM supplier""")
+WITH s AS (SELECT *, row_number() OVER (ORDER BY s_suppkey) AS r FROM supplier),
+v AS (SELECT s_acctbal AS score, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS r FROM supplier)
+SELECT s_suppkey, s_name, s_nationkey, s_acctbal, score FROM s JOIN v USING (r)""")
 def add_values(t):
-    values = [3 * i + 1 for i in range(t.supplier.count())]
-    return edit.add_column(t.supplier, "score", values, order_by=["s_suppkey"])
+    """The balances in falling order, set beside the suppliers in the order of their keys."""
+    down = t.supplier.select((-F.col("s_acctbal")).alias("down"), F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("score"))
+    return edit.add_column(t.supplier, "score", down, order_by=["s_suppkey"], values_order=["down", "key"])
 
 
 def _merge(name, sql_expression, columns, operation):

@@ -32,6 +32,18 @@ def json_lines(t):
     return readers.read_any(t.spark, path)
 
 
+@query("src_json_mixed", "SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS c_acctbal FROM customer")
+def json_mixed(t):
+    """One folder with files of lines and files of one pretty-printed document each."""
+    path = scratch_path(t.spark, "mixed") + ".json"
+    odd, even = (t.customer.filter(F.col("c_custkey") % 2 == rest) for rest in (1, 0))
+    odd.select("c_custkey", "c_name").write.json(path)
+    rows = F.collect_list(F.struct("c_custkey", "c_name", "c_acctbal"))
+    documents = even.groupBy("c_nationkey").agg(F.to_json(rows, {"pretty": "true"}).alias("value"))
+    documents.select("value").write.mode("append").option("maxRecordsPerFile", 1).text(path)
+    return readers.read_any(t.spark, path)
+
+
 @query("src_json_roundtrip", "SELECT c_acctbal, c_custkey, c_mktsegment, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey FROM customer")
 def json_roundtrip(t):
     path = scratch_path(t.spark, "json")
@@ -114,6 +126,16 @@ def event_log(t):
     return readers.read_parquet(t.spark, path)
 
 
+@query("stream_event_dedup", "SELECT * FROM events")
+def event_dedup(t):
+    """Every tenth event is sent twice."""
+    again = t.events.filter(F.col("event_id") % 10 == 0)
+    path = scratch_path(t.spark, "log")
+    once = log.without_resent(_stream(t, t.events.unionByName(again)), ["event_id"], "ts", "1000 days")
+    log.finish(log.append_events(once, path, scratch_path(t.spark, "checkpoint")))
+    return readers.read_parquet(t.spark, path)
+
+
 @query("stream_feature_stats", f"""
 WITH {fx.EVENTS_SQL},
 long AS (SELECT project, 'value' AS feature, value AS v FROM ev UNION ALL SELECT project, 'k', k FROM ev)
@@ -122,8 +144,8 @@ FROM long WHERE v IS NOT NULL GROUP BY project, feature""")
 def feature_stats(t):
     path = scratch_path(t.spark, "stats")
     stats = live.stream_feature_stats(_stream(t, events(t)))
-    log.finish(log.keep_batches(stats, path, scratch_path(t.spark, "checkpoint")))
-    return fx.rounded(live.latest_stats(t.spark.read.parquet(path)), ["mean", "std"])
+    log.finish(log.keep_batches(stats, path, scratch_path(t.spark, "checkpoint"), merge=live.merged_batches, merge_every=2))
+    return fx.rounded(live.latest_stats(log.read_batches(t.spark, path)), ["mean", "std"])
 
 
 @query("stream_monitor", f"""
@@ -154,6 +176,6 @@ def stream_monitor_accuracy(t):
 def _monitored(t, table):
     path = scratch_path(t.spark, "monitor")
     snapshots = live.monitor_stream(_stream(t, table), shards=4)
-    log.finish(log.keep_batches(snapshots, path, scratch_path(t.spark, "checkpoint")))
-    newest = live.latest_snapshots(t.spark.read.parquet(path))
+    log.finish(log.keep_batches(snapshots, path, scratch_path(t.spark, "checkpoint"), merge=live.merged_snapshots, merge_every=2))
+    newest = live.latest_snapshots(log.read_batches(t.spark, path))
     return live.monitor_view(newest, base_stats(t), mo.LAST_EVENTS)

@@ -47,6 +47,13 @@ def latest_stats(batches: DataFrame) -> DataFrame:
     )
 
 
+def merged_batches(batches: DataFrame) -> DataFrame:
+    """Of many batches of statistics the newest row per project and feature."""
+    fields = [c for c in batches.columns if c not in ("project", "feature")]
+    newest = batches.groupBy("project", "feature").agg(F.max_by(F.struct(*fields), "batch").alias("s"))
+    return newest.select("project", "feature", "s.*").select(*batches.columns)
+
+
 def monitor_stream(events: DataFrame, last: int = mo.LAST_EVENTS, shards: int = SHARDS) -> DataFrame:
     """Snapshots of every (project, shard) that changed in a batch; output mode ``update``.
 
@@ -193,6 +200,18 @@ def latest_snapshots(batches: DataFrame) -> DataFrame:
     return newest.unionByName(moved)
 
 
+def merged_snapshots(batches: DataFrame) -> DataFrame:
+    """Of many batches of snapshots those rows that ``latest_snapshots`` reads: per project and shard the newest, and of
+    the older ones since the last reset the events they moved out of the state, nothing else.
+    """
+    home = ["project", "shard"]
+    newest = batches.groupBy(*home).agg(F.max("batch").alias("_last"), F.max_by("epoch", "batch").alias("_epoch"))
+    marked = batches.join(newest, home).withColumn("_now", F.col("batch") == F.col("_last"))
+    still = marked.filter(F.col("_now") | ((F.col("epoch") == F.col("_epoch")) & (F.size("moved_ts") > 0)))
+    kept = (*home, "batch", "epoch", "moved_ts", "moved_ids")
+    return still.select(*[F.col(c) if c in kept else F.when(F.col("_now"), F.col(c)).alias(c) for c in batches.columns])
+
+
 def merged_stats(snapshots: DataFrame) -> DataFrame:
     """Feature statistics per project over all shards."""
     parts = snapshots.select(

@@ -62,6 +62,17 @@ def test_plain_filter_reaches_the_scan(spark, small):
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_totalprice:double>" in text
 
 
+def test_values_are_set_beside_rows_by_position(spark, table):
+    values = spark.createDataFrame([(30, "last"), (10, "first"), (20, None)], "at int, word string")
+    got = edit.add_column(table, "d", values, order_by=["a"], values_order=["at"])
+    assert rows(got.select("a", "d"), "a") == [(1, "first"), (2, None), (3, "last")]
+    assert rows(edit.add_column(table, "at", values.select("at"), ["a"], ["at"]).select("a", "at"), "a") == [(1, 10), (2, 20), (3, 30)]
+    with pytest.raises(ValueError, match="2 values for 3 rows"):
+        edit.add_column(table, "d", values.limit(2), order_by=["a"], values_order=["at"])
+    with pytest.raises(ValueError, match="order"):
+        edit.add_column(table, "d", values, order_by=["a"])
+
+
 def test_errors(table):
     with pytest.raises(ValueError, match="not found"):
         edit.drop_columns(table, ["zzz"])

@@ -143,6 +143,64 @@ def test_json_lines_keep_every_row(spark, tmp_path):
     assert readers.read_any(spark, str(tmp_path / "nested.json")).count() == 1
 
 
+def test_json_files_of_both_forms(spark, tmp_path):
+    folder = tmp_path / "two forms.json"
+    folder.mkdir()
+    (folder / "lines.json").write_text(json.dumps({"a": 1, "pad": "x" * 500}) + "\n")
+    (folder / "document.json").write_text("\n" + json.dumps({"a": 2, "b": {"c": 3}}, indent=2))
+    got = {r["a"]: r for r in readers.read_any(spark, str(folder)).collect()}
+    assert sorted(got) == [1, 2] and got[2]["b"]["c"] == 3 and got[1]["b"] is None and got[2]["pad"] is None
+    (folder / "more.json").write_text('{"a": "text", "b": {"c": 1}}\n{"a": null}\n')
+    mixed = readers.read_any(spark, str(folder))
+    assert sorted(r["a"] or "" for r in mixed.collect()) == ["", "1", "2", "text"]
+
+
+def test_events_sent_again_are_dropped(spark, events):
+    again = events.filter("event_id % 10 = 0")
+    arriving, path = scratch_path(spark, "arriving"), scratch_path(spark, "log")
+    for part in (events, again, again.limit(20)):
+        part.coalesce(1).write.mode("append").parquet(arriving)
+    once = log.without_resent(log.event_stream(spark, arriving, events.schema, 1), ["event_id"], "ts", "1 day")
+    log.finish(log.append_events(once, path, scratch_path(spark, "checkpoint")))
+    kept = spark.read.parquet(path)
+    assert kept.columns == events.columns and kept.count() == 900 and kept.select("event_id").distinct().count() == 900
+
+
+def test_batches_are_merged_and_survive_a_restart(spark, events):
+    arriving, path, mark = (scratch_path(spark, x) for x in ("arriving", "stats", "checkpoint"))
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        for start in (0, 25):
+            for i in range(start, start + 25):
+                events.filter(F.col("event_id") % 50 == i).coalesce(1).write.mode("append").parquet(arriving)
+            stats = live.stream_feature_stats(log.event_stream(spark, arriving, events.schema, 1))
+            log.finish(log.keep_batches(stats, path, mark, merge=live.merged_batches, merge_every=8))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert log._folders(spark, path, "merged") == [39, 47]
+    assert log._folders(spark, path, "batch") == list(range(40, 50)), "what two merged folders have replaced is gone"
+    (Path(path) / "merged=49").mkdir()  # a merge that never ended
+    got = {(r["project"], r["feature"]): (r["n"], r["mean"]) for r in live.latest_stats(log.read_batches(spark, path)).collect()}
+    expected = {(r["project"], r["feature"]): (r["n"], r["mean"]) for r in mo.feature_stats(events).collect()}
+    assert got.keys() == expected.keys()
+    assert all(got[k] == pytest.approx(expected[k]) for k in got)
+
+
+def test_merged_snapshots_answer_as_all_batches(spark):
+    schema = "project int, shard int, n long, ids array<long>, epoch long, moved_ts array<long>, moved_ids array<long>, batch long"
+    rows = [
+        (0, 0, 5, [1], 0, [7], [70], 0), (0, 0, 6, [2], 1, [8], [80], 1), (0, 0, 7, [3], 1, [], [], 2), (0, 0, 8, [4], 1, [9], [90], 3),
+        (0, 1, 2, [5], 0, [], [], 0), (1, 0, 1, [6], 0, None, None, 2),
+    ]
+    batches = spark.createDataFrame(rows, schema)
+    merged = live.merged_snapshots(batches)
+    assert merged.columns == batches.columns and merged.count() == 4
+    kept = {(r["project"], r["shard"], r["batch"]): (r["n"], r["moved_ids"]) for r in merged.collect()}
+    assert kept == {(0, 0, 1): (None, [80]), (0, 0, 3): (8, [90]), (0, 1, 0): (2, []), (1, 0, 2): (1, None)}
+    again = live.merged_snapshots(merged)
+    assert again.exceptAll(merged).isEmpty() and merged.exceptAll(again).isEmpty()
+
+
 def test_storage_totals(spark, small):
     on_disk = {p.name: p.stat().st_size for p in Path(small).glob("*.parquet")}
     stats = inventory.storage_stats(spark, {"events": f"{small}/events.parquet", "tables": small}).collect()
