@@ -17,8 +17,8 @@ shingle is a bucket, and every bucket with two sets gets a tree.
   classes, not copies, are joined.
 * First every class is verified against the first few classes of each of its buckets; that ties groups of near copies
   together without their pairs.  Then only classes that are not tied yet are
-  joined through the trees.  Crowded buckets are cut into blocks, and pairs of blocks
-  are spread over tasks, so no bucket meets in one task.
+  joined through the trees, in rounds that verify a spanning forest of the candidates at a time, so that a group costs
+  links in proportion to its classes.  Crowded buckets are cut into blocks, and pairs of blocks are spread over tasks.
 * Sets are fetched only for classes with a candidate, chosen by a bitmap of fixed size.
 
 Words are split at ASCII white space after lower-casing A-Z; with fewer than five words the whole
@@ -28,7 +28,7 @@ with one id count as one document; rows with a null id are documents without lin
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,7 @@ HEADS = 3
 SAMPLE_OF, LEAST_FREQUENT, MOST_FREQUENT = 16, 3, 1 << 17
 BITS = 1 << 25
 BLOCK, LEAF, SMALL_RUN = 512, 16, 48
+MOST_FORESTS = 64
 
 
 # ---- sets ----------------------------------------------------------------------------------------
@@ -303,10 +304,12 @@ def run_pairs(rows: np.ndarray, side: np.ndarray, sizes: np.ndarray, points: Poi
 
 
 def bucket_pairs(run: np.ndarray, side: np.ndarray, cls: np.ndarray, label: np.ndarray, sizes: np.ndarray, points: Points):
-    """Candidate pairs of classes inside runs of equal ``run``: across sides where a run has two, of different labels."""
-    pairs: set[tuple[int, int]] = set()
+    """Candidate pairs inside runs of equal ``run``: across sides where a run has two, of different labels.
+
+    Classes and labels of the pairs as rows ``a, b, label of a, label of b``, sorted, each pair once.
+    """
     if not len(run):
-        return pairs
+        return np.zeros((4, 0), np.int64)
     starts = np.concatenate([[0], np.flatnonzero(run[1:] != run[:-1]) + 1, [len(run)]])
     lengths = np.diff(starts)
     found = []
@@ -317,15 +320,52 @@ def bucket_pairs(run: np.ndarray, side: np.ndarray, cls: np.ndarray, label: np.n
     for k in np.flatnonzero(lengths > SMALL_RUN):
         found += list(run_pairs(np.arange(starts[k], starts[k + 1]), side, sizes, points))
     two_sided = np.repeat(np.minimum.reduceat(side, starts[:-1]) != np.maximum.reduceat(side, starts[:-1]), lengths)
+    pairs = [np.zeros((4, 0), np.int64)]
     for i, j in found:
         keep = (label[i] != label[j]) & (cls[i] != cls[j]) & ((side[i] != side[j]) | ~two_sided[i])
         keep &= 4 * np.minimum(sizes[i], sizes[j]) >= 3 * np.maximum(sizes[i], sizes[j])
-        a, b = np.minimum(cls[i[keep]], cls[j[keep]]), np.maximum(cls[i[keep]], cls[j[keep]])
+        i, j = i[keep], j[keep]
+        i, j = np.where(cls[i] < cls[j], i, j), np.where(cls[i] < cls[j], j, i)
         # a pair meets in many buckets: bound it once
-        unique, first = np.unique(np.stack([a, b]), axis=1, return_index=True)
-        ok = bounded(points, sizes, i[keep][first], j[keep][first])
-        pairs.update(zip(unique[0][ok].tolist(), unique[1][ok].tolist(), strict=True))
-    return pairs
+        _, first = np.unique(np.stack([cls[i], cls[j]]), axis=1, return_index=True)
+        i, j = i[first], j[first]
+        ok = bounded(points, sizes, i, j)
+        pairs.append(np.stack([cls[i[ok]], cls[j[ok]], label[i[ok]], label[j[ok]]]))
+    return np.unique(np.concatenate(pairs, axis=1), axis=1)
+
+
+def spanning(left: np.ndarray, right: np.ndarray, forests: int) -> np.ndarray:
+    """Which of the pairs ``forests`` spanning forests need, one after the other; at most nodes - 1 pairs each.
+
+    In each round of a forest every tree takes its first pair that leaves it.  Beyond ``MOST_FORESTS`` all pairs count.
+    """
+    if forests > MOST_FORESTS:
+        return np.ones(len(left), bool)
+    kept = np.zeros(len(left), bool)
+    nodes, ends = np.unique(np.concatenate([left, right]), return_inverse=True)
+    a, b = ends[: len(left)], ends[len(left) :]
+    for _ in range(forests):
+        root = np.arange(len(nodes))
+        rest = np.flatnonzero(~kept)
+        while len(rest):
+            rest = rest[root[a[rest]] != root[b[rest]]]
+            if not len(rest):
+                break
+            trees = np.concatenate([root[a[rest]], root[b[rest]]])
+            _, first = np.unique(trees, return_index=True)
+            taken = np.unique(rest[first % len(rest)])
+            for k in taken:  # pointers go to the smaller root, so that no ring can close
+                x, y = a[k], b[k]
+                while root[x] != x:
+                    x = root[x]
+                while root[y] != y:
+                    y = root[y]
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    kept[k] = True
+            while (root != root[root]).any():
+                root = root[root]
+    return kept
 
 
 def _bounded_pairs(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -354,26 +394,30 @@ def _fine_points(sets: DataFrame) -> DataFrame:
     return sets.select("id", "members").mapInArrow(work, "cls long, point binary")
 
 
-def _loose_pairs(shared: DataFrame, labels: DataFrame, points: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Candidates among classes of one bucket that carry different labels, its heads apart.
-
-    Small buckets are a leaf each and use the coarse points.  Crowded ones are cut into blocks, whose pairs are
-    joined by trees over fine points, made from the sets that ``fetch`` returns for their classes.
-    """
+def _open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold two labels or more, the heads apart, with the number of blocks of their bucket."""
     labelled = shared.filter(F.col("place") >= HEADS).select("key", "cls", "n").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     labelled = stored(labelled, "labelled")
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"))
     open_keys = open_keys.filter("lo <> hi").select("key", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = labelled.join(open_keys, "key")
-    crowded = stored(rows.filter(F.col("m") > SMALL_RUN), "crowded")
+    return labelled.join(stored(open_keys, "open"), "key")
+
+
+def _loose_pairs(rows: DataFrame, points: DataFrame, fine: DataFrame | None, across: bool, forests: int) -> DataFrame:
+    """Candidates among classes of one bucket that carry different labels: ``a, b``.
+
+    Small buckets are a leaf each and use the coarse points.  Crowded ones are cut into blocks, joined by trees over the
+    ``fine`` points, each block with itself or, ``across``, all pairs of blocks.  Of the candidates of a task only those
+    that some spanning forests over their labels need come out; a row without ``a`` tells how many did not.
+    """
     dealt = rows.filter(F.col("m") <= SMALL_RUN).join(points, ["cls", "n"]).select(
         "key", F.lit(0).alias("b1"), F.lit(0).alias("b2"), F.lit(0).alias("side"), "cls", "label", "n", "point"
     )
-    if not crowded.isEmpty():
-        fine = _fine_points(fetch(crowded.select(F.col("cls").alias("id")).distinct()))
+    if fine is not None:
         block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        pairs = crowded.join(fine, "cls").withColumn("block", block).withColumn("other", other)
+        pairs = rows.filter(F.col("m") > SMALL_RUN).join(fine, "cls").withColumn("block", block)
+        others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if across else F.col("block")
+        pairs = pairs.withColumn("other", others)
         dealt = dealt.unionByName(pairs.select(
             "key", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"),
             F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "cls", "label", "n", "point",
@@ -382,9 +426,10 @@ def _loose_pairs(shared: DataFrame, labels: DataFrame, points: DataFrame, fetch:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        done: set[tuple[int, int]] = set()
+        found = [np.zeros((4, 0), np.int64)]
+        skipped = 0
 
-        def flush(table: pa.Table):
+        def pairs_of(table: pa.Table) -> np.ndarray:
             key, b1, b2, side, cls, label, n = (
                 table.column(c).to_numpy() for c in ("key", "b1", "b2", "side", "cls", "label", "n")
             )
@@ -393,11 +438,13 @@ def _loose_pairs(shared: DataFrame, labels: DataFrame, points: DataFrame, fetch:
             points = Points(table.column("point").to_pylist())
             return bucket_pairs(np.cumsum(change), side, cls, label, n.astype(np.int64), points)
 
-        def out(pairs: set) -> pa.RecordBatch:
-            pairs = sorted(pairs)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"]
-            )
+        def needed() -> np.ndarray:
+            """Of what the task has found so far."""
+            nonlocal skipped
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+            kept = spanning(pairs[2], pairs[3], forests)
+            skipped += int((~kept).sum())
+            return pairs[:, kept]
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -405,18 +452,18 @@ def _loose_pairs(shared: DataFrame, labels: DataFrame, points: DataFrame, fetch:
             key, b1, b2 = (table.column(c).to_numpy() for c in order)
             last = np.flatnonzero((key == key[-1]) & (b1 == b1[-1]) & (b2 == b2[-1]))[0]
             if last:
-                done |= flush(table.slice(0, last))
-                if len(done) > 200_000:  # a pair may show in several buckets; the rest is made distinct later
-                    yield out(done)
-                    done = set()
+                found.append(pairs_of(table.slice(0, last)))
+                found = [needed()]
             held = table.slice(last)
         if held is not None:
-            done |= flush(held)
-        yield out(done)
+            found.append(pairs_of(held))
+        pairs = needed()
+        columns = [pa.array([*pairs[0].tolist(), None], pa.int64()), pa.array([*pairs[1].tolist(), skipped], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
-    tasks = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = dealt.repartition(tasks, *order).sortWithinPartitions(*order)
-    return ordered.mapInArrow(work, "a long, b long").distinct()
+    return ordered.mapInArrow(work, "a long, b long")
 
 
 # ---- verification --------------------------------------------------------------------------------
@@ -478,18 +525,40 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) ->
 
 
 def class_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """All ties between classes that components need: ``a``, ``b``."""
+    """Ties between classes that leave the components of all links: ``a``, ``b``.
+
+    After the heads come rounds.  The first looks inside the blocks of the buckets, the later ones across blocks
+    too.  A round verifies what spanning forests of its candidates need, one forest at first, and twice as many each time
+    candidates were left out; classes that a link has joined carry one label from then on, and buckets with one label are
+    done.  A round that left nothing out has verified all that was open.
+    """
     keys = classes.select(F.explode("prefix").alias("key"), F.col("id").alias("cls"), "n")
     shared = stored(_shared_buckets(keys), "buckets")
     heads = F.explode(F.arrays_zip("heads", "head_sizes"))
     met = shared.select("cls", "n", heads.alias("h")).filter("h.heads <> cls AND 4 * least(n, h.head_sizes) >= 3 * greatest(n, h.head_sizes)")
     tested = stored(met.select(F.col("h.heads").alias("a"), F.col("cls").alias("b")).distinct(), "tested")
     points = classes.select(F.col("id").alias("cls"), "n", "point")
-    first = _verified(docs, stored(_bounded_pairs(tested, points), "likely"), id_col, text_col)
-    labels = components(first).select(F.col("node").alias("cls"), F.col("component").alias("label"))
-    loose = _loose_pairs(shared, stored(labels, "labels"), points, lambda ids: _fetch_sets(docs, ids, id_col, text_col)).join(tested, ["a", "b"], "left_anti")
-    second = _verified(docs, stored(loose, "loose"), id_col, text_col)
-    return first.unionByName(second)
+    links = _verified(docs, stored(_bounded_pairs(tested, points), "likely"), id_col, text_col)
+    fine, across, forests = None, False, 1
+    while True:
+        labels = components(links).select(F.col("node").alias("cls"), F.col("component").alias("label"))
+        rows = stored(_open_rows(shared, stored(labels, "labels")), "rows")
+        if fine is None:
+            crowded = rows.filter(F.col("m") > SMALL_RUN).select(F.col("cls").alias("id")).distinct()
+            if not crowded.isEmpty():  # later rounds ask for some of these only
+                fine = stored(_fine_points(_fetch_sets(docs, crowded, id_col, text_col)), "fine")
+        across = across or fine is None
+        found = stored(_loose_pairs(rows, points, fine, across, forests), "loose")
+        skipped = found.filter(F.col("a").isNull()).agg(F.sum("b")).first()[0] or 0
+        fresh = found.filter(F.col("a").isNotNull()).distinct().join(tested, ["a", "b"], "left_anti")
+        fresh = stored(fresh, "fresh")
+        if not fresh.isEmpty():
+            links = links.unionByName(_verified(docs, fresh, id_col, text_col))
+            tested = tested.unionByName(fresh)
+        if across and not skipped:
+            return links
+        forests = forests * 2 if across else 1
+        across = True
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

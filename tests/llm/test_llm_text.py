@@ -228,3 +228,57 @@ def test_join_of_awkward_rows(spark, odd):
     assert set(ids) == {c for _, c in right.values()} | {None}
     assert ngram_join.ngram_components(odd.limit(0)).count() == 0
     assert ngram_join.drop_near_duplicates(odd.limit(0)).count() == 0
+
+
+def family(n, seed=5):
+    """Near copies of one text with one word changed each: they link to some of each other only."""
+    rng = random.Random(seed)
+    base = [f"word{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        text = list(base)
+        text[rng.randrange(60)] = f"other{i}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def test_a_family_costs_pairs_in_proportion(spark, monkeypatch):
+    per_row = []
+    for n in (300, 1200):
+        counts, write = {}, ngram_join.stored
+
+        def counted(df, label, counts=counts, write=write):
+            table = write(df, label)
+            if label in ("likely", "fresh", "verified"):
+                counts[label] = counts.get(label, 0) + table.count()
+            return table
+
+        monkeypatch.setattr(ngram_join, "stored", counted)
+        rows = family(n)
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        monkeypatch.setattr(ngram_join, "stored", write)
+        per_row.append((counts["likely"] + counts["fresh"]) / n)
+        assert counts["verified"] <= 12 * n
+        if n == 300:
+            assert got == {i: c for i, (_, c) in components(dict(rows)).items()}
+        else:
+            assert len(set(got.values())) == 1
+    assert max(per_row) <= 40 and per_row[1] <= 1.3 * per_row[0]
+
+
+def test_spanning_pairs_join_what_all_pairs_join():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 80, 4000), rng.integers(0, 80, 4000)
+    a, b = a[a != b], b[a != b]
+    for forests in (1, 2, 5):
+        kept = ngram_join.spanning(a, b, forests)
+        assert len(np.unique(np.concatenate([a, b]))) - 1 <= kept.sum() <= forests * 79
+        parent = list(range(80))
+        for x, y in zip(a[kept], b[kept]):
+            while parent[x] != x:
+                x = parent[x]
+            while parent[y] != y:
+                y = parent[y]
+            parent[x] = y
+        assert sum(parent[x] == x for x in np.unique(np.concatenate([a, b]))) == 1
+    assert ngram_join.spanning(a, b, ngram_join.MOST_FORESTS + 1).all()
