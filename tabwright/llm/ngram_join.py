@@ -17,8 +17,8 @@ shingle is a bucket, and every bucket with two sets gets a tree.
   classes, not copies, are joined.
 * First every class is verified against the first few classes of each of its buckets; that ties groups of near copies
   together without their pairs.  Then only classes that are not tied yet are
-  joined through the trees, in rounds that verify a spanning forest of the candidates at a time, so that a group costs
-  links in proportion to its classes.  Crowded buckets are cut into blocks, and pairs of blocks are spread over tasks.
+  joined through the trees, inside blocks first, where spanning forests of the candidates are verified, so that a group costs
+  links in proportion to its classes, then across blocks what carries different labels still.  Crowded buckets are cut into blocks, and pairs of blocks are spread over tasks.
 * Sets are fetched only for classes with a candidate, chosen by a bitmap of fixed size.
 
 Words are split at ASCII white space after lower-casing A-Z; with fewer than five words the whole
@@ -45,7 +45,7 @@ HEADS = 3
 SAMPLE_OF, LEAST_FREQUENT, MOST_FREQUENT = 16, 3, 1 << 17
 BITS = 1 << 25
 BLOCK, LEAF, SMALL_RUN = 512, 16, 48
-MOST_FORESTS = 64
+FORESTS = 4
 
 
 # ---- sets ----------------------------------------------------------------------------------------
@@ -337,10 +337,8 @@ def bucket_pairs(run: np.ndarray, side: np.ndarray, cls: np.ndarray, label: np.n
 def spanning(left: np.ndarray, right: np.ndarray, forests: int) -> np.ndarray:
     """Which of the pairs ``forests`` spanning forests need, one after the other; at most nodes - 1 pairs each.
 
-    In each round of a forest every tree takes its first pair that leaves it.  Beyond ``MOST_FORESTS`` all pairs count.
+    In each round of a forest every tree takes its first pair that leaves it.
     """
-    if forests > MOST_FORESTS:
-        return np.ones(len(left), bool)
     kept = np.zeros(len(left), bool)
     nodes, ends = np.unique(np.concatenate([left, right]), return_inverse=True)
     a, b = ends[: len(left)], ends[len(left) :]
@@ -403,12 +401,12 @@ def _open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(stored(open_keys, "open"), "key")
 
 
-def _loose_pairs(rows: DataFrame, points: DataFrame, fine: DataFrame | None, across: bool, forests: int) -> DataFrame:
+def _loose_pairs(rows: DataFrame, points: DataFrame, fine: DataFrame | None, across: bool, forests: int | None) -> DataFrame:
     """Candidates among classes of one bucket that carry different labels: ``a, b``.
 
     Small buckets are a leaf each and use the coarse points.  Crowded ones are cut into blocks, joined by trees over the
-    ``fine`` points, each block with itself or, ``across``, all pairs of blocks.  Of the candidates of a task only those
-    that some spanning forests over their labels need come out; a row without ``a`` tells how many did not.
+    ``fine`` points, each block with itself or, ``across``, all pairs of blocks.  With ``forests`` a task returns those of
+    its candidates that so many spanning forests over their labels need, without it all.
     """
     dealt = rows.filter(F.col("m") <= SMALL_RUN).join(points, ["cls", "n"]).select(
         "key", F.lit(0).alias("b1"), F.lit(0).alias("b2"), F.lit(0).alias("side"), "cls", "label", "n", "point"
@@ -426,8 +424,7 @@ def _loose_pairs(rows: DataFrame, points: DataFrame, fine: DataFrame | None, acr
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        found = [np.zeros((4, 0), np.int64)]
-        skipped = 0
+        found = np.zeros((4, 0), np.int64)
 
         def pairs_of(table: pa.Table) -> np.ndarray:
             key, b1, b2, side, cls, label, n = (
@@ -438,13 +435,13 @@ def _loose_pairs(rows: DataFrame, points: DataFrame, fine: DataFrame | None, acr
             points = Points(table.column("point").to_pylist())
             return bucket_pairs(np.cumsum(change), side, cls, label, n.astype(np.int64), points)
 
-        def needed() -> np.ndarray:
+        def needed(pairs: np.ndarray) -> np.ndarray:
             """Of what the task has found so far."""
-            nonlocal skipped
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-            kept = spanning(pairs[2], pairs[3], forests)
-            skipped += int((~kept).sum())
-            return pairs[:, kept]
+            pairs = np.unique(np.concatenate([found, pairs], axis=1), axis=1)
+            return pairs if forests is None else pairs[:, spanning(pairs[2], pairs[3], forests)]
+
+        def out(pairs: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -452,14 +449,14 @@ def _loose_pairs(rows: DataFrame, points: DataFrame, fine: DataFrame | None, acr
             key, b1, b2 = (table.column(c).to_numpy() for c in order)
             last = np.flatnonzero((key == key[-1]) & (b1 == b1[-1]) & (b2 == b2[-1]))[0]
             if last:
-                found.append(pairs_of(table.slice(0, last)))
-                found = [needed()]
+                found = needed(pairs_of(table.slice(0, last)))
+                if forests is None and found.shape[1] > 200_000:  # a pair may show in several buckets; the rest is made distinct later
+                    yield out(found)
+                    found = found[:, :0]
             held = table.slice(last)
         if held is not None:
-            found.append(pairs_of(held))
-        pairs = needed()
-        columns = [pa.array([*pairs[0].tolist(), None], pa.int64()), pa.array([*pairs[1].tolist(), skipped], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+            found = needed(pairs_of(held))
+        yield out(found)
 
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = dealt.repartition(tasks, *order).sortWithinPartitions(*order)
@@ -527,10 +524,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) ->
 def class_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Ties between classes that leave the components of all links: ``a``, ``b``.
 
-    After the heads come rounds.  The first looks inside the blocks of the buckets, the later ones across blocks
-    too.  A round verifies what spanning forests of its candidates need, one forest at first, and twice as many each time
-    candidates were left out; classes that a link has joined carry one label from then on, and buckets with one label are
-    done.  A round that left nothing out has verified all that was open.
+    After the heads come two rounds.  The first looks inside the blocks of the buckets and verifies what ``FORESTS``
+    spanning forests of its candidates need, so that a group of near copies is joined by links in proportion to its
+    classes.  Classes that are joined carry one label from then on, and buckets with one label are done.  The
+    second verifies all candidates that are left, across blocks too.
     """
     keys = classes.select(F.explode("prefix").alias("key"), F.col("id").alias("cls"), "n")
     shared = stored(_shared_buckets(keys), "buckets")
@@ -539,26 +536,19 @@ def class_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str)
     tested = stored(met.select(F.col("h.heads").alias("a"), F.col("cls").alias("b")).distinct(), "tested")
     points = classes.select(F.col("id").alias("cls"), "n", "point")
     links = _verified(docs, stored(_bounded_pairs(tested, points), "likely"), id_col, text_col)
-    fine, across, forests = None, False, 1
-    while True:
+    fine = None
+    for across in (False, True):
         labels = components(links).select(F.col("node").alias("cls"), F.col("component").alias("label"))
         rows = stored(_open_rows(shared, stored(labels, "labels")), "rows")
-        if fine is None:
+        if not across:
             crowded = rows.filter(F.col("m") > SMALL_RUN).select(F.col("cls").alias("id")).distinct()
-            if not crowded.isEmpty():  # later rounds ask for some of these only
+            if not crowded.isEmpty():  # the second round asks for some of these only
                 fine = stored(_fine_points(_fetch_sets(docs, crowded, id_col, text_col)), "fine")
-        across = across or fine is None
-        found = stored(_loose_pairs(rows, points, fine, across, forests), "loose")
-        skipped = found.filter(F.col("a").isNull()).agg(F.sum("b")).first()[0] or 0
-        fresh = found.filter(F.col("a").isNotNull()).distinct().join(tested, ["a", "b"], "left_anti")
-        fresh = stored(fresh, "fresh")
-        if not fresh.isEmpty():
-            links = links.unionByName(_verified(docs, fresh, id_col, text_col))
-            tested = tested.unionByName(fresh)
-        if across and not skipped:
-            return links
-        forests = forests * 2 if across else 1
-        across = True
+        found = _loose_pairs(rows, points, fine, across, None if across else FORESTS)
+        fresh = stored(found.distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
+        links = links.unionByName(_verified(docs, fresh, id_col, text_col))
+        tested = tested.unionByName(fresh)
+    return links
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
