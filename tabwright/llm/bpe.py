@@ -202,13 +202,19 @@ def default_path() -> str:
 
 
 def digests(encoded: DataFrame, keep_ids: bool = False) -> DataFrame:
-    """Replace the decoded text, and the ids unless they are kept, by number and digests."""
-    gone = ("decoded",) if keep_ids else ("token_ids", "decoded")
+    """Replace the decoded text, and the ids unless they are kept, by number and digests.
+
+    Ids and decoded text are the last two columns, as ``encode_documents`` appends them, whatever their names;
+    the new columns give way to names that are taken.
+    """
+    ids, decoded = encoded.columns[-2:]
+    kept = encoded.columns[: -1 if keep_ids else -2]
+    n_tokens, ids_sha256, decoded_sha256 = free_names(encoded.select(*[F.col(f"`{c}`") for c in kept]), "n_tokens", "ids_sha256", "decoded_sha256")
     return encoded.select(
-        *[c for c in encoded.columns if c not in gone],
-        F.size("token_ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("token_ids", ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        *[F.col(f"`{c}`") for c in kept],
+        F.size(f"`{ids}`").cast("long").alias(n_tokens),
+        F.sha2(F.array_join(F.col(f"`{ids}`"), ","), 256).alias(ids_sha256),
+        F.sha2(F.col(f"`{decoded}`"), 256).alias(decoded_sha256),
     )
 
 

@@ -8,7 +8,7 @@ from brute import LOWER, SCHEMA, awkward, components, words
 from conftest import SMALL
 
 import corpus_pipeline
-from tabwright.llm import toxicity
+from tabwright.llm import bpe, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -95,3 +95,14 @@ def test_awkward_and_no_rows(spark):
         for name, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.stored(stage(spark, docs, SMALL), f"test-{name}")
         assert docs.count() <= 2 * table.count()
+
+
+def test_digests_are_of_the_encoded_columns(spark):
+    """Columns of the user with the names of helper columns stay what they are."""
+    rows = [(1, "hello", [7], "hello world", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, decoded string, token_ids array<int>, text string, n_tokens int")
+    for keep in (True, False):
+        got = bpe.digests(bpe.encode_documents(docs, bpe.default_path()), keep_ids=keep).first().asDict()
+        assert (got["decoded"], got["token_ids"], got["n_tokens"]) == ("hello", [7], 9)
+        assert got["decoded_sha256"] == hashlib.sha256(b"hello world").hexdigest()
+        assert got["n_tokens_"] == 2 and ("token_ids_" in got) == keep
