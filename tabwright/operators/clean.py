@@ -168,8 +168,10 @@ def label_encode(df: DataFrame, column: str) -> DataFrame:
 
 
 def encode_categorical(df: DataFrame, columns: Sequence[str], method: str = "label") -> DataFrame:
-    if method not in ("onehot", "label"):
+    """``onehot`` makes a column per value, ``onehot_vector`` one sparse vector for any number of values."""
+    ways = {"label": label_encode, "onehot": onehot, "onehot_vector": onehot_vector}
+    if method not in ways:
         raise ValueError(f"unknown encoding {method!r}")
     for c in _existing(df, columns):
-        df = onehot(df, c) if method == "onehot" else label_encode(df, c)
+        df = ways[method](df, c)
     return df

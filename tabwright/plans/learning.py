@@ -74,9 +74,12 @@ def preparation(df: DataFrame, features: Sequence[str], algorithm: str) -> list:
             )
         )
     parts = [(f"_flags_{c}" if one_hot else f"_code_{c}") if c in texts else f"_full_{c}" for c in features]
-    stages.append(VectorAssembler(inputCols=parts, outputCol="_raw" if scale else "_features"))
-    if scale:
-        stages.append(StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True))
+    if scale and numbers:
+        # only the numbers are centred and scaled: a vector of flags stays as sparse as it is, whatever the number of values
+        stages.append(VectorAssembler(inputCols=[f"_full_{c}" for c in numbers], outputCol="_raw"))
+        stages.append(StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True))
+        parts = ["_scaled", *[p for p in parts if p.startswith(("_flags_", "_code_"))]]
+    stages.append(VectorAssembler(inputCols=parts, outputCol="_features"))
     return stages
 
 

@@ -1,5 +1,6 @@
 """Cleaning queries."""
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabwright.operators import clean as cl
@@ -111,6 +112,23 @@ def onehot(t):
     return plan.clean(df, [{"type": "encodeCategorical", "columns": ["segment"], "method": "onehot"}])
 
 
+@query("clean_onehot_vector", """
+WITH gaps AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_brand END AS brand FROM part),
+codes AS (SELECT brand, row_number() OVER (ORDER BY brand) AS place FROM (SELECT DISTINCT brand FROM gaps WHERE brand IS NOT NULL))
+SELECT p_partkey, coalesce(place, 0) AS place, (SELECT count(*) FROM codes) AS width, (place IS NOT NULL)::BIGINT AS ones
+FROM gaps LEFT JOIN codes USING (brand)""")
+def onehot_vector(t):
+    df = t.part.select("p_partkey", F.when(F.col("p_partkey") % 5 != 0, F.col("p_brand")).alias("brand"))
+    coded = plan.clean(df, [{"type": "encodeCategorical", "columns": ["brand"], "method": "onehot_vector"}])
+    flags = coded.select("p_partkey", vector_to_array("brand").alias("flags"))
+    return flags.select(
+        "p_partkey",
+        F.array_position("flags", 1.0).alias("place"),
+        F.size("flags").cast("long").alias("width"),
+        F.size(F.filter("flags", lambda f: f == 1.0)).cast("long").alias("ones"),
+    )
+
+
 @query("clean_label_encode", """
 WITH gaps AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_brand END AS brand FROM part),
 codes AS (SELECT brand, row_number() OVER (ORDER BY brand) - 1 AS code

@@ -284,6 +284,18 @@ def many_categories(t):
     return le.predict(trained, rows.drop("odd"))
 
 
+@query("ml_linear_many_categories", """
+SELECT o_orderkey, 'c' || (o_orderkey % 1000) AS kind, CAST(o_orderkey % 1000 % 2 AS DOUBLE) AS prediction FROM orders""")
+def linear_many_categories(t):
+    """A linear model over a thousand sparse flags and a number that says nothing."""
+    code = F.col("o_orderkey") % 1000
+    rows = t.orders.select(
+        "o_orderkey", F.concat(F.lit("c"), code.cast("string")).alias("kind"), "o_totalprice", (code % 2).alias("odd")
+    )
+    trained = le.fit(rows, ["kind", "o_totalprice"], "odd", "LogisticRegression", {"C": 1000.0})
+    return le.predict(trained, rows.drop("odd")).drop("o_totalprice")
+
+
 @query("ml_many_classes", "SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, 'k' || c_custkey AS prediction FROM customer")
 def many_classes(t):
     """As many classes as rows."""

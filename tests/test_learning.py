@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
 from tabwright.operators import features as fe
@@ -172,6 +173,13 @@ def test_imputation_learns_from_training_rows_only(spark):
     assert [r["x"] for r in tr.impute_mean(train, test, ["x"]).collect()] == [2.0, 100.0]
 
 
+def test_flags_of_many_categories_stay_sparse(spark):
+    rows = spark.range(20_000).selectExpr("concat('v', id % 10000) AS kind", "CAST(id AS DOUBLE) AS x", "CAST(id % 2 AS DOUBLE) AS y")
+    stages = le.preparation(rows, ["kind", "x"], "LogisticRegression")
+    vector = le.Pipeline(stages=stages).fit(rows).transform(rows).select("_features").first()[0]
+    assert isinstance(vector, SparseVector) and vector.size >= 10_001 and len(vector.indices) <= 2
+
+
 def test_checked_params():
     checked = tr.checked_params(
         "RandomForestClassifier",
