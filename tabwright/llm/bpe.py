@@ -33,7 +33,7 @@ from tabwright.llm.registry import llm_query
 
 # fixed value: the pre-tokenizer's pattern of this vocabulary
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PIECES_KEPT, PAIRS_KEPT, LONGEST_KEPT = 150_000, 200_000, 64
+PIECES_KEPT, PAIRS_KEPT, LONGEST_KEPT = 300_000, 400_000, 64
 DECODE_IDS = 1 << 20
 NEVER = 1 << 60
 
