@@ -1,17 +1,24 @@
 """Text scoring with a log-bilinear model trained by noise-contrastive estimation.
 
 Words (A-Z lower-cased, split at ASCII white space) are 64-bit ids: a hash whose last five bits name the
-class of the word's ending.  Word counts cover every training text.  The model predicts the
-next of a few hundred classes - the commonest words, the 32 endings for all other words, the end of the text -
-from the four classes before it: their vectors, weighted by place, sum to a predicted
-vector whose product with a class's vector, plus its bias, is the class's score.  Training
-contrasts each true class with noise drawn by frequency; tasks train on their own texts and
-the parameters are averaged by Spark, round after round.  The rounds share out the training texts, so each
-text is trained on once.  Scoring multiplies blocks of predicted vectors with all class
+class of the word's ending.  Word counts cover every training text.  The model's vocabulary grows with the corpus:
+every word found ``LEAST`` times or more in training texts, the ``WORDS`` commonest at most; all other words are known
+by their ending.  The model predicts the next word from the four before it: their vectors, weighted by place, sum
+to a predicted vector whose product with a class's vector, plus its bias, is the class's score.  The softmax has two
+levels: first the commonest words, the endings, the end of the text and groups of words of like frequency and ending,
+then the words of the group.  Both are normalised and both depend on the context.  Training contrasts the true class
+of each level with noise drawn by frequency.
+
+Training texts are dealt by a hash of their id to rounds and, within a round, to shards of about ``SHARD_TOKENS``
+tokens, so each is trained on once and neither the number of tasks nor the layout of the table changes the model.
+A shard is trained in the order of the hash; after a round Spark averages the rows of the parameters that the shards
+touched, by how often they did.  Scoring multiplies blocks of predicted vectors with all class
 vectors and normalises, then adds the word's share of its ending class where the class is an ending.
 
 The counts of the commonest words travel to all tasks, bounded by ``HEAD``; all other
-words of a text are looked up by a join, so no count is dropped.  Null and empty texts are the end token alone.
+words of a text are looked up by a join, so no count is dropped.  Null and empty texts are the end token alone.  Rows
+without an id are dealt by text and place, repeated rows count as often as they occur, long texts are read in whole.
+The result has the named columns only, whatever else the table holds.
 """
 
 from __future__ import annotations
@@ -31,13 +38,14 @@ from tabwright.llm.labelled import fold
 from tabwright.llm.registry import llm_query
 
 HEAD = 1 << 17  # words whose counts every task gets
-WORDS, ENDINGS = 512, 32  # classes of the model: commonest words, endings
-CLASSES = WORDS + ENDINGS + 1
-END, START = CLASSES - 1, CLASSES
+WORDS, LEAST = 1 << 16, 5  # most words of the model, and how often each is found at least
+ENDINGS = 32  # classes of all other words
+SINGLE, TIERS = 64, (1024, 8192)  # ranks: words that are first-level classes, ends of the tiers that groups keep to
 PLACES, DIM = 4, 16
 ROUNDS = 3  # each training text serves one round
-BATCH, NOISE, RATE = 1024, 64, 0.1
-BLOCK = 1024
+SHARD_TOKENS = 1 << 20
+BATCH, NOISE, INNER_NOISE, RATE = 1024, 64, 5, 0.1
+BLOCK = 256
 SMOOTH = 0.1
 COUNTED_TOKENS = 2_000_000
 
@@ -81,6 +89,50 @@ def count_words(texts: DataFrame) -> DataFrame:
     return stored(each.groupBy("word").agg(F.sum("c").alias("c")), "words")
 
 
+@dataclass
+class Classes:
+    """The words of the model are 0 to ``words`` - 1, then come the endings, the end and, in contexts only, the start."""
+
+    frequency: np.ndarray  # of words, endings and the end
+    single: int  # the first words are first-level classes
+    bounds: np.ndarray  # the rest are runs, one for each group
+
+    def __post_init__(self):
+        self.words = int(self.bounds[-1])
+        self.end = self.words + ENDINGS
+        self.start = self.end + 1
+        sizes = np.diff(self.bounds)
+        groups = len(sizes)
+        self.first_classes = self.single + groups + ENDINGS + 1
+        self.group = np.repeat(np.arange(groups), sizes)  # of the words after the single ones
+        self.first = np.concatenate(
+            [np.arange(self.single), self.single + self.group, self.single + groups + np.arange(ENDINGS + 1)]
+        )
+        self.first_frequency = np.bincount(self.first, self.frequency, self.first_classes)
+        self.reached = np.cumsum(self.frequency[: self.words])
+        mass = self.first_frequency[self.single : self.single + groups]
+        self.share = self.frequency[self.single : self.words] / mass[self.group]  # of each word in its group
+
+
+def classes_of(ending: np.ndarray, c: np.ndarray, outside: np.ndarray, texts: int) -> tuple[np.ndarray, Classes]:
+    """Order of the given words, commonest first, by class, and the classes.
+
+    A tier of n words that hold a share p of all tokens is cut into groups of the root of n / p, which
+    keeps the expected work of both levels least.  Groups run through the words of a tier by ending, then by rank.
+    """
+    n, total = len(c), float(c.sum() + outside.sum() + texts)
+    single = min(SINGLE, n)
+    order, bounds = [np.arange(single)], [single]
+    edges = [single, *[t for t in TIERS if single < t < n], n]
+    for low, high in zip(edges, edges[1:], strict=False):
+        if high > low:
+            order.append(low + np.argsort(ending[low:high], kind="stable"))
+            size = int(np.ceil(np.sqrt((high - low) * total / c[low:high].sum())))
+            bounds += [*range(low + size, high, size), high]
+    order = np.concatenate(order)
+    return order, Classes(np.concatenate([c[order], outside, [texts]]).astype(float), single, np.array(bounds))
+
+
 @dataclass
 class Counts:
     """What all tasks know: the head of the counts, totals, and totals of words outside the vocabulary by ending."""
@@ -94,7 +146,7 @@ class Counts:
     distinct: int
     outside: np.ndarray  # tokens by ending
     outside_distinct: np.ndarray
-    frequency: np.ndarray  # of each class
+    model: Classes
 
     def base(self, c):
         return np.log10((c + SMOOTH) / (self.tokens + SMOOTH * (self.distinct + 1)))
@@ -104,13 +156,13 @@ class Counts:
         return np.log10((c + SMOOTH) / (self.outside[ending] + SMOOTH * (self.outside_distinct[ending] + 1)))
 
     def look_up(self, ids: np.ndarray):
-        """Class, count and whether the head has the word."""
+        """Class, place in the head and whether the head has the word."""
+        other = self.model.words + (ids & np.uint64(ENDINGS - 1)).astype(np.int64)
         if not len(self.words):
-            return WORDS + (ids & np.uint64(ENDINGS - 1)).astype(np.int64), np.zeros(len(ids)), np.zeros(len(ids), bool)
+            return other, np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
         at = np.minimum(np.searchsorted(self.words, ids), len(self.words) - 1)
         known = self.words[at] == ids
-        other = WORDS + (ids & np.uint64(ENDINGS - 1)).astype(np.int64)
-        return np.where(known, self.classes[at], other), np.where(known, self.counts[at], 0), known
+        return np.where(known, self.classes[at], other), at, known
 
 
 def summarise(counted: DataFrame, texts: int) -> Counts:
@@ -120,9 +172,8 @@ def summarise(counted: DataFrame, texts: int) -> Counts:
     order = np.argsort(ids)
     ids, c = ids[order], c[order]
     ending = (ids & np.uint64(ENDINGS - 1)).astype(np.int64)
-    classes = WORDS + ending
     common = np.lexsort((ids, -c))[:WORDS]
-    classes[common] = np.arange(len(common))
+    common = common[c[common] >= LEAST]
     by_ending = counted.groupBy(F.col("word").bitwiseAND(F.lit(ENDINGS - 1)).alias("e")).agg(
         F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")
     )
@@ -131,142 +182,242 @@ def summarise(counted: DataFrame, texts: int) -> Counts:
         tokens[row["e"]], distinct[row["e"]] = row["c"], row["n"]
     outside = tokens - np.bincount(ending[common], c[common], ENDINGS)
     outside_distinct = distinct - np.bincount(ending[common], minlength=ENDINGS)
-    frequency = np.concatenate([np.zeros(WORDS), outside, [texts]])
-    frequency[: len(common)] = c[common]
+    order, model = classes_of(ending[common], c[common], outside, texts)
+    classes = model.words + ending
+    classes[common[order]] = np.arange(len(common))
     return Counts(
-        ids, c, classes, least, texts, int(tokens.sum()) + texts, int(distinct.sum()) + (texts > 0), outside, outside_distinct, frequency
+        ids, c, classes, least, texts, int(tokens.sum()) + texts, int(distinct.sum()) + (texts > 0), outside, outside_distinct, model
     )
 
 
 def sequences(texts: pa.Array, counts: Counts):
     """Classes of all tokens with the ends, contexts, per text the number of tokens; and the words with what is known of them."""
     ids, words = word_ids(texts)
-    classes, c, known = counts.look_up(ids)
+    classes, at, known = counts.look_up(ids)
     lengths = words + 1
     first = np.cumsum(lengths) - lengths
     place = np.arange(lengths.sum()) - np.repeat(first, lengths)
-    tokens = np.full(len(place), END)
+    tokens = np.full(len(place), counts.model.end)
     is_word = place < np.repeat(words, lengths)
     tokens[is_word] = classes
-    context = np.full((len(tokens), PLACES), START)
+    context = np.full((len(tokens), PLACES), counts.model.start)
     for k in range(PLACES):
         there = np.flatnonzero(place > k)
         context[there, k] = tokens[there - k - 1]
-    return tokens, context, lengths, words, ids, c, known
+    return tokens, context, lengths, words, ids, at, known
 
 
 # ---- the model -----------------------------------------------------------------------------------
 
 
-def first_parameters(frequency: np.ndarray) -> np.ndarray:
-    """Rows: context vectors, class vectors with their bias in the last column, weights of places.
+def first_parameters(model: Classes) -> np.ndarray:
+    """Rows: context vectors, first-level and word vectors with their bias in the last column, weights of places.
 
     The biases start at the log frequencies, so the untrained model is the unigram model.
     """
-    draw = np.random.default_rng(11)
-    table = np.zeros((2 * CLASSES + 1 + PLACES, DIM + 1), np.float32)
-    table[: 2 * CLASSES + 1, :DIM] = draw.normal(0, 0.1, (2 * CLASSES + 1, DIM))
-    table[CLASSES + 1 : 2 * CLASSES + 1, DIM] = np.log((frequency + 0.5) / (frequency.sum() + 0.5 * CLASSES))
-    table[2 * CLASSES + 1 :, :DIM] = 1.0 / PLACES
+    rows = model.start + 1 + model.first_classes + model.words
+    table = np.zeros((rows + PLACES, DIM + 1), np.float32)
+    table[:rows, :DIM] = np.random.default_rng(11).normal(0, 0.1, (rows, DIM))
+    _, outer, inner, place = parts(table, model)
+    outer[:, DIM] = log_share(model.first_frequency)
+    inner[model.single :, DIM] = np.log(model.share)
+    place[:] = 1.0 / PLACES
     return table
 
 
-def parts(table: np.ndarray):
-    """Views: context vectors, class vectors, biases, weights of places."""
-    inner = table[CLASSES + 1 : 2 * CLASSES + 1]
-    return table[: CLASSES + 1, :DIM], inner[:, :DIM], inner[:, DIM], table[2 * CLASSES + 1 :, :DIM]
-
-
-def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    cells = (rows[:, None] * DIM + np.arange(DIM)).ravel()
-    return np.bincount(cells, values.ravel(), n * DIM).reshape(n, DIM)
-
-
-def train_step(table: np.ndarray, past: np.ndarray, context: np.ndarray, target: np.ndarray, noise: np.ndarray, log_noise: np.ndarray, rate: float):
-    """One step of noise-contrastive ascent; the noise classes are shared by the batch."""
-    seen, vectors, bias, place = parts(table)
-    inputs = seen[context]
-    predicted = (inputs * place).sum(axis=1)
-    shift = np.log(len(noise))
-
-    def odds(score):
-        return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-
-    true = (predicted * vectors[target]).sum(axis=1) + bias[target] - log_noise[target] - shift
-    false = predicted @ vectors[noise].T + (bias[noise] - log_noise[noise] - shift)
-    up, down = 1 - odds(true), -odds(false)
-    push = up[:, None] * vectors[target] + down @ vectors[noise]
-    gradient = np.zeros(table.shape)
-    g_seen, g_vectors, g_bias, g_place = parts(gradient)
-    g_vectors += _summed(target, up[:, None] * predicted, CLASSES)
-    np.add.at(g_vectors, noise, down.T @ predicted)
-    g_bias += np.bincount(target, up, CLASSES) + np.bincount(noise, down.sum(axis=0), CLASSES)
-    g_place += (inputs * push[:, None, :]).sum(axis=0)
-    g_seen += _summed(context.ravel(), push[:, None, :] * place, CLASSES + 1)
-    gradient /= len(target)
-    past += gradient**2
-    table += (rate * gradient / (np.sqrt(past) + 1e-6)).astype(np.float32)
+def log_share(frequency: np.ndarray) -> np.ndarray:
+    return np.log((frequency + 0.5) / (frequency.sum() + 0.5 * len(frequency)))
+
+
+def parts(table: np.ndarray, model: Classes):
+    """Views: context vectors, first-level vectors and biases, word vectors and biases, weights of places."""
+    a = model.start + 1
+    b = a + model.first_classes
+    return table[:a, :DIM], table[a:b], table[b : b + model.words], table[-PLACES:, :DIM]
+
+
+def _odds(score: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+
+
+class Trainer:
+    """Noise-contrastive ascent with a step size per parameter, on a copy of a table."""
+
+    def __init__(self, table: np.ndarray, model: Classes, seed: int):
+        self.model, self.table = model, table.copy()
+        self.past = np.full(table.shape, 1e-4, np.float32)
+        self.used = np.zeros(len(table))  # how often each row took part
+        self.draw = np.random.default_rng(seed)
+        self.log_noise = log_share(model.first_frequency).astype(np.float32)
+        self._slot = np.zeros(len(table), np.int64)
+
+    def learn(self, context: np.ndarray, target: np.ndarray) -> None:
+        order = self.draw.permutation(len(target))
+        share = np.exp(self.log_noise.astype(float))
+        for at in range(0, len(order), BATCH):
+            few = order[at : at + BATCH]
+            noise = self.draw.choice(len(share), NOISE, p=share / share.sum())
+            self.step(context[few], target[few], noise)
+
+    def _move(self, rows, gradient: np.ndarray, n: int) -> None:
+        gradient = (gradient / n).astype(np.float32)
+        past = self.past[rows] + gradient**2
+        self.past[rows] = past
+        self.table[rows] += np.float32(RATE) * gradient / (np.sqrt(past) + np.float32(1e-6))
+
+    def _move_some(self, rows: np.ndarray, gradient: np.ndarray, n: int) -> None:
+        """Rows may repeat: their gradients are summed first."""
+        at = np.arange(len(rows))
+        self._slot[rows] = at
+        last = self._slot[rows]
+        own = last == at
+        number = (np.cumsum(own) - 1)[last]
+        distinct, width = rows[own], gradient.shape[1]
+        cells = (number[:, None] * width + np.arange(width)).ravel()
+        summed = np.zeros((len(distinct), DIM + 1))
+        summed[:, :width] = np.bincount(cells, gradient.ravel(), len(distinct) * width).reshape(-1, width)
+        self.used[distinct] += np.bincount(number)
+        self._move(distinct, summed, n)
+
+    def step(self, context: np.ndarray, target: np.ndarray, noise: np.ndarray) -> None:
+        """One step; the first-level noise is shared by the batch, a word's noise comes from its group."""
+        m, n = self.model, len(target)
+        seen, outer, inner, place = parts(self.table, m)
+        inputs = seen[context]
+        predicted = np.ones((n, DIM + 1), np.float32)  # the last column meets the bias
+        predicted[:, :DIM] = np.einsum("npd,pd->nd", inputs, place)
+
+        first, shift = m.first[target], np.float32(np.log(len(noise)))
+        true, false = outer[first], outer[noise]
+        up = 1 - _odds(np.einsum("nd,nd->n", predicted, true) - self.log_noise[first] - shift)
+        down = -_odds(predicted @ false.T - (self.log_noise[noise] + shift))
+        push = up[:, None] * true[:, :DIM] + down @ false[:, :DIM]
+        g_outer = np.zeros(outer.shape)
+        np.add.at(g_outer, noise, down.T @ predicted)
+        cells = (first[:, None] * (DIM + 1) + np.arange(DIM + 1)).ravel()
+        g_outer += np.bincount(cells, (up[:, None] * predicted).ravel(), g_outer.size).reshape(g_outer.shape)
+
+        grouped = np.flatnonzero((target >= m.single) & (target < m.words))
+        if len(grouped):
+            word, own = target[grouped], predicted[grouped]
+            low, high = m.bounds[m.group[word - m.single]], m.bounds[m.group[word - m.single] + 1]
+            under, over = m.reached[low] - m.frequency[low], m.reached[high - 1]
+            points = under[:, None] + self.draw.random((len(word), INNER_NOISE)) * (over - under)[:, None]
+            others = np.clip(np.searchsorted(m.reached, points, "right"), low[:, None], high[:, None] - 1)
+            words = np.concatenate([word[:, None], others], axis=1)  # the true one first
+            vectors = inner[words]
+            score = np.einsum("nd,nkd->nk", own, vectors) - np.log(m.share[words - m.single] * INNER_NOISE).astype(np.float32)
+            pull = -_odds(score)
+            pull[:, 0] += 1
+            push[grouped] += np.einsum("nk,nkd->nd", pull, vectors[:, :, :DIM])
+            g_words = (pull[:, :, None] * own[:, None, :]).reshape(-1, DIM + 1)
+        g_place = np.zeros((PLACES, DIM + 1))
+        g_place[:, :DIM] = np.einsum("npd,nd->pd", inputs, push)
+        g_seen = (push[:, None, :] * place).reshape(-1, DIM)
+
+        a = m.start + 1
+        self._move_some(context.ravel(), g_seen, n)
+        self._move(slice(a, a + m.first_classes), g_outer, n)
+        if len(grouped):
+            self._move_some(a + m.first_classes + words.ravel(), g_words, n)
+        self._move(slice(-PLACES, None), g_place, n)
+        self.used[a : a + m.first_classes] += n
+        self.used[-PLACES:] += n
 
 
 def _trained(texts: DataFrame, counts: Counts, table: np.ndarray, round_: int) -> np.ndarray:
-    """One round: every task trains on its texts from the same start, Spark averages the results by tokens."""
+    """One round: every shard is trained on from the same start, Spark averages the touched rows by their use."""
+    shards = max(1, round(counts.tokens / ROUNDS / SHARD_TOKENS))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, past, done = table.copy(), np.full(table.shape, 1e-4), 0
-        draw = np.random.default_rng(100 + round_)
-        share = (counts.frequency + 0.5) / (counts.frequency.sum() + 0.5 * CLASSES)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                tokens, context, *_ = sequences(part.column("text"), counts)
-                order = draw.permutation(len(tokens))
-                for at in range(0, len(order), BATCH):
-                    few = order[at : at + BATCH]
-                    noise = draw.choice(CLASSES, NOISE, p=share)
-                    train_step(own, past, context[few], tokens[few], noise, np.log(share), RATE)
-                done += len(tokens)
-        if done:
-            rows = pa.array(list(own), pa.list_(pa.float32()))
+        def result(trainer: Trainer) -> Iterator[pa.RecordBatch]:
+            touched = np.flatnonzero(trainer.used)
+            values = pa.FixedSizeListArray.from_arrays(pa.array(trainer.table[touched].ravel()), DIM + 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(own))), pa.array(np.full(len(own), float(done))), rows], names=["k", "w", "v"]
+                [pa.array(touched), pa.array(trainer.used[touched]), values.cast(pa.list_(pa.float32()))], names=["k", "w", "v"]
             )
 
-    rows = texts.select("text").mapInArrow(work, "k long, w double, v array<float>")
-    means = [(F.sum(F.col("v")[i] * F.col("w")) / F.sum("w")).alias(f"v{i}") for i in range(DIM + 1)]
-    average = rows.groupBy("k").agg(*means).toPandas().sort_values("k")  # one row per row of the table
-    return average.drop(columns="k").to_numpy(np.float32) if len(average) else table
-
-
-def round_of(key: Column, text: Column) -> Column:
-    """The round that trains on a text: by the key's hash, or the text's where the key is null."""
-    return F.pmod(F.when(key.isNull(), F.xxhash64(text, F.lit(5))).otherwise(F.xxhash64(key, F.lit(5))), F.lit(ROUNDS))
+        shard, trainer = None, None
+        for batch in batches:
+            of = batch.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1), len(of)]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if of[low] != shard:
+                    if trainer is not None:
+                        yield from result(trainer)
+                    shard, trainer = of[low], Trainer(table, counts.model, 1000 * round_ + int(of[low]))
+                for part in slices(batch.slice(low, high - low), "text"):
+                    tokens, context, *_ = sequences(part.column("text"), counts)
+                    trainer.learn(context, tokens)
+        if trainer is not None:
+            yield from result(trainer)
+
+    dealt = texts.withColumn("shard", F.pmod(F.floor(F.col("deal") / ROUNDS), F.lit(shards)).cast("int"))
+    placed = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "deal", "text")
+    rows = placed.select("shard", "text").mapInArrow(work, "k long, w double, v array<float>")
+    means = [(F.sum(F.col("v")[i] * F.col("w")) / F.sum("w")).cast("float").alias(f"v{i}") for i in range(DIM + 1)]
+    average = rows.groupBy("k").agg(*means).toArrow()  # at most one row per row of the table
+    trained = table.copy()
+    if average.num_rows:
+        trained[average["k"].to_numpy()] = np.stack([average[f"v{i}"].to_numpy() for i in range(DIM + 1)], axis=1)
+    return trained
+
+
+def deal_of(key: Column, text: Column) -> Column:
+    """What rounds and shards are dealt by: the key's hash, or that of text and place where the key is null."""
+    unkeyed = F.xxhash64(text, F.monotonically_increasing_id(), F.lit(5))
+    return F.shiftrightunsigned(F.when(key.isNull(), unkeyed).otherwise(F.xxhash64(key, F.lit(5))), 12)
 
 
 def train_model(texts: DataFrame, counts: Counts, key: Column) -> np.ndarray:
     """``texts`` are the training texts; every one is dealt to one of the rounds."""
-    table = first_parameters(counts.frequency)
+    table = first_parameters(counts.model)
+    dealt = texts.select("text", deal_of(key, F.col("text")).alias("deal"))
     for k in range(ROUNDS):
-        table = _trained(texts.filter(round_of(key, F.col("text")) == k), counts, table, k)
+        table = _trained(dealt.filter(F.pmod("deal", F.lit(ROUNDS)) == k), counts, table, k)
     return table
 
 
-def log_probabilities(table: np.ndarray, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+class Scorer:
     """Normalised log10 probabilities of the classes, in blocks of one matrix product."""
-    seen, vectors, bias, place = parts(table)
-    weighted = [np.hstack([seen * place[k], np.full((len(seen), 1), 1.0 / PLACES)]).astype(np.float32) for k in range(PLACES)]
-    outer = np.ascontiguousarray(np.vstack([vectors.T, bias]), np.float32)  # the bias meets the last column, which sums to 1
-    out = np.empty(len(target))
-    scores = np.empty((BLOCK, CLASSES), np.float32)
-    for at in range(0, len(target), BLOCK):
-        c, t = context[at : at + BLOCK], target[at : at + BLOCK]
-        predicted = sum(weighted[k][c[:, k]] for k in range(PLACES))
-        block = scores[: len(t)]
-        np.matmul(predicted, outer, out=block)
-        if block.max() > 60:  # beyond the range of single precision after exp
-            block -= block.max(axis=1, keepdims=True)
-        true = block[np.arange(len(t)), t].astype(float)
-        np.exp(block, out=block)
-        out[at : at + BLOCK] = true - np.log(block.sum(axis=1))
-    return out / np.log(10)
+
+    def __init__(self, table: np.ndarray, model: Classes):
+        seen, outer, self.inner, place = parts(table, model)
+        self.model = model
+        self.weighted = [
+            np.hstack([seen * place[k], np.full((len(seen), 1), 1.0 / PLACES)]).astype(np.float32) for k in range(PLACES)
+        ]  # the last column sums to 1 and meets the bias
+        self.outer = np.ascontiguousarray(outer)
+
+    @staticmethod
+    def _normalised(predicted: np.ndarray, vectors: np.ndarray, true: np.ndarray) -> np.ndarray:
+        out = np.empty(len(true))
+        scores = np.empty((min(BLOCK, len(true)), len(vectors)), np.float32)
+        ones = np.ones(len(vectors), np.float32)
+        for at in range(0, len(true), BLOCK):
+            t = true[at : at + BLOCK]
+            block = scores[: len(t)]
+            np.matmul(predicted[at : at + BLOCK], vectors.T, out=block)
+            if block.max() > 60:  # beyond the range of single precision after exp
+                block -= block.max(axis=1, keepdims=True)
+            own = block[np.arange(len(t)), t].astype(float)
+            np.exp(block, out=block)
+            out[at : at + BLOCK] = own - np.log(block @ ones)
+        return out
+
+    def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        m = self.model
+        predicted = sum(self.weighted[k][context[:, k]] for k in range(PLACES))
+        out = self._normalised(predicted, self.outer, m.first[target])
+        grouped = np.flatnonzero((target >= m.single) & (target < m.words))
+        group = m.group[target[grouped] - m.single]
+        grouped = grouped[np.argsort(group.astype(np.int16), kind="stable")]
+        ends = np.cumsum(np.bincount(group, minlength=len(m.bounds) - 1))
+        for g in np.flatnonzero(np.diff(ends, prepend=0)):
+            few = grouped[ends[g - 1] if g else 0 : ends[g]]
+            low = m.bounds[g]
+            out[few] += self._normalised(predicted[few], self.inner[low : m.bounds[g + 1]], target[few] - low)
+        return out / np.log(10)
 
 
 # ---- scoring -------------------------------------------------------------------------------------
@@ -285,15 +436,16 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base_of = counts.base(counts.counts)
         ending = (counts.words & np.uint64(ENDINGS - 1)).astype(np.int64)
-        inside = np.where(counts.classes < WORDS, 0.0, counts.within(counts.counts, ending))
+        inside = np.where(counts.classes < counts.model.words, 0.0, counts.within(counts.counts, ending))
         end_base = counts.base(counts.texts)
+        scorer = Scorer(table, counts.model)
         for batch in batches:
             for part in slices(batch, "text"):
-                tokens, context, lengths, words, ids, _, known = sequences(part.column("text"), counts)
+                tokens, context, lengths, words, ids, at, known = sequences(part.column("text"), counts)
                 n = len(lengths)
                 owner, of = np.repeat(np.arange(n), lengths), np.repeat(np.arange(n), words)
-                at = np.minimum(np.searchsorted(counts.words, ids), max(0, len(counts.words) - 1))[known]
-                score = np.bincount(owner, log_probabilities(table, context, tokens), n)
+                at = at[known]
+                score = np.bincount(owner, scorer.log_probabilities(context, tokens), n)
                 score += np.bincount(of[known], inside[at], n)
                 base = np.bincount(of[known], base_of[at], n) + end_base
                 n_known = np.bincount(of[known], minlength=n) + (counts.texts > 0)

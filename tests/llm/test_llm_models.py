@@ -92,29 +92,97 @@ def test_the_512_commonest_words_are_told_apart(spark):
     texts = spark.createDataFrame([(" ".join(f"word{i}" for i in range(n)),) for n in range(1, 601)], "text string")
     counts = language_model.summarise(language_model.count_words(texts), 600)
     common = np.argsort(-counts.counts, kind="stable")[:512]
-    assert len(set(counts.classes[common])) == 512 and counts.classes[common].max() < language_model.WORDS
+    assert len(set(counts.classes[common])) == 512 and counts.classes[common].max() < counts.model.words
+
+
+def some_classes(n=3000):
+    """Classes of a vocabulary whose ranks follow a power law."""
+    c = np.maximum(5, (50_000 / np.arange(1, n + 1)).astype(np.int64))
+    draw = np.random.default_rng(1)
+    return language_model.classes_of(draw.integers(0, language_model.ENDINGS, n), c, draw.integers(1, 900, language_model.ENDINGS), 500)
+
+
+def test_groups_hold_every_word_once():
+    order, model = some_classes()
+    assert sorted(order) == list(range(3000)) and (np.diff(model.bounds) > 0).all()
+    assert model.words == 3000 and model.first_classes < 400, "two levels are far smaller than one"
+    assert np.bincount(model.group, model.share[: len(model.group)]) == pytest.approx(1.0)
+    assert language_model.classes_of(np.zeros(0, int), np.zeros(0, int), np.zeros(32), 0)[1].words == 0, "no words"
 
 
 def test_probabilities_sum_to_one():
-    table = language_model.first_parameters(np.arange(language_model.CLASSES) + 1.0)
-    context = np.tile([3, language_model.CLASSES - 2, language_model.START, 7], (language_model.CLASSES, 1))
-    logs = language_model.log_probabilities(table, context, np.arange(language_model.CLASSES))
+    _, model = some_classes()
+    table = language_model.first_parameters(model)
+    every = np.arange(model.end + 1)
+    context = np.tile([3, model.end - 2, model.start, 2999], (len(every), 1))
+    logs = language_model.Scorer(table, model).log_probabilities(context, every)
     assert (10.0**logs).sum() == pytest.approx(1.0, rel=1e-4)
 
 
-def test_noise_contrastive_step_learns():
+def test_noise_contrastive_steps_learn_both_levels():
     draw = np.random.default_rng(0)
-    frequency = np.full(language_model.CLASSES, 10.0)
-    table = language_model.first_parameters(frequency)
-    past = np.full(table.shape, 1e-4)
-    share = frequency / frequency.sum()
+    _, model = some_classes()
+    trainer = language_model.Trainer(language_model.first_parameters(model), model, 0)
     context = np.tile(draw.integers(0, 8, (2000, 1)), (1, language_model.PLACES))
-    target = context[:, 0] + 20  # the context decides
-    before = language_model.log_probabilities(table, context, target).mean()
-    for _ in range(150):
-        noise = draw.choice(language_model.CLASSES, language_model.NOISE, p=share)
-        language_model.train_step(table, past, context, target, noise, np.log(share), 0.1)
-    assert language_model.log_probabilities(table, context, target).mean() > before + 1.0
+    for shift in (20, 70):  # first-level classes; words of one group
+        target = context[:, 0] + shift
+        before = language_model.Scorer(trainer.table, model).log_probabilities(context, target).mean()
+        for _ in range(100):
+            trainer.learn(context, target)
+        after = language_model.Scorer(trainer.table, model).log_probabilities(context, target).mean()
+        assert after > before + 1.0, "the context decides"
+
+
+def plain_score(text, table, counts, of_word):
+    """log10 probability of a text: a loop over tokens with an explicit softmax at both levels."""
+    m = counts.model
+    seen, outer, inner, place = (x.astype(float) for x in language_model.parts(table, m))
+    tokens = [of_word(w) for w in words(text)]
+    past, out = [m.start] * language_model.PLACES, 0.0
+    for c, share in [*tokens, (m.end, 0.0)]:
+        h = np.append(sum(seen[p] * place[k] for k, p in enumerate(past)), 1.0)
+        first = outer @ h
+        out += (first[m.first[c]] - math.log(sum(math.exp(x) for x in first))) / math.log(10)
+        if m.single <= c < m.words:
+            g = m.group[c - m.single]
+            own = inner[m.bounds[g] : m.bounds[g + 1]] @ h
+            out += (own[c - m.bounds[g]] - math.log(sum(math.exp(x) for x in own))) / math.log(10)
+        out += share
+        past = [c, *past[:-1]]
+    return out
+
+
+def test_scores_equal_a_plain_softmax_and_do_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "SHARD_TOKENS", 20_000)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    kept = {}
+    train = language_model.train_model
+
+    def remembered(texts, counts, key):
+        kept["counts"], kept["table"] = counts, train(texts, counts, key)
+        return kept["table"]
+
+    monkeypatch.setattr(language_model, "train_model", remembered)
+    results = []
+    for n in (2, 8):
+        scored = language_model.score_texts(docs.repartition(n), F.col("doc_id") % 10 != 0)
+        results.append({r["doc_id"]: r["score"] for r in scored.collect()})
+    assert results[0].keys() == results[1].keys()
+    for i, score in results[0].items():
+        assert results[1][i] == pytest.approx(score, rel=1e-5)
+
+    counts, table = kept["counts"], kept["table"]
+    assert counts.model.words > language_model.SINGLE, "groups are in use"
+    rows = docs.collect()
+    seen = Counter(w for r in rows if r["doc_id"] % 10 for w in words(r["text"]))
+
+    def of_word(w):
+        (h,), _ = language_model.word_ids(pa.array([w]))
+        (c,), _, _ = counts.look_up(np.array([h]))
+        return c, 0.0 if c < counts.model.words else counts.within(seen[w], int(h) % language_model.ENDINGS)
+
+    for r in rows[:40]:
+        assert results[1][r["doc_id"]] == pytest.approx(plain_score(r["text"], table, counts, of_word), rel=1e-4)
 
 
 # ---- toxicity ----
