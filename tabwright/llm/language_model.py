@@ -7,7 +7,7 @@ by their ending.  The model predicts the next word from the four before it: thei
 to a predicted vector whose product with a class's vector, plus its bias, is the class's score.  The softmax has two
 levels: first the commonest words, the endings, the end of the text and groups of words of like frequency and ending,
 then the words of the group.  Both are normalised and both depend on the context.  Training contrasts the true class
-of each level with noise drawn by frequency.
+of each level with noise, drawn by frequency at the first level and evenly within a group.
 
 Training texts are dealt by a hash of their id to rounds and, within a round, to shards of about ``SHARD_TOKENS``
 tokens, so each is trained on once and neither the number of tasks nor the layout of the table changes the model.
@@ -38,14 +38,14 @@ from tabwright.llm.labelled import fold
 from tabwright.llm.registry import llm_query
 
 HEAD = 1 << 17  # words whose counts every task gets
-WORDS, LEAST = 1 << 16, 5  # most words of the model, and how often each is found at least
+WORDS, LEAST = 1 << 15, 5  # most words of the model, and how often each is found at least
 ENDINGS = 32  # classes of all other words
 SINGLE, TIERS = 64, (1024, 8192)  # ranks: words that are first-level classes, ends of the tiers that groups keep to
 PLACES, DIM = 4, 16
 ROUNDS = 3  # each training text serves one round
 SHARD_TOKENS = 1 << 20
-BATCH, NOISE, INNER_NOISE, RATE = 1024, 64, 5, 0.1
-BLOCK = 256
+BATCH, NOISE, INNER_NOISE, RATE = 2048, 32, 2, 0.2
+BLOCK, SUMMED = 256, 4096
 SMOOTH = 0.1
 COUNTED_TOKENS = 2_000_000
 
@@ -109,7 +109,6 @@ class Classes:
             [np.arange(self.single), self.single + self.group, self.single + groups + np.arange(ENDINGS + 1)]
         )
         self.first_frequency = np.bincount(self.first, self.frequency, self.first_classes)
-        self.reached = np.cumsum(self.frequency[: self.words])
         mass = self.first_frequency[self.single : self.single + groups]
         self.share = self.frequency[self.single : self.words] / mass[self.group]  # of each word in its group
 
@@ -237,19 +236,19 @@ def parts(table: np.ndarray, model: Classes):
 
 
 def _odds(score: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+    return 1 / (1 + np.exp(np.minimum(-score, 60)))  # finite in single precision
 
 
 class Trainer:
-    """Noise-contrastive ascent with a step size per parameter, on a copy of a table."""
+    """Noise-contrastive ascent with a step size per row of the table, on a copy of it."""
 
     def __init__(self, table: np.ndarray, model: Classes, seed: int):
         self.model, self.table = model, table.copy()
-        self.past = np.full(table.shape, 1e-4, np.float32)
+        self.past = np.full(len(table), 1e-4, np.float32)
         self.used = np.zeros(len(table))  # how often each row took part
         self.draw = np.random.default_rng(seed)
         self.log_noise = log_share(model.first_frequency).astype(np.float32)
-        self._slot = np.zeros(len(table), np.int64)
+        self._slot = np.zeros(len(table), np.int32)
 
     def learn(self, context: np.ndarray, target: np.ndarray) -> None:
         order = self.draw.permutation(len(target))
@@ -259,28 +258,27 @@ class Trainer:
             noise = self.draw.choice(len(share), NOISE, p=share / share.sum())
             self.step(context[few], target[few], noise)
 
-    def _move(self, rows, gradient: np.ndarray, n: int) -> None:
-        gradient = (gradient / n).astype(np.float32)
-        past = self.past[rows] + gradient**2
+    def _move(self, rows, gradient: np.ndarray) -> None:
+        past = self.past[rows] + np.einsum("nd,nd->n", gradient, gradient) / np.float32(DIM)
         self.past[rows] = past
-        self.table[rows] += np.float32(RATE) * gradient / (np.sqrt(past) + np.float32(1e-6))
+        gradient *= (np.float32(RATE) / np.sqrt(past))[:, None]
+        self.table[rows, : gradient.shape[1]] += gradient
 
-    def _move_some(self, rows: np.ndarray, gradient: np.ndarray, n: int) -> None:
+    def _move_some(self, rows: np.ndarray, gradient: np.ndarray) -> None:
         """Rows may repeat: their gradients are summed first."""
-        at = np.arange(len(rows))
+        at = np.arange(len(rows), dtype=np.int32)
         self._slot[rows] = at
         last = self._slot[rows]
         own = last == at
         number = (np.cumsum(own) - 1)[last]
         distinct, width = rows[own], gradient.shape[1]
         cells = (number[:, None] * width + np.arange(width)).ravel()
-        summed = np.zeros((len(distinct), DIM + 1))
-        summed[:, :width] = np.bincount(cells, gradient.ravel(), len(distinct) * width).reshape(-1, width)
+        summed = np.bincount(cells, gradient.ravel(), len(distinct) * width).astype(np.float32)
         self.used[distinct] += np.bincount(number)
-        self._move(distinct, summed, n)
+        self._move(distinct, summed.reshape(-1, width))
 
     def step(self, context: np.ndarray, target: np.ndarray, noise: np.ndarray) -> None:
-        """One step; the first-level noise is shared by the batch, a word's noise comes from its group."""
+        """One step; the first level's noise is shared by the batch, a word's is any word of its group."""
         m, n = self.model, len(target)
         seen, outer, inner, place = parts(self.table, m)
         inputs = seen[context]
@@ -289,38 +287,38 @@ class Trainer:
 
         first, shift = m.first[target], np.float32(np.log(len(noise)))
         true, false = outer[first], outer[noise]
-        up = 1 - _odds(np.einsum("nd,nd->n", predicted, true) - self.log_noise[first] - shift)
-        down = -_odds(predicted @ false.T - (self.log_noise[noise] + shift))
+        mean = np.float32(1 / n)
+        up = mean - mean * _odds(np.einsum("nd,nd->n", predicted, true) - self.log_noise[first] - shift)
+        down = -mean * _odds(predicted @ false.T - (self.log_noise[noise] + shift))
         push = up[:, None] * true[:, :DIM] + down @ false[:, :DIM]
-        g_outer = np.zeros(outer.shape)
+        g_outer = np.zeros(outer.shape, np.float32)
         np.add.at(g_outer, noise, down.T @ predicted)
         cells = (first[:, None] * (DIM + 1) + np.arange(DIM + 1)).ravel()
-        g_outer += np.bincount(cells, (up[:, None] * predicted).ravel(), g_outer.size).reshape(g_outer.shape)
+        g_outer += np.bincount(cells, (up[:, None] * predicted).ravel(), g_outer.size).reshape(g_outer.shape).astype(np.float32)
 
         grouped = np.flatnonzero((target >= m.single) & (target < m.words))
         if len(grouped):
             word, own = target[grouped], predicted[grouped]
             low, high = m.bounds[m.group[word - m.single]], m.bounds[m.group[word - m.single] + 1]
-            under, over = m.reached[low] - m.frequency[low], m.reached[high - 1]
-            points = under[:, None] + self.draw.random((len(word), INNER_NOISE)) * (over - under)[:, None]
-            others = np.clip(np.searchsorted(m.reached, points, "right"), low[:, None], high[:, None] - 1)
+            size = (high - low)[:, None]
+            others = low[:, None] + (self.draw.random((len(word), INNER_NOISE), np.float32) * size).astype(np.int64)
+            others = np.minimum(others, high[:, None] - 1)
             words = np.concatenate([word[:, None], others], axis=1)  # the true one first
             vectors = inner[words]
-            score = np.einsum("nd,nkd->nk", own, vectors) - np.log(m.share[words - m.single] * INNER_NOISE).astype(np.float32)
-            pull = -_odds(score)
-            pull[:, 0] += 1
+            score = np.einsum("nd,nkd->nk", own, vectors) + np.log(size / INNER_NOISE).astype(np.float32)
+            pull = -mean * _odds(score)
+            pull[:, 0] += mean
             push[grouped] += np.einsum("nk,nkd->nd", pull, vectors[:, :, :DIM])
             g_words = (pull[:, :, None] * own[:, None, :]).reshape(-1, DIM + 1)
-        g_place = np.zeros((PLACES, DIM + 1))
-        g_place[:, :DIM] = np.einsum("npd,nd->pd", inputs, push)
+        g_place = np.einsum("npd,nd->pd", inputs, push)
         g_seen = (push[:, None, :] * place).reshape(-1, DIM)
 
         a = m.start + 1
-        self._move_some(context.ravel(), g_seen, n)
-        self._move(slice(a, a + m.first_classes), g_outer, n)
+        self._move_some(context.ravel(), g_seen)
+        self._move(slice(a, a + m.first_classes), g_outer)
         if len(grouped):
-            self._move_some(a + m.first_classes + words.ravel(), g_words, n)
-        self._move(slice(-PLACES, None), g_place, n)
+            self._move_some(a + m.first_classes + words.ravel(), g_words)
+        self._move(slice(-PLACES, None), g_place)
         self.used[a : a + m.first_classes] += n
         self.used[-PLACES:] += n
 
@@ -407,7 +405,10 @@ class Scorer:
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         m = self.model
-        predicted = sum(self.weighted[k][context[:, k]] for k in range(PLACES))
+        predicted = np.empty((len(target), DIM + 1), np.float32)
+        for at in range(0, len(target), SUMMED):  # few enough to stay in the cache
+            few = context[at : at + SUMMED]
+            predicted[at : at + SUMMED] = sum(self.weighted[k][few[:, k]] for k in range(PLACES))
         out = self._normalised(predicted, self.outer, m.first[target])
         grouped = np.flatnonzero((target >= m.single) & (target < m.words))
         group = m.group[target[grouped] - m.single]
