@@ -38,12 +38,12 @@ from tabwright.llm.labelled import fold
 from tabwright.llm.registry import llm_query
 
 HEAD = 1 << 17  # words whose counts every task gets
-WORDS, LEAST = 1 << 15, 5  # most words of the model, and how often each is found at least
+WORDS, LEAST = 1 << 14, 5  # most words of the model, and how often each is found at least
 ENDINGS = 32  # classes of all other words
 SINGLE, TIERS = 64, (1024, 8192)  # ranks: words that are first-level classes, ends of the tiers that groups keep to
-PLACES, DIM = 4, 16
+PLACES, DIM = 4, 12
 ROUNDS = 3  # each training text serves one round
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 21
 BATCH, NOISE, INNER_NOISE, RATE = 2048, 32, 2, 0.2
 BLOCK, SUMMED = 256, 4096
 SMOOTH = 0.1
