@@ -115,6 +115,9 @@ def fit(
     checked = training.checked_params(algorithm, params)
     labelled = _labelled(_typed(train, features), target, kind)
     text_target = kind == "classification" and _is_text(train, target)
+    if text_target and algorithm == "KNeighborsClassifier":
+        # votes count labels of any type, so classes need no codes and there can be as many as rows
+        text_target, labelled = False, labelled.withColumn("_label", quoted(target))
     kept = [*features, target] if text_target else [*features, "_label"]
     stages = preparation(train, features, algorithm)
     if text_target:
@@ -187,7 +190,7 @@ def _predict_by_neighbours(trained: Trained, df: DataFrame, row_id: str | None)
     )
     votes = neighbours.vote(near, trained.params["weights"])
     scored = df.join(votes, df[row_id].cast("long") == votes["query_id"], "left").drop("query_id")
-    first = trained.model.stages[0]
+    first = trained.model.stages[0]  # models stored with codes for labels
     if isinstance(first, StringIndexerModel) and first.isSet("outputCol") and first.getOutputCol() == "_label":
         names = F.array(*[F.lit(x) for x in first.labels])
         scored = scored.withColumn("prediction", F.get(names, F.col("prediction").cast("int")))
