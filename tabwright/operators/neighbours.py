@@ -1,14 +1,15 @@
 """k-nearest-neighbour join: exact in two passes, or approximate by projection buckets.
 
-Pivots, a spread-out sample of the training rows, cut the space into cells.  In the first pass a query meets its
-own cell only, which gives it k candidates and the distance of the worst of them.  In the second it visits the other
-cells that can hold a nearer row: by the triangle inequality a cell is out of reach if its ring around the pivot is, and
-by the bisector between two pivots if the query lies too far on its own side.  A crowded cell is cut into blocks of
-bounded size; in a block a ball tree tells which balls a query has to look into.  Queries are handled together, ball by
-ball, and a block returns the k best per query, so no task holds or emits all pairs of a cell.
-
-The approximate mode uses the same blocks, with buckets of random projections in place of cells: a query
-meets the rows that share a bucket with it in one of the hash tables.
+Pivots, a spread-out sample of the training rows, cut the space into cells, and neighbouring cells are joined to groups of
+about a block.  In the first pass a query meets its own group only, which gives it k candidates and the distance of the
+worst of them.  In the second it visits the other groups with a cell that can hold a nearer row: by the triangle inequality
+a cell is out of reach if its ring around the pivot is, and by the bisector between two pivots if the query lies too far on
+its own side.  A crowded cell is cut into blocks of bounded size; in a block a ball tree tells which balls a query has to
+look into.  Queries are handled together, ball by ball, and a block returns the k best per query, so no task holds or emits
+all pairs of a group.
+
+The approximate mode lets a query meet the rows that share a bucket of a random projection with it in one of the hash tables:
+bucket by bucket, or, where buckets are so wide that they hold more pairs than there are, in the two passes above.
 """
 
 from __future__ import annotations
@@ -29,7 +30,10 @@ from tabwright.plans.lineage import written
 BLOCK_ROWS = 20_000
 BALL_ROWS = 256
 QUERIES_AT_ONCE = 4_096
+PAIRS_AT_ONCE = 65_536
 MOST_PIVOTS = 4_096
+FEWEST_GROUPS, LEAST_BLOCK = 12, 2_048
+SINGLE = float(np.finfo(np.float32).eps)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -73,62 +77,145 @@ def _first_of_each(query: np.ndarray, distance: np.ndarray, row_id: np.ndarray,
     return order[rank < k]
 
 
+def _beside(points: np.ndarray, last: np.ndarray | float, kind: type) -> np.ndarray:
+    """The points with one more coordinate."""
+    wide = np.empty((len(points), points.shape[1] + 1), kind)
+    wide[:, :-1], wide[:, -1] = points, last
+    return wide
+
+
+class _Ball:
+    """Rows around their centre, in single precision with known error where their size allows it."""
+
+    def __init__(self, rows: np.ndarray, members: np.ndarray, centre: np.ndarray):
+        inside = rows[members] - centre
+        square = (inside * inside).sum(1)
+        self.members, self.centre, self.most = members, centre, float(square.max())
+        self.kind = np.float32 if self.most < 1e30 else np.float64
+        self.side = _beside(inside, -square / 2, self.kind).T
+
+    def scores(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Half the squared length of a query less half its squared distance, that length, and what rounding can amount to."""
+        moved = asked - self.centre
+        square = (moved * moved).sum(1)
+        single = self.kind is np.float32 and square.max() < 1e30
+        side = self.side if single else self.side.astype(np.float64)
+        eps = SINGLE if self.kind is np.float32 else float(np.finfo(np.float64).eps)
+        error = (asked.shape[1] + 8) * eps * (np.sqrt(square * self.most) + self.most + square) + 1e-40
+        return _beside(moved, 1.0, side.dtype.type) @ side, square, error
+
+
 def block_neighbours(
-    rows: np.ndarray, row_ids: np.ndarray, queries: np.ndarray, own_ids: np.ndarray | None, limit: np.ndarray, k: int
+    rows: np.ndarray,
+    row_ids: np.ndarray,
+    queries: np.ndarray,
+    own_ids: np.ndarray | None,
+    limit: np.ndarray,
+    k: int,
+    row_codes: np.ndarray | None = None,
+    query_codes: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of queries and rows, and exact distances: the k best rows per query that lie within its ``limit``.
 
-    The limits shrink as balls are searched, the nearest ball of each query first.
+    The limits shrink as balls are searched, the nearest ball of each query first.  With codes, only
+    rows that have one of them in common with the query count.
     """
-    balls, centres, radii = ball_tree(rows)
+    trees, centres, radii = ball_tree(rows)
+    balls = [_Ball(rows, members, c) for members, c in zip(trees, centres, strict=True)]
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def allowed(query: np.ndarray, row: np.ndarray) -> np.ndarray:
+        fine = np.ones(np.broadcast(query, row).shape, bool)
+        if own_ids is not None:
+            fine &= own_ids[query] != row_ids[row]
+        if row_codes is not None:
+            shared = np.zeros(fine.shape, bool)
+            for t in range(row_codes.shape[1]):
+                shared |= row_codes[row, t] == query_codes[query, t]
+            fine &= shared
+        return fine
+
     for start in range(0, len(queries), QUERIES_AT_ONCE):
         part = queries[start : start + QUERIES_AT_ONCE]
         near, slack = limit[start : start + QUERIES_AT_ONCE].copy(), _slack(part, rows)
         least = _distances(part, centres) - radii[None, :] - slack[:, None]
         nearest_ball = least.argmin(1)
-        pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        best, best_row = np.full((len(part), k), np.inf), np.full((len(part), k), -1)
         for first in (True, False):
-            for b, members in enumerate(balls):
+            for b, ball in enumerate(balls):
                 here = nearest_ball == b
                 visits = np.flatnonzero((here if first else ~here) & (least[:, b] <= near))
                 if not len(visits):
                     continue
-                rough = _distances(part[visits], rows[members])
-                if own_ids is not None:
-                    rough[own_ids[start + visits, None] == row_ids[members][None, :]] = np.inf
-                if len(members) > k:
-                    worst = np.partition(rough, k - 1, axis=1)[:, k - 1] + slack[visits]
-                    near[visits] = np.minimum(near[visits], worst)
-                query, row = np.nonzero((rough <= near[visits, None] + slack[visits, None]) & np.isfinite(rough))
-                exact = np.sqrt(((rows[members[row]] - part[visits[query]]) ** 2).sum(1))
-                best = _first_of_each(query, exact, row_ids[members[row]], k)
-                pairs.append((visits[query[best]], members[row[best]], exact[best]))
-        if pairs:
-            query, row, exact = (np.concatenate(c) for c in zip(*pairs, strict=True))
-            best = _first_of_each(query, exact, row_ids[row], k)
-            found.append((query[best] + start, row[best], exact[best]))
+                scores, square, error = ball.scores(part if len(visits) == len(part) else part[visits])
+                blind = np.flatnonzero(np.isinf(near[visits]))
+                if len(blind) and len(ball.members) > k:  # a first limit, from the k-th best of this ball
+                    seen = np.where(allowed(start + visits[blind, None], ball.members[None, :]), scores[blind], -np.inf)
+                    worst = np.partition(seen, len(ball.members) - k, axis=1)[:, len(ball.members) - k].astype(np.float64)
+                    near[visits[blind]] = np.sqrt(np.maximum(square[blind] - 2 * worst + 2 * error[blind], 0.0))
+                reach = near[visits] + slack[visits]
+                floor = ((square - reach * reach) / 2 - error).astype(scores.dtype)
+                floor = np.nextafter(floor, scores.dtype.type(-np.inf))
+                hits = np.flatnonzero(scores >= floor[:, None])
+                for at in range(0, len(hits), PAIRS_AT_ONCE):
+                    query, row = np.divmod(hits[at : at + PAIRS_AT_ONCE], len(ball.members))
+                    query, row = visits[query], ball.members[row]
+                    fine = allowed(start + query, row)
+                    query, row = query[fine], row[fine]
+                    exact = np.sqrt(((rows[row] - part[query]) ** 2).sum(1))
+                    fine = exact <= near[query] + slack[query]
+                    _keep_best(best, best_row, query[fine], row[fine], exact[fine], row_ids, k)
+                near[visits] = np.minimum(near[visits], best[visits, k - 1])
+        query, rank = np.nonzero(best_row >= 0)
+        found.append((query + start, best_row[query, rank], best[query, rank]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
+def _keep_best(
+    best: np.ndarray, best_row: np.ndarray, query: np.ndarray, row: np.ndarray, exact: np.ndarray, row_ids: np.ndarray, k: int
+) -> None:
+    """Merge new pairs into the k best of each query, ties by row id."""
+    if not len(query):
+        return
+    order = _first_of_each(query, exact, row_ids[row], k)
+    query, row, exact = query[order], row[order], exact[order]
+    changed, begin, place = np.unique(query, return_index=True, return_inverse=True)
+    rank = np.arange(len(query)) - begin[place]
+    far, who = np.full((len(changed), 2 * k), np.inf), np.full((len(changed), 2 * k), -1)
+    far[:, :k], who[:, :k] = best[changed], best_row[changed]
+    far[place, k + rank], who[place, k + rank] = exact, row
+    order = np.lexsort((row_ids[who], who < 0, far), axis=1)[:, :k]
+    best[changed], best_row[changed] = np.take_along_axis(far, order, 1), np.take_along_axis(who, order, 1)
+
+
+def _vectors(df: DataFrame, vector: str) -> Column:
+    """Single-precision vectors travel as they are; distances are of doubles in any case."""
+    kind = dict(df.select(F.col(vector).alias("_v")).dtypes)["_v"]
+    return F.col(vector).cast("array<float>" if kind == "array<float>" else "array<double>").alias("_v")
+
+
 def _training(train: DataFrame, vector: str, train_id: str, label: str) -> DataFrame:
-    return train.select(
-        F.col(train_id).cast("long").alias("_id"), F.col(label).alias("_label"), F.col(vector).cast("array<double>").alias("_v")
-    )
+    return train.select(F.col(train_id).cast("long").alias("_id"), F.col(label).alias("_label"), _vectors(train, vector))
 
 
 def _asked(queries: DataFrame, vector: str, query_id: str) -> DataFrame:
-    return queries.select(F.col(query_id).cast("long").alias("_q"), F.col(vector).cast("array<double>").alias("_v"))
+    return queries.select(F.col(query_id).cast("long").alias("_q"), _vectors(queries, vector))
+
+
+def _schema(df: DataFrame, added: str) -> str:
+    return ", ".join([*(f"{c} {kind}" for c, kind in df.dtypes), added])
 
 
 def _in_blocks(rows: DataFrame, visits: DataFrame, k: int, exclude_self: bool, block_rows: int) -> DataFrame:
     """``_q, _id, _label, _d``: rows and queries with the same ``_cell`` meet, block by block on both sides.
 
-    ``visits`` carry ``_limit``, the farthest a neighbour can be.
+    ``visits`` carry ``_limit``, the farthest a neighbour can be.  Where both sides have ``_codes``, a query only meets
+    rows that share one with it.
     """
     label_type = dict(rows.dtypes)["_label"]
+    codes_kept = ["_codes"] if "_codes" in rows.columns else []
     sizes = rows.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_tb"))
     loads = visits.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_qb"))
     sides = written(sizes.join(loads, "_cell"), "cells")  # one row per cell that has both
@@ -146,14 +233,15 @@ def _in_blocks(rows: DataFrame, visits: DataFrame, k: int, exclude_self: bool, b
         if not len(rows_block) or not len(query_block):
             return pd.DataFrame({"_q": [], "_id": [], "_label": [], "_d": []})
         ids, own = rows_block["_id"].to_numpy(), query_block["_q"].to_numpy()
+        codes = [np.stack(side["_codes"]) for side in (rows_block, query_block)] if codes_kept else []
         query, row, far = block_neighbours(
             _matrix(rows_block["_v"]), ids, _matrix(query_block["_v"]), own if exclude_self else None,
-            query_block["_limit"].to_numpy(), k,
+            query_block["_limit"].to_numpy(), k, *codes,
         )
         return pd.DataFrame({"_q": own[query], "_id": ids[row], "_label": rows_block["_label"].to_numpy()[row], "_d": far})
 
-    left = copied(rows.select("_id", "_label", "_v", "_cell"), "_id", "_tb", "_qb", "_t", "_u")
-    right = copied(visits.select("_q", "_v", "_cell", "_limit"), "_q", "_qb", "_tb", "_u", "_t")
+    left = copied(rows.select("_id", "_label", "_v", "_cell", *codes_kept), "_id", "_tb", "_qb", "_t", "_u")
+    right = copied(visits.select("_q", "_v", "_cell", "_limit", *codes_kept), "_q", "_qb", "_tb", "_u", "_t")
     return (
         left.groupBy("_cell", "_t", "_u")
         .cogroup(right.groupBy("_cell", "_t", "_u"))
@@ -179,11 +267,31 @@ class Cells:
         between = _distances(points, points)
         # a bisector between pivots that almost touch would be placed by rounding alone
         self.between = np.where(between > 0.05 * np.sqrt((points * points).sum(1).max()), between, np.inf)
-
-    def learn(self, placed: DataFrame) -> None:
-        """One row per pivot: the nearest and the farthest of its rows."""
-        for r in placed.groupBy("_cell").agg(F.min("_far").alias("low"), F.max("_far").alias("high")).collect():
-            self.low[r["_cell"]], self.high[r["_cell"]] = r["low"], r["high"]
+        self.rows = np.zeros(len(points), np.int64)
+        self.group = np.arange(len(points))
+
+    def learn(self, placed: DataFrame, block_rows: int) -> None:
+        """One row per pivot: the nearest and the farthest of its rows, and their number."""
+        facts = [F.min("_far").alias("low"), F.max("_far").alias("high"), F.count(F.lit(1)).alias("rows")]
+        for r in placed.groupBy("_pivot").agg(*facts).collect():
+            self.low[r["_pivot"]], self.high[r["_pivot"]], self.rows[r["_pivot"]] = r["low"], r["high"], r["rows"]
+        self._join(block_rows)
+
+    def _join(self, block_rows: int) -> None:
+        """Groups of neighbouring cells: halved by rows along the widest dimension until they fit a block or are one cell."""
+        open_, groups = [np.arange(len(self.points))], 0
+        while open_:
+            cells = open_.pop()
+            if len(cells) == 1 or self.rows[cells].sum() <= block_rows:
+                self.group[cells], groups = groups, groups + 1
+                continue
+            inside = self.points[cells]
+            order = cells[np.argsort(inside[:, np.argmax(inside.max(0) - inside.min(0))], kind="stable")]
+            filled = np.cumsum(self.rows[order])
+            cut = min(max(int(np.searchsorted(filled, filled[-1] / 2)) + 1, 1), len(cells) - 1)
+            open_ += [order[:cut], order[cut:]]
+        self.member = np.zeros((len(self.points), groups), np.float32)
+        self.member[np.arange(len(self.points)), self.group] = 1.0
 
     def place(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distances to all pivots, the nearest pivot that has rows, and the distance to it."""
@@ -192,18 +300,19 @@ class Cells:
         return d, own, d[np.arange(len(d)), own]
 
     def in_reach(self, v: np.ndarray, limit: np.ndarray) -> np.ndarray:
-        """Which other cells can hold a row within the limit."""
+        """Which groups other than the own one have a cell that can hold a row within the limit."""
         d, own, nearest_d = self.place(v)
         margin = _slack(v, self.points)[:, None] * 4
         ring = np.maximum(d - self.high[None, :], self.low[None, :] - d)
         side = (d**2 - nearest_d[:, None] ** 2) / (2 * self.between[own])  # a cell lies on its pivot's side of the bisector
         reach = (np.maximum(ring, side) <= limit[:, None] + margin) & np.isfinite(self.low)[None, :]
-        reach[np.arange(len(d)), own] = False
-        return reach
+        groups = reach.astype(np.float32) @ self.member > 0
+        groups[np.arange(len(d)), self.group[own]] = False
+        return groups
 
 
-def cells_of(rows: DataFrame, pivots: int | None) -> tuple[Cells, DataFrame]:
-    """The cells, and the rows with ``_cell`` and their distance ``_far`` to its pivot, written once."""
+def cells_of(rows: DataFrame, pivots: int | None, block_rows: int) -> tuple[Cells, DataFrame, int]:
+    """The cells, the rows with the group of their cell as ``_cell``, written once, and the rows of a block."""
     total = rows.count()
     if total == 0:
         raise ValueError("the training table is empty")
@@ -217,12 +326,13 @@ def cells_of(rows: DataFrame, pivots: int | None) -> tuple[Cells, DataFrame]:
             if len(batch):
                 d = _distances(_matrix(batch["_v"]), points)
                 cell = d.argmin(1)
-                yield batch.assign(_cell=cell.astype("int32"), _far=d[np.arange(len(d)), cell])
+                yield batch.assign(_pivot=cell.astype("int32"), _far=d[np.arange(len(d)), cell])
 
-    schema = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes)
-    placed = written(rows.mapInPandas(to_cells, f"{schema}, _cell int, _far double"), "placed")
-    cells.learn(placed)
-    return cells, placed
+    placed = written(rows.mapInPandas(to_cells, _schema(rows, "_pivot int, _far double")), "placed")
+    block = min(block_rows, max(LEAST_BLOCK, -(-total // FEWEST_GROUPS)))  # enough groups for all cores of small tables too
+    cells.learn(placed, block)
+    groups = rows.sparkSession.createDataFrame(list(enumerate(cells.group.tolist())), "_pivot int, _cell int")
+    return cells, placed.join(F.broadcast(groups), "_pivot").drop("_pivot", "_far"), block
 
 
 def nearest(
@@ -242,14 +352,28 @@ def nearest(
 
     ``exclude_self`` leaves out the training row with the query's own id.
     Ids are whole numbers, unique on either side; vectors are arrays of equal length without nulls.
-    ``count_visits`` is called with the cells each query visits in the second pass.
+    ``count_visits`` is called with the groups of cells each query visits in the second pass.
     """
-    cells, placed = cells_of(_training(train, vector, train_id, label), pivots)
+    rows, asked = _training(train, vector, train_id, label), _asked(queries, vector, query_id)
+    return _in_two_passes(rows, asked, k, exclude_self, pivots, block_rows, count_visits)
+
+
+def _in_two_passes(
+    rows: DataFrame,
+    asked: DataFrame,
+    k: int,
+    exclude_self: bool,
+    pivots: int | None,
+    block_rows: int,
+    count_visits: Callable[[DataFrame], None] | None = None,
+) -> DataFrame:
+    cells, placed, block = cells_of(rows, pivots, block_rows)
 
     def to_own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield batch.assign(_cell=cells.place(_matrix(batch["_v"]))[1].astype("int32"), _limit=np.inf)
+                own = cells.group[cells.place(_matrix(batch["_v"]))[1]]
+                yield batch.assign(_cell=own.astype("int32"), _limit=np.inf)
 
     def to_others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -257,21 +381,18 @@ def nearest(
                 reach = cells.in_reach(_matrix(batch["_v"]), batch["_limit"].to_numpy())
                 yield batch.assign(_cells=[np.flatnonzero(r).astype("int32") for r in reach])
 
-    asked = _asked(queries, vector, query_id)
-    home = written(asked.mapInPandas(to_own, "_q long, _v array<double>, _cell int, _limit double"), "queries")
-    first = written(_in_blocks(placed, home, k, exclude_self, block_rows), "near")
+    home = written(asked.mapInPandas(to_own, _schema(asked, "_cell int, _limit double")), "queries")
+    first = written(_in_blocks(placed, home, k, exclude_self, block), "near")
     kept = _best(first, k).groupBy(F.col("query_id").alias("_q")).agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_worst"))
     known = F.when(F.col("_n") >= k, F.col("_worst")).otherwise(float("inf"))
-    limited = home.select("_q", "_v").join(kept, "_q", "left").select("_q", "_v", F.coalesce(known, F.lit(float("inf"))).alias("_limit"))
-    visits = written(
-        limited.mapInPandas(to_others, "_q long, _v array<double>, _limit double, _cells array<int>").select(
-            "_q", "_v", "_limit", F.explode("_cells").alias("_cell")
-        ),
-        "visits",
-    )
+    limited = home.select(*asked.columns).join(kept, "_q", "left")
+    limited = limited.select(*asked.columns, F.coalesce(known, F.lit(float("inf"))).alias("_limit"))
+    # a query is written once, with the list of what it visits, and only copied on the way there
+    reached = written(limited.mapInPandas(to_others, _schema(limited, "_cells array<int>")), "visits")
+    visits = reached.select(*limited.columns, F.explode("_cells").alias("_cell"))
     if count_visits:
         count_visits(visits)
-    return _best(first.unionByName(_in_blocks(placed, visits, k, exclude_self, block_rows)), k)
+    return _best(first.unionByName(_in_blocks(placed, visits, k, exclude_self, block)), k)
 
 
 def nearest_by_projection(
@@ -300,17 +421,31 @@ def nearest_by_projection(
     hashing = BucketedRandomProjectionLSH(
         inputCol="_vector", outputCol="_hashes", bucketLength=float(bucket_length), numHashTables=tables, seed=seed
     )
-    model = hashing.fit(rows.select(array_to_vector("_v").alias("_vector")))
+    as_vector = array_to_vector(F.col("_v").cast("array<double>"))
+    model = hashing.fit(rows.select(as_vector.alias("_vector")))
+
+    def coded(df: DataFrame) -> DataFrame:
+        hashed = model.transform(df.withColumn("_vector", as_vector))
+        codes = F.transform("_hashes", lambda h: vector_to_array(h)[0].cast("long"))
+        return hashed.select(*df.columns, codes.alias("_codes"))
 
     def bucketed(df: DataFrame) -> DataFrame:
-        hashed = model.transform(df.withColumn("_vector", array_to_vector("_v"))).drop("_vector")
-        cell: Column = F.concat_ws(":", F.col("_table"), vector_to_array("_hash")[0].cast("long"))
-        placed = hashed.select(*df.columns, F.posexplode("_hashes").alias("_table", "_hash"))
-        return placed.withColumn("_cell", cell).drop("_table", "_hash")
-
-    placed = written(bucketed(rows), "buckets")
-    visits = written(bucketed(asked).withColumn("_limit", F.lit(float("inf"))), "asked")
-    found = _in_blocks(placed, visits, k, exclude_self, block_rows)
+        cell: Column = F.concat_ws(":", F.col("_table"), F.col("_code"))
+        placed = df.select("*", F.posexplode("_codes").alias("_table", "_code"))
+        return placed.withColumn("_cell", cell).drop("_table", "_code", "_codes")
+
+    rows, asked = written(coded(rows), "coded"), written(coded(asked), "asked")
+    placed, visits = bucketed(rows), bucketed(asked).withColumn("_limit", F.lit(float("inf")))
+    loads = (df.groupBy("_cell").agg(F.count(F.lit(1)).cast("double").alias(n)) for df, n in ((placed, "_n"), (visits, "_m")))
+    held = next(loads).join(next(loads), "_cell").agg(F.sum(F.col("_n") * F.col("_m"))).first()[0]
+    if (held or 0.0) >= float(rows.count()) * asked.count() > 0:
+        # the buckets hold pairs several times over: each pair once, if any table has both in one bucket
+        near = _in_two_passes(rows, asked, k, exclude_self, None, block_rows)
+        found = near.select(
+            F.col("query_id").alias("_q"), F.col("neighbour_id").alias("_id"), F.col("label").alias("_label"), F.col("distance").alias("_d")
+        )
+    else:
+        found = _in_blocks(placed, visits, k, exclude_self, block_rows)
     return _best(found.groupBy("_q", "_id").agg(F.any_value("_label").alias("_label"), F.min("_d").alias("_d")), k)
 
 

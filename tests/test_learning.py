@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
@@ -81,6 +82,45 @@ def test_projection_buckets_find_most_neighbours(spark):
     assert found.intersect(exact).count() >= 0.9 * exact.count()
 
 
+def test_rows_without_clusters_are_copied_per_block_not_per_cell(spark):
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(3000, 24)).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(3000), "label": 0, "features": list(points)}))
+    visits = []
+    got = nb.nearest(df, df, 5, exclude_self=True, pivots=40, block_rows=600, count_visits=lambda v: visits.append((v.count(), v.schema["_v"].dataType.simpleString())))
+    assert visits[0][0] <= 3000 * 12 and visits[0][1] == "array<float>"
+    near = got.toPandas().sort_values(["query_id", "rank"])["neighbour_id"].to_numpy().reshape(-1, 5)
+    wide = points.astype(float)
+    d = np.sqrt(((wide[:, None, :] - wide[None, :, :]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    assert (near == np.argsort(d, axis=1, kind="stable")[:, :5]).all()
+
+
+@pytest.mark.parametrize("scale, offset", [(1.0, 0.0), (1e-22, 0.0), (1e25, 0.0), (1e-3, 1e4)])
+def test_blocks_are_exact_for_any_size_of_numbers_and_with_codes(scale, offset):
+    rng = np.random.default_rng(7)
+    points = rng.normal(size=(700, 5)) * scale + offset
+    codes, ids = rng.integers(0, 4, size=(700, 2)), rng.permutation(700)
+    query, row, far = nb.block_neighbours(points, ids, points[:90], ids[:90], np.full(90, np.inf), 3, codes, codes[:90])
+    d = np.sqrt(((points[:90, None, :] - points[None, :, :]) ** 2).sum(-1))
+    d[~(codes[:90, None, :] == codes[None, :, :]).any(-1) | (ids[:90, None] == ids[None, :])] = np.inf
+    for q in range(90):
+        assert sorted(zip(far[query == q], ids[row[query == q]])) == sorted(zip(d[q], ids))[:3]
+
+
+def test_wide_projection_buckets_hold_each_pair_once(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(400, 12))
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(400), "label": 0, "features": list(points)}))
+    visits, inner = [], nb._in_blocks
+    monkeypatch.setattr(nb, "_in_blocks", lambda rows, asked, *rest: (visits.append(asked.count()), inner(rows, asked, *rest))[1])
+    got = nb.nearest_by_projection(df, df, 4, exclude_self=True, bucket_length=1e6, tables=6).toPandas().sort_values(["query_id", "rank"])
+    assert sum(visits) <= 2 * 400, "not once for each of six tables"
+    monkeypatch.undo()
+    exact = nb.nearest(df, df, 4, exclude_self=True).toPandas().sort_values(["query_id", "rank"])
+    assert len(got) == 1600 and (got["neighbour_id"].to_numpy() == exact["neighbour_id"].to_numpy()).mean() >= 0.9
+
+
 def test_vote_by_distance(spark):
     near = spark.createDataFrame(
         [(1, 0, 0.5), (1, 1, 1.0), (1, 1, 1.0), (2, 0, 0.0), (2, 1, 0.1), (2, 1, 0.1)],
@@ -167,6 +207,17 @@ def test_prediction_without_target_and_after_reload(spark, table):
     assert {r["prediction"] for r in direct.select("prediction").distinct().collect()} == {"red", "green", "blue"}
 
 
+def test_neighbours_keep_text_labels_without_a_list_of_them(spark):
+    rows = spark.range(3000).selectExpr("id", "CAST(id AS DOUBLE) AS x", "concat('k', id) AS name")
+    trained = le.fit(rows, ["x"], "name", "KNeighborsClassifier", {"n_neighbors": 1})
+    assert not any(isinstance(s, StringIndexerModel) for s in trained.model.stages)
+    again = load_model(spark, save_model(trained, spark, scratch_path(spark, "model")))
+    for model in (trained, again):
+        said = le.predict(model, rows.select("id", "x"), "id")
+        assert said.columns == ["id", "x", "prediction"]
+        assert said.filter("prediction = concat('k', id)").count() == said.count() == 3000
+
+
 def test_imputation_learns_from_training_rows_only(spark):
     train = spark.createDataFrame([(1.0,), (3.0,)], "x double")
     test = spark.createDataFrame([(None,), (100.0,)], "x double")
