@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FEWEST_PARTS, ROWS_PER_PART = 8, 250_000
+ENOUGH_PARTS, VALUES_PER_PART = 36, 12_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,6 +49,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def number_of_parts(df: DataFrame, rows: int, rows_per_part: int) -> int:
+    """Parts for passes of a learner, each of which sends the driver something per part: beyond enough parts, narrow rows
+    fill them by the number of values."""
+    parts = -(-rows // rows_per_part)
+    if not any(kind == "vector" or kind.startswith(("array", "struct", "map", "variant")) for _, kind in df.dtypes):
+        parts = min(parts, max(ENOUGH_PARTS, -(-rows * len(df.columns) // VALUES_PER_PART)))
+    return max(FEWEST_PARTS, parts)
+
+
 def spread(df: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """Lay rows out by a hash of their columns, for learners that pass over them many times.
 
@@ -56,5 +66,4 @@ def spread(df: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """
     plain = [c for c, kind in df.dtypes if not kind.startswith(("map", "variant")) and kind != "vector"]
     key = F.xxhash64(*[F.col(f"`{c}`") for c in plain])
-    parts = max(FEWEST_PARTS, -(-df.count() // rows_per_part))
-    return df.repartition(parts, key).sortWithinPartitions(key, *[F.col(f"`{c}`") for c in plain])
+    return df.repartition(number_of_parts(df, df.count(), rows_per_part), key).sortWithinPartitions(key, *[F.col(f"`{c}`") for c in plain])

@@ -10,7 +10,7 @@ from tabwright.operators import monitor as mo
 from tabwright.operators import profile as pr
 from tabwright.operators.split import hash_split, mark_split
 from tabwright.plans.ordering import with_chunks, with_position
-from tabwright.plans import quantiles
+from tabwright.plans import lineage, quantiles
 from tabwright.plans.quantiles import exact_quantiles
 
 
@@ -187,3 +187,13 @@ def test_hash_split_is_a_partition_of_the_rows(spark):
     assert train.count() + test.count() == 5000
     assert train.join(test, "id").count() == 0
     assert 850 < test.count() < 1150
+
+
+def test_parts_of_narrow_rows_grow_by_values(spark):
+    narrow = spark.range(1).selectExpr("0D AS a", "0D AS b", "0D AS c", "'x' AS y")
+    wide = spark.range(1).select(*[F.lit(0.0).alias(f"c{i}") for i in range(60)])
+    vectors = spark.range(1).selectExpr("array(0D) AS v")
+    parts = [lineage.number_of_parts(narrow, n, lineage.ROWS_PER_PART) for n in (0, 480_000, 2_880_000, 28_800_000, 172_800_000)]
+    assert parts == [8, 8, 12, 36, 58]
+    assert [lineage.number_of_parts(df, 28_800_000, lineage.ROWS_PER_PART) for df in (wide, vectors)] == [116, 116]
+    assert lineage.spread(spark.range(4000), 100).rdd.getNumPartitions() == 36
