@@ -16,14 +16,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def _starred(edges: DataFrame, large: bool) -> DataFrame:
-    """Link neighbours to the least node of the neighbourhood: those above it (large) or those up to it (small)."""
+    """Link neighbours to the least node of the neighbourhood: those above it (large) or those up to it (small).
+
+    A large step gives a row for each link at most, so only a small one, which follows it, makes rows distinct.
+    """
     seen = edges if not large else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = seen.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     joined = seen.join(least, "u")
     if large:
-        moved = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        moved = joined.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        return joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    moved = joined.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
     return moved.filter("u <> v").distinct()
 
 

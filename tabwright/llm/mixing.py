@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from tabwright.llm.columns import free_names, unit_hash, word_count
 from tabwright.llm.registry import llm_query
-from tabwright.plans.lineage import cut_lineage
+from tabwright.plans.lineage import cut_lineage, written
 
 BROADCAST_ROWS, BROADCAST_BYTES, SALTS = 50_000, 4 << 20, 64
 
@@ -39,13 +39,17 @@ class Mix:
 
 
 def _ranked(sizes: DataFrame) -> DataFrame:
-    """Append the 0-based ``rank`` of each source: its place in a sorted partition after the partitions before."""
+    """Append the 0-based ``rank`` of each source: its place in a sorted partition after the partitions before.
+
+    The ranked table is written, since every step of the water filling reads it.
+    """
     fixed = cut_lineage(sizes.orderBy(F.col("source").asc_nulls_last())).withColumn("part", F.spark_partition_id())
     counts = fixed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row per partition
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("part", F.coalesce(before, F.lit(0)).alias("before"))
     place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
-    return fixed.join(F.broadcast(offsets), "part").withColumn("rank", F.col("before") + place - 1).drop("part", "before")
+    ranked = fixed.join(F.broadcast(offsets), "part").withColumn("rank", F.col("before") + place - 1).drop("part", "before")
+    return written(ranked, "sources")
 
 
 def source_targets(docs: DataFrame, mix: Mix = Mix(), source_col: str = "source", text_col: str = "text") -> DataFrame:

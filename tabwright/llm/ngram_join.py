@@ -467,7 +467,7 @@ def _loose_pairs(rows: DataFrame, points: DataFrame, fine: DataFrame | None, acr
 
 
 def _fetch_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Stored sorted sets of the documents whose id is in ``ids``, and of a few more that the bitmap lets by."""
+    """Stored sorted sets of the documents whose id is in ``ids`` (repeats do no harm), and of a few more that the bitmap lets by."""
 
     def slot(c):
         return F.pmod(F.xxhash64(c), F.lit(BITS))
@@ -508,7 +508,7 @@ def linked(a: bytes, b: bytes) -> bool:
 
 def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The candidate pairs that link."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     sets = _fetch_sets(docs, ids, id_col, text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -527,7 +527,8 @@ def class_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str)
     After the heads come two rounds.  The first looks inside the blocks of the buckets and verifies what ``FORESTS``
     spanning forests of its candidates need, so that a group of near copies is joined by links in proportion to its
     classes.  Classes that are joined carry one label from then on, and buckets with one label are done.  The
-    second verifies all candidates that are left, across blocks too.
+    second verifies all candidates that are left, across blocks too.  Labels found stand for the links they come from, so that
+    components go on from them and do not begin anew.
     """
     keys = classes.select(F.explode("prefix").alias("key"), F.col("id").alias("cls"), "n")
     shared = stored(_shared_buckets(keys), "buckets")
@@ -538,10 +539,13 @@ def class_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str)
     links = _verified(docs, stored(_bounded_pairs(tested, points), "likely"), id_col, text_col)
     fine = None
     for across in (False, True):
-        labels = components(links).select(F.col("node").alias("cls"), F.col("component").alias("label"))
-        rows = stored(_open_rows(shared, stored(labels, "labels")), "rows")
+        labels = stored(components(links).select(F.col("node").alias("cls"), F.col("component").alias("label")), "labels")
+        links = labels.select(F.col("cls").alias("a"), F.col("label").alias("b"))
+        rows = stored(_open_rows(shared, labels), "rows")
+        if rows.isEmpty():
+            break
         if not across:
-            crowded = rows.filter(F.col("m") > SMALL_RUN).select(F.col("cls").alias("id")).distinct()
+            crowded = rows.filter(F.col("m") > SMALL_RUN).select(F.col("cls").alias("id"))
             if not crowded.isEmpty():  # the second round asks for some of these only
                 fine = stored(_fine_points(_fetch_sets(docs, crowded, id_col, text_col)), "fine")
         found = _loose_pairs(rows, points, fine, across, None if across else FORESTS)

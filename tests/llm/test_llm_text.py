@@ -10,7 +10,8 @@ from brute import LONG, SCHEMA, awkward, components, shingles
 from conftest import SMALL
 
 import corpus_pipeline
-from tabwright.llm import bpe, fingerprints, ngram_join, secret_scan
+from tabwright.llm import bpe, fingerprints, frequent, mixing, ngram_join, secret_scan
+from tabwright.llm import components as stars
 
 
 @pytest.fixture(scope="module")
@@ -266,6 +267,62 @@ def test_a_family_costs_pairs_in_proportion(spark, monkeypatch):
     assert max(per_row) <= 40 and per_row[1] <= 1.3 * per_row[0]
 
 
+def jobs_of(spark, run):
+    """What ``run`` returns and the number of Spark jobs it started."""
+    spark.sparkContext.setJobGroup(group := f"jobs-{random.random()}", "counted")
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_least_count_takes_a_job_a_page(spark, monkeypatch):
+    counted = spark.createDataFrame([(c,) for c in range(1, 61) for _ in range(1 + c % 3)], "c long").repartition(4)
+    for page, most in ((4096, 50), (7, 50), (7, 0), (7, 10_000), (60, 10_000)):
+        monkeypatch.setattr(frequent, "PAGE", page)
+        held = [c for c in range(1, 61) if sum(1 + x % 3 for x in range(c, 61)) <= most]
+        got, jobs = jobs_of(spark, lambda most=most: frequent.least_count(counted, most))
+        assert got == min(held, default=None)
+        assert page != 4096 or jobs <= 3
+
+
+def test_labels_stand_for_the_links_they_come_from(spark):
+    rng = random.Random(3)
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)]
+    right = {i: i for pair in links for i in pair if pair[0] != pair[1]}
+    for _ in right:
+        for x, y in links:
+            if x != y:
+                right[x] = right[y] = min(right[x], right[y])
+
+    def found(df):
+        return stars.components(df).select("node", "component")
+
+    whole = spark.createDataFrame(links, "a long, b long")
+    assert {tuple(r) for r in found(whole).collect()} == set(right.items())
+    first = found(spark.createDataFrame(links[:90], "a long, b long")).toDF("a", "b")
+    again = found(first.unionByName(spark.createDataFrame(links[90:], "a long, b long")))
+    assert {tuple(r) for r in again.collect()} == set(right.items())
+
+
+def test_components_go_on_from_labels(spark, monkeypatch):
+    sizes, write = [], stars.stored
+    monkeypatch.setattr(stars, "stored", lambda df, label: sizes.append((table := write(df, label)).count()) or table)
+    found = ngram_join.ngram_components(spark.createDataFrame(family(200), "doc_id long, text string"))
+    assert found.select("component_id").distinct().count() == 1
+    assert max(sizes[1:]) < sizes[0] and sizes[-2:] == [199, 199]  # labels, not all links found so far, are what later rounds add to
+
+
+def test_sources_are_ranked_once(spark):
+    docs = spark.createDataFrame([(i, f"s{i % 5}" if i % 5 else None, "a b c") for i in range(40)], "doc_id long, source string, text string")
+    table, jobs = jobs_of(spark, lambda: mixing.source_targets(docs))
+    _, more = jobs_of(spark, lambda: table.collect())
+    assert more == 1  # a scan of the written table
+    assert {(r["source"], r["source_size"], r["weight"]) for r in table.collect()} == {
+        ("s1", 24, 3.0), ("s2", 24, 1.0), ("s3", 24, 2.0), ("s4", 24, 3.0), (None, 24, 1.0)
+    }
+
+
 def test_spanning_pairs_join_what_all_pairs_join():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 80, 4000), rng.integers(0, 80, 4000)
